@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-_BLANK = " \t\r\n ﻿"
+_BLANK = " \t\r\n﻿"
 
 
 def _refuse(name: str):
