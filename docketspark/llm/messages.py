@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-_BLANK = " \t\r\n﻿"
+_BLANK = " \t\r\n\ufeff"
 
 #: What the start of a JSON event list looks like; other brackets open plain text.
 _OBJECT_STARTS = ('{"', "{}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
+from docketspark.llm.canonical import canonical_column, look_alike_classes, look_alike_pairs
 from docketspark.llm.conversations import conversations, fold_events, question_replies
 from docketspark.llm.packing import pack
 from docketspark.llm.splitting import classify_texts, running_numbers, split_items
@@ -60,6 +61,18 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "n_tokens", ["doc_id"], capacity)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_turns, p6_ids, p7_pack)}
+def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_column(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "canonical").drop("text")
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_classes(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
 
 ORACLE: dict[str, str] = {}

@@ -30,12 +30,12 @@ from docketspark.session import cut, cut_in_order, shuffle_parallelism
 RANGE = 1 << 16
 
 #: Unicode white space, and the line ends among it (\r\n is one).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACE = "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _S = "[" + SPACE + "]"
 _RUNS = regex.compile(_S + "+")
-_LINE_END = regex.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINE_END = regex.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _SENTENCE = regex.compile(r"[.!?…;:]['\"”»)\]]*$")
-_MARK = regex.compile(r"[\p{M}‍]")
+_MARK = regex.compile(r"[\p{M}\u200d]")
 
 
 # ---------------------------------------------------------------- summaries
