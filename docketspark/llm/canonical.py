@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketspark.session import cut
+
 #: Letters of other scripts and the letters they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜӀѴаеорсухѕіјһԁԛԝӏүѵ"
 CYRILLIC_LOOKS = "ABESIJKMHOPCTYXYGQWIVaeopcyxsijhdqwlyv"
@@ -161,7 +163,7 @@ def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``variants`` is the number of different texts in the class, ``links`` how many of them differ
     from this document's.  Only digests are shuffled, folded before the shuffle.
     """
-    d = look_digests(df, id_col, text_col)
+    d = cut(look_digests(df, id_col, text_col))
     per = d.groupBy("look", "raw").agg(F.min(id_col).alias("_m"))
     cls = per.groupBy("look").agg(F.min("_m").alias("class_id"), F.count("*").alias("variants"))
     return d.join(cls, "look").select(id_col, "class_id", "variants", (F.col("variants") - 1).alias("links"))
@@ -173,7 +175,7 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Classes of one variant - exact copies included - are dropped before any pair is made, so the
     join meets only documents that do have a partner, and its size is that of the result.
     """
-    d = look_digests(df, id_col, text_col)
+    d = cut(look_digests(df, id_col, text_col))  # the texts are read once; both sides below read the digests
     mixed = d.groupBy("look").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi")).where("_lo != _hi").select("look")
     few = d.join(mixed, "look", "left_semi").distinct()
     b = few.select("look", F.col(id_col).alias("_b"), F.col("raw").alias("_raw"))
