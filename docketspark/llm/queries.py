@@ -9,6 +9,7 @@ from docketspark.functions.ids import clean_id
 from docketspark.llm.canonical import canonical_column, look_alike_classes, look_alike_pairs
 from docketspark.llm.conversations import conversations, fold_events, question_replies
 from docketspark.llm.packing import pack
+from docketspark.llm.pii import find_pii, mask_pii
 from docketspark.llm.splitting import classify_texts, running_numbers, split_items
 from docketspark.llm.tokenizer import count_tokens, encode_corpus
 from docketspark.session import cut
@@ -24,6 +25,17 @@ def _limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
     return row[0], row[1]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chat, feed = _table(spark, sf_dir, "chat_messages"), _table(spark, sf_dir, "feed_passage_hits")
+    return find_pii(chat, "chat_messages", "id", "content", True).unionByName(find_pii(feed, "feed_passage_hits", "hit_id", "text"))
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chat = mask_pii(_table(spark, sf_dir, "chat_messages"), "id", "content", "masked", True).withColumn("src", F.lit("chat_messages"))
+    feed = mask_pii(_table(spark, sf_dir, "feed_passage_hits"), "hit_id", "text", "masked").withColumn("src", F.lit("feed_passage_hits"))
+    return chat.select("src", clean_id("id").alias("row_id"), "masked").unionByName(feed.select("src", clean_id("hit_id").alias("row_id"), "masked"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, _ = _limit(spark, sf_dir, "passage")
     return classify_texts(_table(spark, sf_dir, "feed_passage_hits"), "hit_id", "text", capacity)
@@ -73,6 +85,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p3_found, p3_pieces, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
 
 ORACLE: dict[str, str] = {}
