@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketspark.plans import problems
+from docketspark.plans import problems, relational
 
-_MODULES = [problems]
+_MODULES = [problems, relational]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: sql for m in _MODULES for k, sql in m.ORACLE.items()}

@@ -28,7 +28,7 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for r in frame.itertuples(index=False):
-        out.append(tuple("\\N" if v is None or (isinstance(v, float) and v != v) or v is pd.NaT else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("\\N" if not hasattr(v, "__len__") and pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r))
     return sorted(out)
 
 
