@@ -464,7 +464,7 @@ def mask_content(content: str, is_message: bool) -> str:
 
 def _mask_json(raw: str) -> str:
     """Mask the string literals of JSON text in place; a literal that changes is written again."""
-    outer = raw.strip(" \t\r\n﻿")
+    outer = raw.strip(" \t\r\n\ufeff")
     if outer[:1] == '"':
         inner = _mask_json(json.loads(outer))
         head = raw.index('"')
