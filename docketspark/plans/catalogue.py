@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketspark.plans import problems, relational, texts
+from docketspark.plans import analytics, problems, relational, search, streams, texts
 
-_MODULES = [problems, relational, texts]
+_MODULES = [problems, relational, texts, analytics, search, streams]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: sql for m in _MODULES for k, sql in m.ORACLE.items()}
