@@ -221,7 +221,9 @@ def _numbers(text: str, out: list[Segment]) -> None:
         for kind, rx, ok in (("pesel", _PESEL, pesel_ok), ("nip", _NIP, nip_ok)):
             for m in rx.finditer(text, a, z):
                 d = re.sub(r"\D", "", m.group(1))
-                f = [kind, f"{kind}_ok" if ok(d) else "bad_check", *_left_cues(text, m.start())]
+                if not ok(d):  # only with a right check digit
+                    continue
+                f = [kind, *_left_cues(text, m.start())]
                 if re.match(r"[ \xa0]\d{3,}", text[m.end() : m.end() + 6]) or re.search(r"\d[ \xa0]$", text[max(0, m.start() - 2) : m.start()]):
                     f.append("more_digits")
                 out.append(Segment(m.start(), m.end(), "identity", d, f))

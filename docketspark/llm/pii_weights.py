@@ -1,116 +1,112 @@
 """Weights of the semi-Markov field, written by pii_train."""
 
 WEIGHTS: dict[str, float] = {
-    'address|bare': -2.108,
-    'address|bias': 1.710,
-    'address|caps_word': -1.071,
+    'address|bare': -2.109,
+    'address|bias': 1.712,
+    'address|caps_word': -1.075,
     'address|cue:addr': 1.474,
-    'address|cue:card': -0.613,
-    'address|cue:name': 0.165,
-    'address|cue:number': -2.817,
-    'address|cue:other': -0.255,
-    'address|cue:pass': 0.063,
-    'address|cue:phone': 0.924,
-    'address|cut_words': -1.698,
-    'address|english': 0.660,
-    'address|flat': -1.078,
-    'address|german': 0.922,
-    'address|later_start': -3.179,
+    'address|cue:card': -0.592,
+    'address|cue:name': 0.167,
+    'address|cue:number': -2.830,
+    'address|cue:other': -0.037,
+    'address|cue:pass': 0.064,
+    'address|cue:phone': 0.926,
+    'address|cut_words': -1.708,
+    'address|english': 0.661,
+    'address|flat': -1.079,
+    'address|german': 0.924,
+    'address|later_start': -3.180,
     'address|near:addr': 1.532,
-    'address|near:card': -0.632,
-    'address|near:name': 0.102,
-    'address|near:phone': 0.922,
-    'address|postal': 2.172,
-    'address|street_word': 1.926,
+    'address|near:card': -0.611,
+    'address|near:name': 0.103,
+    'address|near:phone': 0.924,
+    'address|postal': 2.173,
+    'address|street_word': 1.927,
     'email|bias': 0.525,
     'email|dotted': 0.525,
-    'email|no_tld': -4.096,
-    'email|spelled': 1.561,
-    'email|tld': 2.724,
-    'identity|bad_check': -3.886,
-    'identity|card': 0.923,
-    'identity|card_ok': 0.509,
-    'identity|cue:addr': 0.322,
-    'identity|cue:card': 1.574,
-    'identity|cue:name': 0.227,
-    'identity|cue:number': 1.315,
-    'identity|cue:other': -0.613,
-    'identity|cue:pass': 1.206,
-    'identity|cue:phone': -0.012,
-    'identity|lower': 1.175,
-    'identity|money_right': -1.985,
-    'identity|near:addr': -0.006,
-    'identity|near:card': 1.604,
-    'identity|near:name': -0.042,
-    'identity|near:number': 1.317,
-    'identity|near:other': -1.367,
-    'identity|near:pass': 1.210,
-    'identity|near:phone': -0.172,
-    'identity|nip': 0.643,
-    'identity|nip_ok': 2.405,
-    'identity|no_series': -3.737,
-    'identity|pass': 1.509,
-    'identity|pesel': 1.687,
-    'identity|pesel_ok': 1.934,
-    'identity|upper': 1.228,
-    'name|bias': 1.921,
-    'name|caps': 0.911,
+    'email|no_tld': -4.099,
+    'email|spelled': 1.563,
+    'email|tld': 2.725,
+    'identity|card': 0.908,
+    'identity|card_ok': 0.261,
+    'identity|cue:addr': 0.709,
+    'identity|cue:card': 1.597,
+    'identity|cue:name': 0.505,
+    'identity|cue:number': 1.503,
+    'identity|cue:other': 0.643,
+    'identity|cue:pass': 1.396,
+    'identity|cue:phone': 0.207,
+    'identity|lower': 1.199,
+    'identity|money_right': -2.073,
+    'identity|near:addr': 0.265,
+    'identity|near:card': 1.603,
+    'identity|near:name': 0.175,
+    'identity|near:number': 1.506,
+    'identity|near:other': 0.026,
+    'identity|near:pass': 1.403,
+    'identity|nip': 2.689,
+    'identity|no_series': -3.693,
+    'identity|pass': 1.401,
+    'identity|pesel': 2.773,
+    'identity|upper': 1.153,
+    'name|bias': 1.922,
+    'name|caps': 0.914,
     'name|cue:name': 1.328,
-    'name|cut_left:given': -1.128,
-    'name|cut_left:other': 1.443,
-    'name|cut_left:stop': -1.245,
-    'name|cut_left:surname': -2.604,
-    'name|cut_right:given': -1.274,
-    'name|cut_right:other': 1.475,
-    'name|cut_right:stop': -0.172,
+    'name|cut_left:given': -1.134,
+    'name|cut_left:other': 1.447,
+    'name|cut_left:stop': -1.254,
+    'name|cut_left:surname': -2.620,
+    'name|cut_right:given': -1.282,
+    'name|cut_right:other': 1.478,
+    'name|cut_right:stop': -0.171,
     'name|cut_right:surname': -1.292,
     'name|cut_right:title': -0.026,
-    'name|number_right': -1.346,
+    'name|number_right': -1.347,
     'name|shape:given': -1.234,
-    'name|shape:given+other': -1.194,
+    'name|shape:given+other': -1.200,
     'name|shape:given+surname': 2.041,
-    'name|shape:given+surname+other': -1.453,
-    'name|shape:given+surname+stop': -0.330,
-    'name|shape:initial': -0.971,
-    'name|shape:initial+surname': 1.594,
-    'name|shape:other+given': -1.035,
-    'name|shape:other+given+surname': -1.627,
-    'name|shape:other+other': -1.680,
+    'name|shape:given+surname+other': -1.461,
+    'name|shape:given+surname+stop': -0.335,
+    'name|shape:initial': -0.975,
+    'name|shape:initial+surname': 1.597,
+    'name|shape:other+given': -1.041,
+    'name|shape:other+given+surname': -1.633,
+    'name|shape:other+other': -1.686,
     'name|shape:other+other+given': -0.030,
-    'name|shape:other+stop': -0.947,
-    'name|shape:other+stop+other': -0.381,
-    'name|shape:stop': -4.417,
-    'name|shape:stop+other': -2.540,
-    'name|shape:stop+stop': -1.482,
-    'name|shape:stop+stop+stop': -0.652,
-    'name|shape:surname': 2.759,
-    'name|shape:surname+given': 1.966,
-    'name|shape:surname+other': -0.900,
-    'name|shape:surname+other+other': -0.041,
-    'name|shape:surname+other+stop': -0.045,
-    'name|shape:surname+stop': -0.130,
-    'name|shape:surname+stop+stop': -0.094,
-    'name|shape:surname+surname': -0.762,
-    'name|street_left': -0.826,
-    'name|title': 1.447,
-    'name|title_single': -1.939,
+    'name|shape:other+stop': -0.958,
+    'name|shape:other+stop+other': -0.387,
+    'name|shape:stop': -4.420,
+    'name|shape:stop+other': -2.568,
+    'name|shape:stop+stop': -1.492,
+    'name|shape:stop+stop+stop': -0.656,
+    'name|shape:surname': 2.761,
+    'name|shape:surname+given': 1.968,
+    'name|shape:surname+other': -0.906,
+    'name|shape:surname+other+other': -0.042,
+    'name|shape:surname+other+stop': -0.046,
+    'name|shape:surname+stop': -0.132,
+    'name|shape:surname+stop+stop': -0.095,
+    'name|shape:surname+surname': -0.765,
+    'name|street_left': -0.827,
+    'name|title': 1.448,
+    'name|title_single': -1.940,
     'phone|bias': 1.351,
     'phone|cue:addr': -0.820,
-    'phone|cue:card': 0.080,
+    'phone|cue:card': 0.082,
     'phone|cue:name': -0.037,
-    'phone|cue:number': 1.188,
-    'phone|cue:other': -2.345,
-    'phone|cue:pass': 0.314,
+    'phone|cue:number': 1.191,
+    'phone|cue:other': -2.349,
+    'phone|cue:pass': 0.319,
     'phone|cue:phone': 1.385,
-    'phone|dashed': 1.495,
-    'phone|dotted': 0.059,
-    'phone|money_right': -3.393,
-    'phone|near:addr': -1.108,
-    'phone|near:name': 0.074,
-    'phone|near:number': 1.201,
-    'phone|near:other': -2.616,
+    'phone|dashed': 1.496,
+    'phone|dotted': 0.061,
+    'phone|money_right': -3.398,
+    'phone|near:addr': -1.113,
+    'phone|near:name': 0.075,
+    'phone|near:number': 1.204,
+    'phone|near:other': -2.622,
     'phone|near:phone': 1.385,
     'phone|prefix': 1.800,
-    'phone|solid': 1.498,
-    'phone|spaced': 1.072,
+    'phone|solid': 1.500,
+    'phone|spaced': 1.073,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.llm.canonical import canonical_column, look_alike_classes, look_alike_pairs
-from docketspark.llm.conversations import conversations, fold_events, question_replies
+from docketspark.llm.conversations import ASSISTANT_NAMES, OTHER_NAMES, USER_NAMES, conversations, fold_events, question_replies
 from docketspark.llm.packing import pack
 from docketspark.llm.pii import find_pii, mask_pii
 from docketspark.llm.splitting import classify_texts, running_numbers, split_items
@@ -87,4 +87,30 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p3_found, p3_pieces, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
 
-ORACLE: dict[str, str] = {}
+_WS = r"\x{0009}-\x{000d}\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ID = "nullif(lower(regexp_replace(CAST({0} AS VARCHAR), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
+
+
+def _names(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+ORACLE: dict[str, str] = {
+    "p3_found": rf"""WITH h AS (SELECT DISTINCT hit_id, text FROM feed_passage_hits WHERE length(text) > 900 AND regexp_matches(text, '[^{_WS}]')),
+s AS (SELECT hit_id, text, regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[\x{{000b}}-\x{{000d}}\x{{0085}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM h),
+m AS (SELECT hit_id, list_max(list_transform(string_split_regex(t, '\n[{_WS}]*\n'), lambda p: length(regexp_replace(p, '^[{_WS}]+|[{_WS}]+$', '', 'g')))) AS par,
+list_max(list_transform(string_split_regex(text, '[{_WS}]+'), lambda w: length(w))) AS word FROM s)
+SELECT DISTINCT hit_id, CASE WHEN par <= 900 THEN 'paragraph' WHEN word <= 900 THEN 'word' ELSE 'hard' END AS boundary FROM m""",
+    "p5_found": rf"""WITH r AS (SELECT {_ID.format('id')} AS id, {_ID.format('chat_id')} AS chat, {_ID.format('role')} AS role, content, created_at FROM chat_messages),
+a AS (SELECT DISTINCT id, chat, CASE WHEN role IN ({_names(USER_NAMES)}) THEN 'user' WHEN role IN ({_names(ASSISTANT_NAMES)}) THEN 'assistant' WHEN role IN ({_names(OTHER_NAMES)}) THEN 'other' END AS who, content, created_at,
+  regexp_matches(content, '^\s*("\s*)?(\[\s*(\\n\s*)?(\{{|\]|\[|null|\\?"|$)|\{{\s*(\\n\s*)?(\\?"|\}}|$))') AS js FROM r WHERE chat IS NOT NULL AND id IS NOT NULL),
+b AS (SELECT *, CASE WHEN js AND json_valid(content) THEN content::JSON ->> '$' END AS p1 FROM a WHERE who IS DISTINCT FROM 'other'),
+c AS (SELECT *, CASE WHEN json_valid(p1) THEN CASE WHEN json_type(p1) = 'OBJECT' THEN '[' || p1 || ']' ELSE p1 END END AS p FROM b),
+e AS (SELECT id, CAST(i AS BIGINT) AS i, p ->> ('$[' || i || '].text') AS x FROM (SELECT id, p, unnest(range(0, CAST(json_array_length(p) AS BIGINT))) AS i FROM c WHERE p IS NOT NULL) WHERE p ->> ('$[' || i || '].type') = 'content' AND json_type(p, '$[' || i || '].text') = 'VARCHAR'),
+j AS (SELECT id, string_agg(x, '' ORDER BY i) AS x FROM e GROUP BY id),
+m AS (SELECT c.id, chat, who, created_at AS tm, CASE WHEN NOT js THEN content WHEN p IS NOT NULL THEN coalesce(j.x, '') END AS t FROM c LEFT JOIN j ON j.id = c.id),
+o AS (SELECT *, coalesce(lag(who || ':' || coalesce(t, '')) OVER w = who || ':' || coalesce(t, ''), false) AS again FROM m WINDOW w AS (PARTITION BY chat ORDER BY tm NULLS FIRST, CASE who WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, id)),
+k AS (SELECT *, lag(id) OVER w AS pid, lag(who) OVER w AS pwho FROM o WHERE NOT again WINDOW w AS (PARTITION BY chat ORDER BY tm NULLS FIRST, CASE who WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, id)),
+g AS (SELECT chat FROM k GROUP BY chat HAVING bool_and(tm IS NOT NULL AND who IS NOT NULL AND coalesce(regexp_matches(t, '[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}]'), false)) AND bool_and(coalesce(CASE WHEN pid IS NULL THEN who = 'user' ELSE who <> pwho END, false)) AND count(*) % 2 = 0)
+SELECT chat AS chat_id, least(id, pid) AS message_id_a, greatest(id, pid) AS message_id_b FROM k WHERE chat IN (SELECT chat FROM g) AND who = 'assistant'""",
+}

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from docketspark.session import cut, cut_in_order, shuffle_parallelism
 
 RANGE = 1 << 16
+GROUP = 256  # boundary tables stitched in one task
 
 #: Unicode white space, and the line ends among it (\r\n is one).
 SPACE = "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -204,6 +205,8 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 
 def range_table(window: str, offset: int, stop: int, total: int, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(entry, exit, pieces) of the range [offset, stop) for each start that may come first in it."""
+    if not total:
+        return [(0, 0, 1)]
     c = Cutter(window, offset, total, limit, overlap)
     memo: dict[int, tuple[int, int]] = {}
     entries = [0] if offset == 0 else range(offset, min(stop, offset + limit))
@@ -291,6 +294,41 @@ def split_items(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
     return one.unionByName(many).withColumnRenamed("_key", id_col)
 
 
+def _stitch(found: DataFrame, kind: str, most: int) -> DataFrame:
+    """(_key, no, entry, first): where the chain enters each range and how many pieces stand before.
+
+    Tables of GROUP neighbouring ranges compose to one table; the composed tables are stitched the
+    same way, and their entries go back down.  No task holds more than GROUP tables, however many
+    ranges a file has.
+    """
+    table = f"_key {kind}, no long, entry array<bigint>, exit array<bigint>, pieces array<bigint>"
+
+    def follow(rows: list, at: int, n: int) -> Iterator[tuple]:
+        for r in rows:
+            k = at - int(r.entry[0])
+            if k < len(r.entry):  # else a short last range that no piece starts in
+                yield r, at, n
+                at, n = int(r.exit[k]), n + int(r.pieces[k])
+        yield None, at, n
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("no").itertuples(index=False))
+        at, n = (int(pdf["at"].iloc[0]), int(pdf["n"].iloc[0])) if "at" in pdf else (0, 0)
+        return pd.DataFrame([(r[0], r.no, a, k) for r, a, k in follow(rows, at, n) if r is not None], columns=["_key", "no", "entry", "first"])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("no").itertuples(index=False))
+        ends = [list(follow(rows, int(e), 0))[-1] for e in rows[0].entry]
+        return pd.DataFrame({"_key": [rows[0][0]], "no": [rows[0].no // GROUP], "entry": [list(rows[0].entry)], "exit": [[x[1] for x in ends]], "pieces": [[x[2] for x in ends]]})
+
+    out = f"_key {kind}, no long, entry long, first long"
+    if most <= GROUP:
+        return found.groupBy("_key").applyInPandas(walk, out)
+    above = _stitch(found.groupBy("_key", F.floor(F.col("no") / GROUP)).applyInPandas(compose, table), kind, -(-most // GROUP))
+    starts = above.select("_key", F.col("no").alias("_g"), F.col("entry").alias("at"), F.col("first").alias("n"))
+    return found.withColumn("_g", F.floor(F.col("no") / GROUP)).join(starts, ["_key", "_g"]).groupBy("_key", "_g").applyInPandas(walk, out)
+
+
 def split_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> DataFrame:
     """Pieces from the ranges of any source: _key, piece, piece_start, piece_end, piece_text."""
     kind = ranges.schema["_key"].dataType.simpleString()
@@ -303,23 +341,14 @@ def split_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> Data
 
     found = ranges.mapInPandas(tables, f"_key {kind}, no int, entry array<bigint>, exit array<bigint>, pieces array<bigint>")
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, n, rows = 0, 0, []
-        for r in pdf.sort_values("no").itertuples(index=False):
-            k = at - int(r.entry[0])
-            if k >= len(r.entry):  # a short last range that no piece starts in
-                continue
-            rows.append((r[0], r.no, at, n))
-            n += int(r.pieces[k])
-            at = int(r.exit[k])
-        return pd.DataFrame(rows, columns=["_key", "no", "entry", "first"])
-
-    entries = found.groupBy("_key").applyInPandas(stitch, f"_key {kind}, no int, entry bigint, first bigint")
+    entries = _stitch(found, kind, (ranges.agg(F.max("no")).first()[0] or 0) + 1)
 
     def emit(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples(index=False):
                 c, p, n, stop, out = Cutter(r.window, r.offset, r.total, limit, overlap), r.entry, r.first, min(r.offset + size, r.total), []
+                if not r.total:
+                    out.append((r[0], 0, 0, 0, ""))
                 while p < stop:
                     e = c.end(p)
                     out.append((r[0], n, p, e, r.window[p - r.offset : e - r.offset]))
@@ -345,3 +374,49 @@ def running_numbers(df: DataFrame, key: str, order: list[str], count_col: str, p
     edges = per.withColumn("_edge", F.sum("_n").over(over)).where("_edge > 0").select("_pid", F.col(key).alias("_k"), "_edge")
     joined = lined.join(F.broadcast(edges), (lined["_pid"] == edges["_pid"]) & lined[key].eqNullSafe(F.col("_k")), "left").drop(edges["_pid"]).drop("_k")
     return joined.withColumn("before", F.coalesce(F.sum(count_col).over(inside), F.lit(0)) + F.coalesce("_edge", F.lit(0))).drop("_edge", "_pid")
+
+
+# ---------------------------------------------------------------- files
+
+
+#: One byte is one position: lead bytes are shown as letters and continuation bytes as combining marks
+#: (before which the cutter does not cut), each with the byte in its low eight bits.
+_TO_MARKS = {b: (0xE0100 if b < 0xC0 else 0x4E00) + b for b in range(0x80, 0x100)}
+_TO_BYTES = {v: k for k, v in _TO_MARKS.items()}
+
+
+def split_files(spark, paths: list[str], limit: int, overlap: int, size: int = 8 << 20) -> DataFrame:
+    """Pieces of UTF-8 files by byte ranges: path, piece, byte_start, byte_end, piece_text.
+
+    ``limit``, ``overlap`` and offsets count bytes.  A worker opens a file at its range and reads the
+    range and its halo only; the driver lists sizes, nothing else.  Boundaries are those of the
+    text split, read on bytes (white space of one byte); no piece starts or ends inside a
+    character, so an overlap may be up to three bytes shorter.  An empty file has one empty piece.
+    """
+    from pyarrow import fs
+
+    rows = []
+    for p in paths:
+        system, name = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
+        n = system.get_file_info(name).size
+        rows += [(p, k, k * size, n) for k in range(max(1, -(-n // size)))]
+    ranges = spark.createDataFrame(rows, "_key string, no int, offset long, total long").repartition(max(1, len(rows)))
+
+    def load(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for r in pdf.itertuples(index=False):
+                system, name = fs.FileSystem.from_uri(r[0]) if "://" in r[0] else (fs.LocalFileSystem(), r[0])
+                with system.open_input_file(name) as f:
+                    raw = f.read_at(min(size + limit + 8, r.total - r.offset), r.offset)
+                yield pd.DataFrame({"_key": [r[0]], "no": [r.no], "offset": [r.offset], "total": [r.total], "window": [raw.decode("latin-1").translate(_TO_MARKS)]})
+
+    windows = ranges.mapInPandas(load, "_key string, no int, offset long, total long, window string")
+    pieces = split_ranges(windows, limit, overlap, size)
+
+    def decode(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            texts = [t.translate(_TO_BYTES).encode("latin-1") for t in pdf["piece_text"]]
+            skip = [next((i for i, b in enumerate(t[:4]) if b & 0xC0 != 0x80), 0) for t in texts]
+            yield pd.DataFrame({"path": pdf["_key"], "piece": pdf["piece"], "byte_start": pdf["piece_start"] + skip, "byte_end": pdf["piece_end"], "piece_text": [t[k:].decode("utf-8", "replace") for t, k in zip(texts, skip)]})
+
+    return pieces.mapInPandas(decode, "path string, piece long, byte_start long, byte_end long, piece_text string")
