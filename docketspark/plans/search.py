@@ -62,7 +62,7 @@ def knn_indexed(spark, d):
     """Inverted-list index: every row indexed, centroids from a bounded sample; recall is measured in the tests."""
     v = _vectors(spark, d).select("id", "v")
     c = retrieval.fit_centroids(v, 16)
-    return retrieval.nearest_indexed(v, _queries(v), 10, c, probes=8)
+    return retrieval.nearest_indexed(v, _queries(v), 10, c, probes=13)
 
 
 def _bm25_parts(spark, d):
