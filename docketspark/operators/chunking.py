@@ -71,8 +71,48 @@ def chunks(text: str) -> Iterator[tuple[int, int | None, str, int, int]]:
             index += 1
 
 
-def chunk_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Headings that open a section of a ruling, editorial units, and weak headings.
+_STRONG = re.compile(r"^[ \t]*(?:WYROK|POSTANOWIENIE|UCHWAŁA|UZASADNIENIE|SENTENCJA|W IMIENIU RZECZYPOSPOLITEJ\b.*|STAN FAKTYCZNY|ROZWAŻANIA)[ \t]*:?[ \t]*$", re.M | re.I)
+_UNIT = re.compile(r"^[ \t]*(?:Art\.|Artykuł|§|Rozdział|Dział)[ \t]*(?:\d+[a-z]?|[IVXLC]+)\b", re.M)
+_WEAK = re.compile(r"^[ \t]*(?:[IVX]+\.|\d{1,2}\.)[ \t]+[^\W\d_].{0,80}$", re.M)
+
+
+def sections(text: str) -> list[tuple[int, int]]:
+    """Blocks between headings; one block where no strong heading and no editorial unit occurs."""
+    if not (_STRONG.search(text) or _UNIT.search(text)):
+        return [(0, len(text))]
+    starts = sorted({m.start() for rx in (_STRONG, _UNIT, _WEAK) for m in rx.finditer(text)})
+    edges = sorted({0, *starts, len(text)})
+    return [(a, z) for a, z in zip(edges, edges[1:]) if text[a:z].strip()]
+
+
+def with_overlap(pieces: list[str], most: int = 120) -> list[str]:
+    """Each piece after the tail of the one before it: at most ``most`` characters and what room there is,
+    from the first white space of the tail on; full pieces get none."""
+    out = pieces[:1]
+    for before, piece in zip(pieces, pieces[1:]):
+        room = min(most, LIMIT - len(piece) - 1, len(before))
+        tail = before[len(before) - room :] if room > 0 else ""
+        if room < len(before):
+            cut = re.search(r"\s", tail)
+            tail = tail[cut.end() :] if cut else ""
+        out.append(f"{tail} {piece}" if tail.strip() else piece)
+    return out
+
+
+def legal_chunks(text: str) -> Iterator[tuple[int, int | None, str, int, int]]:
+    """As chunks(), with section headings as boundaries and overlap inside a section only."""
+    index = 0
+    for a, z in sections(text.replace("\r\n", " \n")):
+        block = list(chunks(text[a:z]))
+        for content, (_, page, _, s, e) in zip(with_overlap([c[2] for c in block]), block):
+            yield index, page, content, a + s, a + e
+            index += 1
+
+
+def chunk_documents(df: DataFrame, id_col: str, text_col: str, legal: bool = False) -> DataFrame:
     """One row a chunk; null and blank texts have none.  Rows are independent."""
+    cut = legal_chunks if legal else chunks
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", *(p.split()[0] for p in CHUNK.split(", "))]
@@ -81,7 +121,7 @@ def chunk_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in it:
             out: list[list] = [[] for _ in names]
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for c in chunks(text):
+                for c in cut(text):
                     for col, x in zip(out, (i, *c)):
                         col.append(x)
             kinds = [b.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]

@@ -40,6 +40,8 @@ def _carry(lined: DataFrame, key: str | None, value: Column, over: str) -> DataF
     before = Window.partitionBy("_key").orderBy(PID)
     if over == "sum":
         edge = F.sum("_v").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    elif over == "next":
+        edge = F.lead("_v").over(before)
     elif over == "last":
         edge = F.last("_v", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
     else:
@@ -81,3 +83,35 @@ def with_last_seen(lined: DataFrame, key: str | None, order: list[str], value: C
     joined = _joined(rows, key, _carry(filled, key, F.max_by("_val", "_ord"), "last"))
     near = _near(key, order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.coalesce(F.last("_val", ignorenulls=True).over(near), "_edge")).drop("_val", "_edge")
+
+
+def with_lead(lined: DataFrame, key: str | None, order: list[str], value: Column, out: str) -> DataFrame:
+    """``value`` of the row after within the key; null for the last row."""
+    near = _near(key, order)
+    rows = lined.withColumn("_val", value)
+    edges = _carry(rows.withColumn("_ord", F.struct(*order)), key, F.min_by("_val", "_ord"), "next")
+    joined = _joined(rows, key, edges).withColumn("_next", F.lead(F.struct("_val")).over(near))
+    return joined.withColumn(out, F.when(F.col("_next").isNull(), F.col("_edge")).otherwise(F.col("_next._val"))).drop("_val", "_edge", "_next")
+
+
+def with_preceding(lined: DataFrame, key: str | None, order: list[str], value: Column, n: int, out: str) -> DataFrame:
+    """Array of the values (nulls left out) of the ``n`` rows before, oldest first; shorter at the start of a key.
+
+    Each partition hands on the last ``n`` values of a key, so what crosses an edge is bounded by n times
+    the number of partitions.
+    """
+    near = _near(key, order)
+    rows = lined.withColumn("_val", value).withColumn("_ord", F.struct(*order))
+    last = Window.partitionBy(PID, *([key] if key else [])).orderBy(*(F.col(c).desc() for c in order))
+    tails = rows.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= n)
+    k = F.col(key) if key else F.lit(0)
+    ends = tails.groupBy(F.col(PID).alias("_epid"), k.alias("_ekey")).agg(F.sort_array(F.collect_list(F.struct("_ord", "_val")))["_val"].alias("_v"))
+    seen = Window.partitionBy("_ekey").orderBy("_epid").rowsBetween(Window.unboundedPreceding, -1)
+    edges = ends.withColumn("_edge", F.flatten(F.collect_list("_v").over(seen))).where(F.size("_edge") > 0)
+    edges = edges.select("_epid", "_ekey", F.slice("_edge", F.greatest(F.size("_edge") - n + 1, F.lit(1)), F.lit(n)).alias("_edge"))
+    own = F.transform(F.collect_list(F.struct("_val")).over(near.rowsBetween(-n, -1)), lambda x: x["_val"])
+    joined = _joined(rows, key, edges).withColumn("_own", own)
+    left = F.coalesce("_edge", F.array().cast(joined.schema["_own"].dataType))
+    both = F.concat(left, "_own")
+    cut = F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n))
+    return joined.withColumn(out, F.filter(cut, lambda x: x.isNotNull())).drop("_val", "_ord", "_edge", "_own")

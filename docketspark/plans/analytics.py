@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsoncols import field, json_text
 from docketspark.operators import ledger
-from docketspark.operators.ordered import line_up, with_last_seen
+from docketspark.operators.ordered import line_up, with_last_seen, with_running_sum
 from docketspark.plans.registry import Registry, long, table
 
 R = Registry()
@@ -187,10 +186,10 @@ def last_error_before(spark, d):
     return with_last_seen(lined, None, order, F.when(F.col("event_type") == "error", F.col("event_id")), "last_error").select("event_id", "last_error")
 
 
-@R.add("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS sd, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY 1")
+@R.add("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def value_stats(spark, d):
     e = table(spark, d, "events").groupBy("event_type")
-    return e.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.countDistinct("user_id").alias("users"))
+    return e.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.countDistinct("user_id").alias("users"))
 
 
 @R.add("SELECT event_type, sorted[CAST(floor(len(sorted) * 0.95) AS BIGINT) + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS sorted FROM events GROUP BY 1)")
@@ -198,9 +197,9 @@ def latency_p95(spark, d):
     """Value at position floor(n * 0.95) of the sorted values: counts by value, then a running sum, no list per key."""
     e = table(spark, d, "events").select("event_type", "value").where("value IS NOT NULL")
     per = e.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     n = e.groupBy("event_type").agg(F.floor(F.count("*") * 0.95).alias("at"))
-    reached = per.withColumn("upto", F.sum("c").over(w)).join(n, "event_type").where("upto > at")
+    upto = with_running_sum(line_up(per, "event_type", ["value"]), "event_type", ["value"], "c", "upto")
+    reached = upto.join(n, "event_type").where("upto > at")
     return reached.groupBy("event_type").agg(F.min("value").alias("p95"))
 
 

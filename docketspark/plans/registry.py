@@ -28,3 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def long(c: Column) -> Column:
     return c.cast("long")
+
+
+def small_list(df: DataFrame, name: str, most: int = 10_000) -> list:
+    """Distinct values of a small dimension; more than ``most`` are refused, so what tasks carry stays bounded."""
+    rows = df.select(name).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{name}: more than {most} values")
+    return sorted(r[0] for r in rows if r[0] is not None)

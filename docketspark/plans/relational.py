@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketspark.operators.ordered import line_up, with_lag, with_last_seen, with_running_sum
+from docketspark.operators.ordered import line_up, with_lag, with_last_seen, with_lead, with_preceding, with_running_sum
 from docketspark.operators.query import Query, union_first
+from docketspark.plans.registry import small_list
 from docketspark.sources.tables import delete_rows, insert_rows, pivot_grid, update_rows, upsert_rows
 
 QUERIES: dict = {}
@@ -155,8 +156,8 @@ def tree_path(spark, d):
 @register("SELECT n_nationkey, r_regionkey, n_regionkey = r_regionkey AS own FROM nation CROSS JOIN region")
 def grid_cross(spark, d):
     # the columns of a grid are a small configuration: one array, exploded per row, instead of a product of tables
-    columns = t(spark, d, "region").agg(F.sort_array(F.collect_list("r_regionkey")).alias("cols"))
-    grid = t(spark, d, "nation").join(F.broadcast(columns)).select("n_nationkey", "n_regionkey", F.explode("cols").alias("r_regionkey"))
+    columns = F.array(*map(F.lit, small_list(t(spark, d, "region"), "r_regionkey")))
+    grid = t(spark, d, "nation").select("n_nationkey", "n_regionkey", F.explode(columns).alias("r_regionkey"))
     return grid.select("n_nationkey", "r_regionkey", (F.col("n_regionkey") == F.col("r_regionkey")).alias("own"))
 
 
@@ -194,11 +195,20 @@ def grouping_sets(spark, d):
 FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey), p AS (PARTITION BY o_orderpriority ORDER BY o_orderstatus)"""
 )
 def rank_family(spark, d):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    p = Window.partitionBy("o_orderpriority").orderBy("o_orderstatus")
-    return t(spark, d, "orders").select(
-        "o_orderkey", long(F.row_number().over(w)).alias("rn"), long(F.rank().over(p)).alias("rk"), long(F.dense_rank().over(p)).alias("dr"), long(F.ntile(4).over(w)).alias("q"), F.round(F.percent_rank().over(p), 6).alias("pr")
-    )
+    """Ranks from counts: one running count over partition edges, and the small table of counts by (key, value)."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", (-F.col("o_totalprice")).alias("neg"), F.lit(1).cast("long").alias("one"))
+    order = ["neg", "o_orderkey"]
+    counted = with_running_sum(line_up(o, "o_orderpriority", order), "o_orderpriority", order, "one", "rn")
+    per = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("c"))
+    up = Window.partitionBy("o_orderpriority").orderBy("o_orderstatus")
+    whole = Window.partitionBy("o_orderpriority")
+    ranks = per.select("o_orderpriority", "o_orderstatus", (F.sum("c").over(up) - F.col("c") + 1).alias("rk"), long(F.row_number().over(up)).alias("dr"), F.sum("c").over(whole).alias("n"))
+    j = counted.join(ranks, ["o_orderpriority", "o_orderstatus"])
+    b, r = F.floor(F.col("n") / 4), F.col("n") % 4
+    wide = r * (b + 1)
+    tile = F.when(F.col("rn") <= wide, F.floor((F.col("rn") - 1) / (b + 1)) + 1).otherwise(r + F.floor((F.col("rn") - 1 - wide) / F.greatest(b, F.lit(1))) + 1)
+    pr = F.when(F.col("n") == 1, 0.0).otherwise((F.col("rk") - 1) / (F.col("n") - 1))
+    return j.select("o_orderkey", long(F.col("rn")).alias("rn"), long(F.col("rk")).alias("rk"), "dr", long(tile).alias("q"), F.round(pr, 6).alias("pr"))
 
 
 @register(
@@ -206,20 +216,23 @@ def rank_family(spark, d):
 lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events"""
 )
 def rows_frame(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, d, "events").select(
-        "event_id", F.round(F.avg("value").over(w.rowsBetween(-3, 0)), 6).alias("moving"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"), F.lead("event_type").over(w).alias("next_type")
-    )
+    order = ["ts", "event_id"]
+    lined = line_up(t(spark, d, "events").select("user_id", "value", "event_type", *order), "user_id", order)
+    out = with_preceding(lined, "user_id", order, F.col("value"), 3, "three")
+    out = with_lead(with_running_sum(out, "user_id", order, "value", "running"), "user_id", order, F.col("event_type"), "next_type")
+    all4 = F.concat("three", F.filter(F.array("value"), lambda x: x.isNotNull()))
+    mean = F.aggregate(all4, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(all4), F.lit(0))
+    return out.select("event_id", F.round(mean, 6).alias("moving"), F.round("running", 4).alias("running"), "next_type")
 
 
-@register("SELECT event_id, CAST(count(*) OVER (PARTITION BY event_type ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_hour FROM (SELECT *, date_trunc('second', ts) AS ts FROM (SELECT event_id, event_type, ts FROM events)) ")
+@register("SELECT event_id, CAST(count(*) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_hour FROM (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)")
 def range_frame(spark, d):
+    """Events of the type in the hour before: counted by second first, so the window meets seconds, not events."""
     secs = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
+    e = t(spark, d, "events").select("event_id", "event_type", secs.alias("secs"))
+    per = e.groupBy("event_type", "secs").agg(F.count("*").alias("c"))
     w = Window.partitionBy("event_type").orderBy("secs").rangeBetween(-3600, 0)
-    return t(spark, d, "events").withColumn("secs", secs).select("event_id", F.count("*").over(w).alias("last_hour"))
-
-
-ORACLE["range_frame"] = "SELECT event_id, CAST(count(*) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_hour FROM (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)"
+    return e.join(per.select("event_type", "secs", F.sum("c").over(w).alias("last_hour")), ["event_type", "secs"]).select("event_id", "last_hour")
 
 
 @register(

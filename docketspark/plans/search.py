@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsoncols import json_text
 from docketspark.functions.text import stem, terms
-from docketspark.operators import entities, graph, grounding, retrieval
-from docketspark.plans.registry import Registry, long, table
+from docketspark.operators import entities, graph, grounding, retrieval, spans
+from docketspark.plans.registry import Registry, long, small_list, table
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -230,3 +230,116 @@ def chunk_counts(spark, d):
 def page_marks(spark, d):
     r = table(spark, d, "feed_passage_hits").where(F.col("text").contains("[Page "))
     return r.select("hit_id", long(F.regexp_count("text", F.lit(r"\[Page \d+\]"))).alias("pages")).distinct()
+
+
+@R.add()
+def legal_chunk_counts(spark, d):
+    """Section-aware chunks with overlap."""
+    from docketspark.operators.chunking import chunk_documents
+
+    return chunk_documents(table(spark, d, "documents"), "doc_id", "text", legal=True).select("doc_id", "chunk_index", "page_no", F.length("content").alias("n"), "source_start", "source_end")
+
+
+@R.add(
+    """SELECT doc_id, name AS term, CAST((length(text) - length(replace(text, name, ''))) / length(name) AS BIGINT) AS n FROM documents, (SELECT DISTINCT name FROM courts) WHERE contains(text, name)"""
+)
+def dictionary_counts(spark, d):
+    """Occurrences of the gazetteer's names; the gazetteer is a small dimension, its size is checked."""
+    names = [(n, "court", True) for n in small_list(table(spark, d, "courts"), "name")]
+    hits = spans.match_dictionary(table(spark, d, "documents"), "doc_id", "text", names)
+    return hits.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@R.add(
+    """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, 'Sąd (?:Rejonowy|Okręgowy|Apelacyjny) w [A-ZŁŚŻĆ][a-ząćęłńóśźż]+')) AS mention FROM documents)
+SELECT mention, c.id AS court_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM m LEFT JOIN (SELECT lower(name) AS key, min(lower(trim(id, ' \t'))) AS id FROM courts GROUP BY 1) c ON c.key = lower(mention) GROUP BY 1, 2"""
+)
+def court_mentions(spark, d):
+    """Court mentions resolved through the gazetteer by lower-case name."""
+    rx = "(Sąd (?:Rejonowy|Okręgowy|Apelacyjny) w [A-ZŁŚŻĆ][a-ząćęłńóśźż]+)"
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rx), 1)).alias("mention"))
+    per = m.groupBy("mention", "doc_id").agg(F.count("*").alias("n")).groupBy("mention").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    courts = table(spark, d, "courts").groupBy(F.lower("name").alias("key")).agg(F.min(clean_id("id")).alias("court_id"))
+    return per.join(courts, F.lower("mention") == F.col("key"), "left").select("mention", "court_id", "n", "docs")
+
+
+@R.add()
+def greedy_entities(spark, d):
+    """Entity hits of a document without overlaps, in both policies."""
+    h = entities.detect(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    per = h.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "rule_id")).alias("s"))
+    return per.select("doc_id", F.size("s").alias("hits"), F.size(spans.greedy_spans(F.col("s"))).alias("greedy"), F.size(spans.reaching_spans(F.col("s"))).alias("reaching"))
+
+
+@R.add(
+    """SELECT doc_id, CAST(strpos(text, 'umow') - 1 AS BIGINT) AS first_at, CAST((length(text) - length(replace(text, 'umow', ''))) / 4 AS BIGINT) AS n, CAST(length(text) - 3 - strpos(reverse(text), 'womu') AS BIGINT) AS last_at FROM documents WHERE contains(text, 'umow')"""
+)
+def word_positions(spark, d):
+    rows = table(spark, d, "documents").where(F.col("text").contains("umow"))
+    at = spans.occurrences(F.col("text"), F.lit("umow"))
+    return rows.select("doc_id", at.alias("at")).select("doc_id", long(F.col("at")[0]).alias("first_at"), long(F.size("at")).alias("n"), long(F.element_at("at", -1)).alias("last_at"))
+
+
+@R.add(
+    """WITH x AS (SELECT DISTINCT lower(trim(id, ' \t')) AS id, CASE WHEN json_valid(content) THEN content::JSON ->> '$' END AS p, content FROM tabular_cells)
+SELECT id, CASE WHEN json_valid(p) THEN p ->> '$.summary' ELSE content END AS summary, CASE WHEN json_valid(p) THEN coalesce(p ->> '$.flag', 'grey') ELSE 'grey' END AS flag FROM x"""
+)
+def cell_fields(spark, d):
+    """Tolerant reading of cell content: fields where it is JSON, else the raw text and a grey flag."""
+    c = table(spark, d, "tabular_cells").select(clean_id("id").alias("id"), "content").distinct().withColumn("p", json_text(F.col("content")))
+    ok = F.col("p").isNotNull()
+    flag = F.when(ok, F.coalesce(F.get_json_object("p", "$.flag"), F.lit("grey"))).otherwise("grey")
+    return c.select("id", F.when(ok, F.get_json_object("p", "$.summary")).otherwise(F.col("content")).alias("summary"), flag.alias("flag"))
+
+
+@R.add()
+def hybrid_search(spark, d):
+    """Text and citation-graph lists fused, then re-ranked by structural overlap with each query's best hit."""
+    text = retrieval.top_k(_bm25_scores(spark, d), 24).select("query_id", "id", "rank")
+    edges = _edges(spark, d)
+    central = graph.document_centrality(edges).select(F.col("doc_id").alias("id"), F.col("score").alias("c"))
+    ranked = retrieval.top_k(text.select("query_id", "id").join(central, "id"), 24, score="c").select("query_id", "id", "rank")
+    fused = retrieval.fuse(text.unionByName(ranked)).withColumn("score", F.round("score", 9))
+    profile = edges.groupBy("doc_id").agg(F.collect_set("value").alias("p"))
+    best = fused.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
+    reference = best.join(profile, best["best"] == profile["doc_id"], "left").select("query_id", F.col("p").alias("ref"))
+    mine = profile.select(F.col("doc_id").alias("id"), F.col("p").alias("own"))
+    none = F.array().cast("array<string>")
+    with_structure = fused.join(reference, "query_id").join(mine, "id", "left").withColumn("structure", graph.jaccard(F.coalesce("own", none), F.coalesce("ref", none)))
+    normed = retrieval.min_max(with_structure, "query_id", "score", "content")
+    final = F.when(F.size(F.coalesce("ref", none)) == 0, F.col("content")).otherwise(retrieval.blend(F.col("content"), F.col("structure"), 0.6))
+    return retrieval.top_k(normed.select("query_id", "id", F.round(final, 9).alias("score")), 8)
+
+
+@R.add()
+def nearest_name(spark, d):
+    """Nearest approved name of each mention by edit distance; the approved names are one small array a row, no pairs.
+
+    No twin: DuckDB counts edits in bytes.
+    """
+    rx = "(Sąd (?:Rejonowy|Okręgowy|Apelacyjny) w [A-ZŁŚŻĆ][a-ząćęłńóśźż]+)"
+    m = table(spark, d, "documents").select(F.regexp_extract("text", rx, 1).alias("mention")).where("mention != ''").distinct()
+    names = F.array(*map(F.lit, small_list(table(spark, d, "courts"), "name")))
+    best = F.array_min(F.transform(names, lambda n: F.struct(F.levenshtein(F.lower("mention"), F.lower(n)).alias("dist"), n.alias("name"))))
+    return m.select("mention", best.alias("b")).select("mention", F.col("b.name").alias("nearest"), long(F.col("b.dist")).alias("dist"))
+
+
+@R.add(
+    """WITH c AS (SELECT DISTINCT lower(trim(id, ' \\t')) AS id, CASE WHEN json_valid(content) THEN content::JSON ->> '$' END AS p FROM chat_messages WHERE content LIKE '%annotations%'),
+ev AS (SELECT id, CAST(i AS INTEGER) AS event_no, p -> ('$[' || i || '].annotations') AS a FROM (SELECT id, p, unnest(range(0, CAST(json_array_length(p) AS BIGINT))) AS i FROM c WHERE json_valid(p) AND p[1] = '[')),
+an AS (SELECT id, event_no, CAST(k AS INTEGER) AS pos, a ->> ('$[' || k || '].edit_id') AS edit_id, a ->> ('$[' || k || '].status') AS status FROM (SELECT id, event_no, a, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS k FROM ev WHERE json_type(a) = 'ARRAY')),
+lg AS (SELECT id, ts, CASE WHEN json_valid(payload) THEN payload::JSON ->> '$' END AS p FROM audit_log WHERE event_type = 'document.edit_resolved'),
+le AS (SELECT id, ts, p -> '$.edits' AS e FROM lg WHERE json_valid(p)),
+st AS (SELECT edit_id, arg_max(status, ts || lpad(CAST(id AS VARCHAR), 20, '0')) AS now FROM (SELECT id, ts, e ->> ('$[' || k || '].edit_id') AS edit_id, e ->> ('$[' || k || '].status') AS status FROM (SELECT id, ts, e, unnest(range(0, CAST(json_array_length(e) AS BIGINT))) AS k FROM le WHERE json_type(e) = 'ARRAY')) WHERE edit_id IS NOT NULL GROUP BY 1)
+SELECT an.id, event_no, pos, an.edit_id, coalesce(st.now, an.status) AS status FROM an LEFT JOIN st USING (edit_id) WHERE an.edit_id IS NOT NULL"""
+)
+def annotation_status(spark, d):
+    """Statuses nested in message events, refreshed from the log: exploded, joined once, with their places kept."""
+    c = table(spark, d, "chat_messages").where(F.col("content").contains("annotations")).select(clean_id("id").alias("id"), json_text(F.col("content")).alias("p")).distinct()
+    events = F.from_json(F.when(F.trim("p").startswith("["), F.col("p")), "array<struct<annotations:string>>")
+    per = c.select("id", F.posexplode(events).alias("event_no", "e")).select("id", "event_no", F.from_json(F.when(F.col("e.annotations").startswith("["), F.col("e.annotations")), "array<struct<edit_id:string,status:string>>").alias("a"))
+    ann = per.select("id", "event_no", F.posexplode("a").alias("pos", "x")).select("id", "event_no", "pos", "x.edit_id", "x.status").where("edit_id IS NOT NULL")
+    log = table(spark, d, "audit_log").where("event_type = 'document.edit_resolved'").select("id", "ts", F.get_json_object(json_text(F.col("payload")), "$.edits").alias("e"))
+    edits = log.select("id", "ts", F.explode(F.from_json(F.when(F.col("e").startswith("["), F.col("e")), "array<struct<edit_id:string,status:string>>")).alias("x"))
+    now = edits.groupBy(F.col("x.edit_id").alias("edit_id")).agg(F.max_by("x.status", F.struct("ts", "id")).alias("now"))
+    return ann.join(now, "edit_id", "left").select("id", "event_no", "pos", "edit_id", F.coalesce("now", "status").alias("status"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions import checksums, masking, text
 from docketspark.operators import chunking, grounding, ledger, retrieval
-from docketspark.operators.ordered import line_up, with_lag, with_last_seen, with_running_sum
+from docketspark.operators.ordered import line_up, with_lag, with_last_seen, with_lead, with_preceding, with_running_sum
 from docketspark.operators.pseudonym import residue, wrap
 from docketspark.operators.query import Query, QueryError, parse_or
 from docketspark.sources import tables as src
@@ -41,7 +41,14 @@ def test_ordered_over_partition_edges(spark, key):
     lined = line_up(df, key, ["t"], 7)
     out = with_running_sum(lined, key, ["t"], "v", "s")
     out = with_last_seen(with_lag(out, key, ["t"], F.col("v"), "l"), key, ["t"], F.col("w"), "seen")
-    got = {(x.k, x.t): (x.s, x.l, x.seen) for x in out.collect()}
+    out = with_preceding(with_lead(out, key, ["t"], F.col("w"), "n"), key, ["t"], F.col("v"), 3, "p")
+    rows = out.collect()
+    got = {(x.k, x.t): (x.s, x.l, x.seen) for x in rows}
+    groups: dict = {}
+    for k, t, v, w in sorted(data, key=lambda x: x[1]):
+        groups.setdefault(k if key else 0, []).append((k, t, v, w))
+    after = {(g[i][0], g[i][1]): (g[i + 1][3] if i + 1 < len(g) else None, [x[2] for x in g[max(0, i - 3) : i]]) for g in groups.values() for i in range(len(g))}
+    assert {(x.k, x.t): (x.n, x.p) for x in rows} == after
     state: dict = {}
     for k, t, v, w in sorted(data, key=lambda x: x[1]):
         g = k if key else 0
