@@ -53,7 +53,7 @@ CUES = {
     "pass": r"paszport|passport|reisepass",
     "number": r"pesel|nip\b|podatk|tax|steuer|ewidencyjn|national|legitymuj|numerem",
     "other": r"rachun|konto|iban|zamówieni|faktur|fv|umow[ay] nr|krs|regon|księg|art\.|poz\.|dz\. ?u|nr akt|sygn|order|account|invoice|kwot|warto|sum[aęy]|eur|wysoko|sporu",
-    "addr": r"adres|doręcze|zam\.|zamieszk|kierowa|siedzib|położon|przy|notices|zustellung|address|wohnhaft|lokal",
+    "addr": r"adres|doręcze|zam\.|zamieszk|kierowa|siedzib|położon|\bprzy\b|notices|zustellung|address|wohnhaft|lokal",
     "name": r"nazwisko|obecni|podpisali|poważaniem|regards|grüßen|osoba|całości|obecnie|wniosek|wezwano|spad\w+|imieniu|pełnomocni\w+ dla|named|signed",
 }
 
@@ -284,8 +284,8 @@ def _bare(text: str, m: re.Match, out: list[Segment]) -> None:
     if not (re.search("[a-z]", flat) or town or german) and "near:addr" not in _left_cues(text, m.start()):
         return
     for k in range(len(parts)):  # the street name may start at any of the words
-        if parts[k].endswith("."):
-            continue
+        if parts[k].endswith(".") or not any(len(w) > 2 and w[1:].islower() for w in parts[k:]):
+            continue  # an abbreviation opens no street name, and a case signature is none
         start = m.start() if not k else m.start() + len(re.match(rf"(?:\S+{_B}+){{{k}}}", words).group())
         name = _tidy(text[start : m.end(1)])
         f = ["bias", "bare", *_left_cues(text, start), *(["postal"] if town else []), *(["flat"] if flat.strip() else []), *(["german"] if german else [])]

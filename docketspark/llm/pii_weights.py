@@ -1,71 +1,70 @@
 """Weights of the semi-Markov field, written by pii_train."""
 
 WEIGHTS: dict[str, float] = {
-    'address|bare': -2.109,
-    'address|bias': 1.712,
-    'address|caps_word': -1.075,
-    'address|cue:addr': 1.474,
-    'address|cue:card': -0.592,
-    'address|cue:name': 0.167,
-    'address|cue:number': -2.830,
-    'address|cue:other': -0.037,
-    'address|cue:pass': 0.064,
-    'address|cue:phone': 0.926,
-    'address|cut_words': -1.708,
-    'address|english': 0.661,
-    'address|flat': -1.079,
-    'address|german': 0.924,
-    'address|later_start': -3.180,
-    'address|near:addr': 1.532,
-    'address|near:card': -0.611,
-    'address|near:name': 0.103,
-    'address|near:phone': 0.924,
-    'address|postal': 2.173,
-    'address|street_word': 1.927,
+    'address|bare': -2.089,
+    'address|bias': 1.742,
+    'address|caps_word': -0.011,
+    'address|cue:addr': 1.520,
+    'address|cue:card': -0.617,
+    'address|cue:name': 0.149,
+    'address|cue:number': -3.182,
+    'address|cue:other': -0.039,
+    'address|cue:pass': 0.068,
+    'address|cue:phone': 0.880,
+    'address|cut_words': -1.202,
+    'address|english': 0.634,
+    'address|flat': -0.902,
+    'address|german': 0.872,
+    'address|later_start': -3.146,
+    'address|near:addr': 1.599,
+    'address|near:card': -0.632,
+    'address|near:name': 0.099,
+    'address|near:phone': 0.872,
+    'address|postal': 2.054,
+    'address|street_word': 1.957,
     'email|bias': 0.525,
     'email|dotted': 0.525,
     'email|no_tld': -4.099,
     'email|spelled': 1.563,
     'email|tld': 2.725,
-    'identity|card': 0.908,
-    'identity|card_ok': 0.261,
-    'identity|cue:addr': 0.709,
-    'identity|cue:card': 1.597,
-    'identity|cue:name': 0.505,
+    'identity|card': 0.909,
+    'identity|card_ok': 0.265,
+    'identity|cue:addr': 0.270,
+    'identity|cue:card': 1.599,
+    'identity|cue:name': 0.503,
     'identity|cue:number': 1.503,
-    'identity|cue:other': 0.643,
-    'identity|cue:pass': 1.396,
-    'identity|cue:phone': 0.207,
-    'identity|lower': 1.199,
-    'identity|money_right': -2.073,
-    'identity|near:addr': 0.265,
-    'identity|near:card': 1.603,
-    'identity|near:name': 0.175,
-    'identity|near:number': 1.506,
-    'identity|near:other': 0.026,
-    'identity|near:pass': 1.403,
-    'identity|nip': 2.689,
-    'identity|no_series': -3.693,
-    'identity|pass': 1.401,
-    'identity|pesel': 2.773,
-    'identity|upper': 1.153,
-    'name|bias': 1.922,
-    'name|caps': 0.914,
+    'identity|cue:other': 0.641,
+    'identity|cue:pass': 1.399,
+    'identity|cue:phone': 0.205,
+    'identity|lower': 1.205,
+    'identity|money_right': -2.074,
+    'identity|near:card': 1.604,
+    'identity|near:name': 0.174,
+    'identity|near:number': 1.507,
+    'identity|near:other': 0.024,
+    'identity|near:pass': 1.406,
+    'identity|nip': 2.698,
+    'identity|no_series': -3.695,
+    'identity|pass': 1.404,
+    'identity|pesel': 2.784,
+    'identity|upper': 1.155,
+    'name|bias': 1.923,
+    'name|caps': 0.913,
     'name|cue:name': 1.328,
-    'name|cut_left:given': -1.134,
-    'name|cut_left:other': 1.447,
-    'name|cut_left:stop': -1.254,
-    'name|cut_left:surname': -2.620,
-    'name|cut_right:given': -1.282,
+    'name|cut_left:given': -1.135,
+    'name|cut_left:other': 1.446,
+    'name|cut_left:stop': -1.255,
+    'name|cut_left:surname': -2.621,
+    'name|cut_right:given': -1.283,
     'name|cut_right:other': 1.478,
     'name|cut_right:stop': -0.171,
     'name|cut_right:surname': -1.292,
     'name|cut_right:title': -0.026,
-    'name|number_right': -1.347,
+    'name|number_right': -1.317,
     'name|shape:given': -1.234,
-    'name|shape:given+other': -1.200,
-    'name|shape:given+surname': 2.041,
-    'name|shape:given+surname+other': -1.461,
+    'name|shape:given+other': -1.156,
+    'name|shape:given+surname': 2.040,
+    'name|shape:given+surname+other': -1.462,
     'name|shape:given+surname+stop': -0.335,
     'name|shape:initial': -0.975,
     'name|shape:initial+surname': 1.597,
@@ -75,38 +74,38 @@ WEIGHTS: dict[str, float] = {
     'name|shape:other+other+given': -0.030,
     'name|shape:other+stop': -0.958,
     'name|shape:other+stop+other': -0.387,
-    'name|shape:stop': -4.420,
+    'name|shape:stop': -4.421,
     'name|shape:stop+other': -2.568,
     'name|shape:stop+stop': -1.492,
     'name|shape:stop+stop+stop': -0.656,
-    'name|shape:surname': 2.761,
-    'name|shape:surname+given': 1.968,
+    'name|shape:surname': 2.760,
+    'name|shape:surname+given': 1.967,
     'name|shape:surname+other': -0.906,
     'name|shape:surname+other+other': -0.042,
     'name|shape:surname+other+stop': -0.046,
     'name|shape:surname+stop': -0.132,
     'name|shape:surname+stop+stop': -0.095,
-    'name|shape:surname+surname': -0.765,
-    'name|street_left': -0.827,
-    'name|title': 1.448,
+    'name|shape:surname+surname': -0.758,
+    'name|street_left': -0.825,
+    'name|title': 1.447,
     'name|title_single': -1.940,
-    'phone|bias': 1.351,
-    'phone|cue:addr': -0.820,
+    'phone|bias': 1.348,
+    'phone|cue:addr': -1.005,
     'phone|cue:card': 0.082,
-    'phone|cue:name': -0.037,
+    'phone|cue:name': -0.036,
     'phone|cue:number': 1.191,
-    'phone|cue:other': -2.349,
+    'phone|cue:other': -2.355,
     'phone|cue:pass': 0.319,
-    'phone|cue:phone': 1.385,
-    'phone|dashed': 1.496,
-    'phone|dotted': 0.061,
-    'phone|money_right': -3.398,
-    'phone|near:addr': -1.113,
-    'phone|near:name': 0.075,
+    'phone|cue:phone': 1.382,
+    'phone|dashed': 1.499,
+    'phone|dotted': 0.069,
+    'phone|money_right': -3.356,
+    'phone|near:addr': -1.123,
+    'phone|near:name': 0.074,
     'phone|near:number': 1.204,
-    'phone|near:other': -2.622,
-    'phone|near:phone': 1.385,
-    'phone|prefix': 1.800,
-    'phone|solid': 1.500,
-    'phone|spaced': 1.073,
+    'phone|near:other': -2.628,
+    'phone|near:phone': 1.382,
+    'phone|prefix': 1.790,
+    'phone|solid': 1.448,
+    'phone|spaced': 1.089,
 }
