@@ -9,7 +9,7 @@ fit) and the smaller gap is looked up again.  Each pattern uses some length up,
 has about as many patterns as lengths.
 
 Items then find their places by (length, rank among the items of that length): ranks come
-from counts per (length, hash bucket), so a length that a third of all items share is still
+from counts per (length, bucket), so a length that a third of all items share is still
 numbered in parallel, and each container number is arithmetic on the plan.
 """
 
@@ -135,8 +135,8 @@ def pack(items: DataFrame, size_col: str, keep: list[str], capacity: int, bucket
     An item above the capacity is divided into whole containers and one rest piece (``piece``
     counts from 0, ``piece_start`` is its offset in the item); no other item is divided.  Items
     of size 0 or null take no room: one row with piece_size 0 and a null container.  Repeated rows
-    are items of their own.  ``items`` must give the same rows when read again; it is written
-    to the checkpoint folder first.
+    are items of their own; buckets are drawn by place, not by key, so that repeats spread too.  The
+    pieces are written to the checkpoint folder once, and everything after reads that table.
     """
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError("the histogram of lengths is held by the driver; capacity is at most 2^20")
@@ -153,7 +153,7 @@ def pack(items: DataFrame, size_col: str, keep: list[str], capacity: int, bucket
             *keep, F.col("piece").cast("int"), (F.col("piece") * cap).alias("piece_start"),
             F.when(F.col("piece") < F.col("_whole"), cap).otherwise(F.col("_rest")).alias("piece_size"),
         )
-        .withColumn("_bucket", F.pmod(F.xxhash64(*keep, "piece"), F.lit(buckets)).cast("int"))
+        .withColumn("_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     )
     per = pieces.where("piece_size > 0").groupBy("piece_size", "_bucket").agg(F.count("*").alias("_n"))
     per = cut(per)
