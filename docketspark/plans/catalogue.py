@@ -8,4 +8,4 @@ _MODULES = [problems, relational, texts, analytics, search, more, streams]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: sql for m in _MODULES for k, sql in m.ORACLE.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "hybrid_search"
