@@ -179,7 +179,7 @@ def pack(items: DataFrame, size_col: str, keep: list[str], capacity: int, bucket
     placed = (
         pieces.where("piece_size > 0")
         .withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(bases, ["piece_size", "_bucket"])
+        .join(bases.hint("shuffle_hash"), ["piece_size", "_bucket"])  # partitioned as the window is; never broadcast
         .withColumn("_at", place_udf(F.col("piece_size"), F.col("_base") + F.col("_rank")))
         .select(*keep, "piece", "piece_start", "piece_size", "_at.container_id", "_at.container_offset")
     )
