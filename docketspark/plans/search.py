@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsoncols import json_text
 from docketspark.functions.text import stem, terms
-from docketspark.operators import entities, graph, grounding, retrieval, spans
+from docketspark.operators import entities, graph, grounding, rerank, retrieval, spans
 from docketspark.plans.registry import Registry, long, small_list, table
+from docketspark.session import cut
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -292,23 +293,35 @@ def cell_fields(spark, d):
     return c.select("id", F.when(ok, F.get_json_object("p", "$.summary")).otherwise(F.col("content")).alias("summary"), flag.alias("flag"))
 
 
+@R.add(
+    f"""WITH {_BM25}, r AS (SELECT query_id, id, score FROM b WHERE rank <= 24), {_EDGES}, pr AS (SELECT doc_id, list(value) AS v FROM e GROUP BY 1),
+tp AS (SELECT query_id, id AS best FROM b WHERE rank = 1), x AS (SELECT r.query_id, r.id, r.score, coalesce(own.v, []) AS own, coalesce(ref.v, []) AS ref FROM r JOIN tp USING (query_id) LEFT JOIN pr own ON own.doc_id = r.id LEFT JOIN pr ref ON ref.doc_id = tp.best),
+j AS (SELECT *, CASE WHEN len(list_distinct(list_concat(own, ref))) = 0 THEN 0.0 ELSE CAST(len(list_intersect(own, ref)) AS DOUBLE) / len(list_distinct(list_concat(own, ref))) END AS raw, min(score) OVER q AS lo, max(score) OVER q AS hi, count(*) OVER q AS n FROM x WINDOW q AS (PARTITION BY query_id)),
+k AS (SELECT *, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS content, min(raw) OVER q AS rl, max(raw) OVER q AS rh FROM j WINDOW q AS (PARTITION BY query_id)),
+f AS (SELECT query_id, id, round(CASE WHEN n < 2 OR len(ref) = 0 THEN content ELSE 0.6 * content + 0.4 * CASE WHEN rh = rl THEN 1.0 ELSE (raw - rl) / (rh - rl) END END, 6) AS score FROM k)
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 8"""
+)
+def dual_rerank(spark, d):
+    """Text hits re-ranked by the overlap of their cited signatures with those of the best hit."""
+    text = cut(retrieval.top_k(_bm25_scores(spark, d), 24).select("query_id", "id", "score"))
+    profile = _edges(spark, d).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("value").alias("profile"))
+    return retrieval.top_k(rerank.dual_rerank(text, profile).withColumn("score", F.round("score", 6)), 8)
+
+
 @R.add()
 def hybrid_search(spark, d):
-    """Text and citation-graph lists fused, then re-ranked by structural overlap with each query's best hit."""
-    text = retrieval.top_k(_bm25_scores(spark, d), 24).select("query_id", "id", "rank")
+    """Text and citation-graph lists fused, re-ranked by citation profile and then by event roles, cut to 8 at the end."""
+    text = cut(retrieval.top_k(_bm25_scores(spark, d), 24).select("query_id", "id", "rank"))
     edges = _edges(spark, d)
     central = graph.document_centrality(edges).select(F.col("doc_id").alias("id"), F.col("score").alias("c"))
     ranked = retrieval.top_k(text.select("query_id", "id").join(central, "id"), 24, score="c").select("query_id", "id", "rank")
-    fused = retrieval.fuse(text.unionByName(ranked)).withColumn("score", F.round("score", 9))
-    profile = edges.groupBy("doc_id").agg(F.collect_set("value").alias("p"))
-    best = fused.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
-    reference = best.join(profile, best["best"] == profile["doc_id"], "left").select("query_id", F.col("p").alias("ref"))
-    mine = profile.select(F.col("doc_id").alias("id"), F.col("p").alias("own"))
-    none = F.array().cast("array<string>")
-    with_structure = fused.join(reference, "query_id").join(mine, "id", "left").withColumn("structure", graph.jaccard(F.coalesce("own", none), F.coalesce("ref", none)))
-    normed = retrieval.min_max(with_structure, "query_id", "score", "content")
-    final = F.when(F.size(F.coalesce("ref", none)) == 0, F.col("content")).otherwise(retrieval.blend(F.col("content"), F.col("structure"), 0.6))
-    return retrieval.top_k(normed.select("query_id", "id", F.round(final, 9).alias("score")), 8)
+    fused = cut(retrieval.fuse(text.unionByName(ranked)).withColumn("score", F.round("score", 9)))  # a few rows a query, used several times
+    profile = edges.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("value").alias("profile"))
+    dual = cut(rerank.dual_rerank(fused, profile).withColumn("score", F.round("score", 9)))
+    roles = sorted(set(ROLES.values()))
+    frames = graph.role_frames(_role_hits(spark, d), "doc_id", roles).withColumnRenamed("doc_id", "id")
+    final = rerank.event_rerank(dual, frames, roles)
+    return retrieval.top_k(final.withColumn("score", F.round("score", 9)), 8)
 
 
 @R.add()
