@@ -139,3 +139,19 @@ def inline_citations(c: Column) -> Column:
     p = r"\[\[page:([^|\]]*)\|\|quote:([^\]]*)\]\]"
     pages, quotes = F.regexp_extract_all(c, F.lit(p), 1), F.regexp_extract_all(c, F.lit(p), 2)
     return F.filter(F.zip_with(pages, quotes, lambda a, b: F.struct(F.trim(a).alias("page"), F.trim(b).alias("quote"))), lambda x: x["quote"] != "")
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common start of two texts: first unequal place of the zipped characters."""
+    short = F.least(F.length(a), F.length(b))
+    equal = F.zip_with(F.split(F.substring(a, F.lit(1), short), ""), F.split(F.substring(b, F.lit(1), short), ""), lambda x, y: x == y)
+    first = F.array_position(equal, False)
+    return F.when(first == 0, short).otherwise(first.cast("int") - 1)
+
+
+def trim_common(a: Column, b: Column) -> tuple[Column, Column]:
+    """(deleted, inserted): what is left of both texts without their common start and end."""
+    head = common_prefix(a, b)
+    rest_a, rest_b = F.substring(a, head + 1, F.length(a)), F.substring(b, head + 1, F.length(b))
+    tail = common_prefix(F.reverse(rest_a), F.reverse(rest_b))
+    return F.substring(rest_a, F.lit(1), F.length(rest_a) - tail), F.substring(rest_b, F.lit(1), F.length(rest_b) - tail)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
+from docketspark.functions.jsoncols import json_text
+from docketspark.functions.text import trim_common
 from docketspark.plans.registry import Registry, long, table
 
 R = Registry()
@@ -111,3 +113,36 @@ def evasion_signals(spark, d):
     encoded = long(F.regexp_count(c, F.lit(r"(?:^|[^A-Za-z0-9+/=])[A-Za-z0-9+/]{60,}")))
     rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", stacks.alias("stacks"), tags.alias("tags"), encoded.alias("encoded"))
     return rows.where("stacks > 0 OR tags OR encoded > 0")
+
+
+@R.add(
+    """WITH c AS (SELECT DISTINCT lower(trim(id, ' \t')) AS id, CASE WHEN json_valid(content) THEN content::JSON ->> '$' END AS p FROM chat_messages WHERE content LIKE '%inserted_text%'),
+ev AS (SELECT p -> ('$[' || i || '].annotations') AS a FROM (SELECT p, unnest(range(0, CAST(json_array_length(p) AS BIGINT))) AS i FROM c WHERE json_valid(p) AND p[1] = '[')),
+an AS (SELECT DISTINCT a ->> ('$[' || k || '].edit_id') AS edit_id, a ->> ('$[' || k || '].deleted_text') AS x, a ->> ('$[' || k || '].inserted_text') AS y FROM (SELECT a, unnest(range(0, CAST(json_array_length(a) AS BIGINT))) AS k FROM ev WHERE json_type(a) = 'ARRAY')),
+h AS (SELECT *, coalesce(list_position(list_transform(range(1, least(length(x), length(y)) + 1), lambda i: x[i] = y[i]), false) - 1, least(length(x), length(y))) AS n FROM an WHERE x IS NOT NULL AND y IS NOT NULL),
+r AS (SELECT edit_id, n, substring(x, n + 1) AS rx, substring(y, n + 1) AS ry FROM h),
+s AS (SELECT *, coalesce(list_position(list_transform(range(1, least(length(rx), length(ry)) + 1), lambda i: reverse(rx)[i] = reverse(ry)[i]), false) - 1, least(length(rx), length(ry))) AS m FROM r)
+SELECT edit_id, substring(rx, 1, length(rx) - m) AS deleted, substring(ry, 1, length(ry) - m) AS inserted FROM s"""
+)
+def edit_diffs(spark, d):
+    """What an edit really changes: its deleted and inserted text without their common start and end."""
+    c = table(spark, d, "chat_messages").where(F.col("content").contains("inserted_text")).select(json_text(F.col("content")).alias("p"))
+    events = F.from_json(F.when(F.trim("p").startswith("["), F.col("p")), "array<struct<annotations:string>>")
+    per = c.select(F.explode(events).alias("e")).select(F.from_json(F.when(F.col("e.annotations").startswith("["), F.col("e.annotations")), "array<struct<edit_id:string,deleted_text:string,inserted_text:string>>").alias("a"))
+    x = per.select(F.explode("a").alias("x")).select("x.*").where("deleted_text IS NOT NULL AND inserted_text IS NOT NULL").distinct()
+    deleted, inserted = trim_common(F.col("deleted_text"), F.col("inserted_text"))
+    return x.select("edit_id", deleted.alias("deleted"), inserted.alias("inserted"))
+
+
+@R.add(
+    """WITH f AS (SELECT r_regionkey, sha256(r_name || '|' || string_agg(n_name, '|' ORDER BY n_name)) AS now FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name),
+b AS (SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'old' ELSE now END AS base FROM f WHERE r_regionkey <> 0) SELECT f.r_regionkey, CASE WHEN base IS NULL THEN 'no baseline' WHEN base = now THEN 'same' ELSE 'changed' END AS drift FROM f LEFT JOIN b USING (r_regionkey)"""
+)
+def fingerprint_drift(spark, d):
+    """Definitions whose fingerprint differs from the recorded one."""
+    j = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    now = j.groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list("n_name")).alias("p"))
+    now = now.select("r_regionkey", F.sha2(F.concat_ws("|", "r_name", F.array_join("p", "|")), 256).alias("now"))
+    base = now.where("r_regionkey != 0").select("r_regionkey", F.when(F.col("r_regionkey") == 1, "old").otherwise(F.col("now")).alias("base"))
+    drift = F.when(F.col("base").isNull(), "no baseline").when(F.col("base") == F.col("now"), "same").otherwise("changed")
+    return now.join(base, "r_regionkey", "left").select("r_regionkey", drift.alias("drift"))

@@ -147,7 +147,7 @@ def profile_jaccard(spark, d):
 
 
 #: Entity kinds and the event roles they fill.
-ROLES = {"SYGNATURA": "basis", "DATA": "date", "KWOTA": "amount", "PRZEPIS": "basis"}
+ROLES = {"SYGNATURA": "basis", "DATA": "date", "KWOTA": "amount", "PRZEPIS": "basis", "FIRMA": "party", "OSOBA": "party", "ZDARZENIE": "event"}
 
 
 def _role_hits(spark, d):

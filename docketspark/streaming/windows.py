@@ -74,6 +74,52 @@ def unmask_stream(deltas: DataFrame, originals: dict[str, str]) -> DataFrame:
     return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def assemble_lines(deltas: DataFrame) -> DataFrame:
+    """conv_id, seq, line: text deltas put together to whole lines; the rest of a stream comes with its ``last`` delta.
+
+    ``deltas``: conv_id, seq, delta, last.  The state of a key is its unfinished line.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = state.get[0] if state.exists else "", []
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            *whole, held = (held + (r.delta or "")).split("\n")
+            if r.last and held:
+                whole, held = [*whole, held], ""
+            out += [(key[0], r.seq, line) for line in whole]
+        state.update((held,))
+        yield pd.DataFrame(out, columns=["conv_id", "seq", "line"])
+
+    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id string, seq long, line string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def valid_rows(lines: DataFrame, columns: DataFrame) -> DataFrame:
+    """JSON lines of a known ``column_index``: conv_id, column_index, summary, flag (grey by default); others dropped.
+
+    ``columns``: the known column_index values, a static table.
+    """
+    parsed = lines.select("conv_id", F.from_json("line", "column_index int, summary string, flag string", {"mode": "PERMISSIVE"}).alias("r"))
+    rows = parsed.where("r.column_index IS NOT NULL").select("conv_id", "r.column_index", F.coalesce("r.summary", F.lit("")).alias("summary"), F.coalesce("r.flag", F.lit("grey")).alias("flag"))
+    return rows.join(columns.select("column_index").distinct(), "column_index", "left_semi").select("conv_id", "column_index", "summary", "flag")
+
+
+def block_roots(log: DataFrame, out: str, name: str = "roots") -> None:
+    """A Merkle root over the new rows (id, hash) of each micro-batch, appended to the table ``out``.
+
+    Batches are numbered by the stream, and a batch that is run again replaces its own row.
+    """
+    from docketspark.operators.ledger import merkle_roots
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.lit(number).cast("long").alias("block"), "id", "hash").distinct()
+        span = rows.groupBy("block").agg(F.min("id").alias("block_start"), F.max("id").alias("block_end"))
+        merkle_roots(rows, "block", "id", "hash").join(span, "block").drop("block").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    ensure_checkpoint_dir(log.sparkSession)
+    q = log.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}-{name}-state").foreachBatch(put).start()
+    q.awaitTermination()
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a bounded stream to its end (availableNow) into a table in the shared folder and read it."""
     import uuid
