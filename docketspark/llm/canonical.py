@@ -172,12 +172,17 @@ def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b), the smaller first: documents whose texts differ in characters but look the same.
 
-    Classes of one variant - exact copies included - are dropped before any pair is made, so the
-    join meets only documents that do have a partner, and its size is that of the result.
+    Classes of one variant - exact copies included - are dropped first.  Then different variants of a
+    class are linked with each other, and only these links are filled with their documents: copies of
+    one text never meet, so nothing is made that is not in the result.
     """
     d = cut(look_digests(df, id_col, text_col))  # the texts are read once; both sides below read the digests
     mixed = d.groupBy("look").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi")).where("_lo != _hi").select("look")
     few = d.join(mixed, "look", "left_semi").distinct()
-    b = few.select("look", F.col(id_col).alias("_b"), F.col("raw").alias("_raw"))
-    pairs = few.join(b, "look").where((F.col("raw") != F.col("_raw")) & (F.col(id_col) < F.col("_b")))
-    return pairs.select(F.col(id_col).alias(f"{id_col}_a"), F.col("_b").alias(f"{id_col}_b")).distinct()
+    variants = few.select("look", "raw").distinct()
+    other = variants.select("look", F.col("raw").alias("_raw_b"))
+    links = variants.join(other, "look").where(F.col("raw") < F.col("_raw_b")).select(F.col("raw").alias("_raw_a"), "_raw_b")
+    docs = few.select("raw", F.col(id_col).alias("_id"))
+    a, b = docs.select(F.col("raw").alias("_raw_a"), F.col("_id").alias("_a")), docs.select(F.col("raw").alias("_raw_b"), F.col("_id").alias("_b"))
+    pairs = links.join(a, "_raw_a").join(b, "_raw_b").where(F.col("_a") != F.col("_b"))
+    return pairs.select(F.least("_a", "_b").alias(f"{id_col}_a"), F.greatest("_a", "_b").alias(f"{id_col}_b")).distinct()
