@@ -15,12 +15,12 @@ from hashlib import blake2b
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.llm.messages import spoken_text
-from docketspark.session import cut_in_order, shuffle_parallelism
+from docketspark.operators.ordered import line_up, with_lag
 
 #: The spellings of roles, in clean form.
 USER_NAMES = ["user", "human", "uzytkownik", "użytkownik", "klient", "client", "customer"]
@@ -73,17 +73,6 @@ def fold_events(df: DataFrame, version: str | None = None, op: str | None = None
     return last.where("m._op IS DISTINCT FROM 'delete'").select("message_id", "m.chat_id", "m.speaker", "created_at", "m._same", "m.whole")
 
 
-def _previous_over_edges(rows: DataFrame, value: Column) -> DataFrame:
-    """(_pid, chat_id, _edge): the last ``value`` of the chat in an earlier partition; only chats over several.
-
-    Rows are contiguous by chat, so a partition has at most two such chats and the table at most
-    twice as many rows as there are partitions: it is bounded whatever the data.
-    """
-    ends = rows.groupBy("_pid", "chat_id").agg(F.max_by(value, "_at").alias("_last"))
-    ordered = Window.partitionBy("chat_id").orderBy("_pid")
-    return ends.withColumn("_edge", F.lag("_last").over(ordered)).where("_edge IS NOT NULL").select("_pid", "chat_id", "_edge")
-
-
 def order_messages(messages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Messages in conversation order, without repeats of the one before: chat_id, message_id, speaker,
     created_at, usable, previous_id, previous_speaker.
@@ -92,25 +81,13 @@ def order_messages(messages: DataFrame, partitions: int | None = None) -> DataFr
     user first, then the id.  A message with the role and text of the one before it is dropped, as
     the earlier stands for both.
     """
-    n = partitions or shuffle_parallelism(messages.sparkSession)
     key = F.struct("created_at", F.when(F.col("speaker") == "user", 0).when(F.col("speaker") == "assistant", 1).otherwise(2).alias("r"), "message_id")
     usable = F.col("created_at").isNotNull() & F.col("speaker").isNotNull() & F.col("whole")
     seen = messages.select("message_id", "chat_id", "speaker", key.alias("_at"), "_same", usable.alias("usable"))
-    lined = cut_in_order(
-        seen.repartitionByRange(n, "chat_id", "_at").sortWithinPartitions("chat_id", "_at").withColumn("_pid", F.spark_partition_id())
-    )
-    near = Window.partitionBy("_pid", "chat_id").orderBy("_at")
-    edge = F.broadcast(_previous_over_edges(lined, F.col("_same")))
-    marked = (
-        lined.join(edge, ["_pid", "chat_id"], "left")
-        .withColumn("again", F.coalesce(F.coalesce(F.lag("_same").over(near), "_edge") == F.col("_same"), F.lit(False)))
-        .drop("_edge")
-    )
-    kept = marked.where("NOT again")
-    mine = F.struct(F.col("message_id").alias("id"), F.col("speaker").alias("speaker"))
-    edge = F.broadcast(_previous_over_edges(kept, mine))
-    before = F.coalesce(F.lag(mine).over(near), F.col("_edge"))
-    turns = kept.join(edge, ["_pid", "chat_id"], "left").withColumn("_b", before)
+    lined = line_up(seen, "chat_id", ["_at"], partitions)
+    marked = with_lag(lined, "chat_id", ["_at"], F.col("_same"), "_before")
+    kept = marked.where(~F.coalesce(F.col("_before") == F.col("_same"), F.lit(False)))
+    turns = with_lag(kept, "chat_id", ["_at"], F.struct(F.col("message_id").alias("id"), F.col("speaker").alias("speaker")), "_b")
     return turns.select("chat_id", "message_id", "speaker", F.col("_at.created_at").alias("created_at"), "usable", F.col("_b.id").alias("previous_id"), F.col("_b.speaker").alias("previous_speaker"))
 
 

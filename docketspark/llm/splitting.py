@@ -22,10 +22,11 @@ from functools import reduce
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.session import cut, cut_in_order, shuffle_parallelism
+from docketspark.operators.ordered import PID, line_up, with_running_sum
+from docketspark.session import cut
 
 RANGE = 1 << 16
 GROUP = 256  # boundary tables stitched in one task
@@ -361,19 +362,8 @@ def split_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> Data
 
 
 def running_numbers(df: DataFrame, key: str, order: list[str], count_col: str, partitions: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``count_col`` within ``key`` in ``order``, as column ``before``.
-
-    One range partition over (key, order); sums inside a partition, and a table of at most two
-    keys a partition carries the sums over the partition edges, so a hot key is spread.
-    """
-    n = partitions or shuffle_parallelism(df.sparkSession)
-    lined = cut_in_order(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id()))
-    inside = Window.partitionBy("_pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    per = lined.groupBy("_pid", key).agg(F.sum(count_col).alias("_n"))
-    over = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    edges = per.withColumn("_edge", F.sum("_n").over(over)).where("_edge > 0").select("_pid", F.col(key).alias("_k"), "_edge")
-    joined = lined.join(F.broadcast(edges), (lined["_pid"] == edges["_pid"]) & lined[key].eqNullSafe(F.col("_k")), "left").drop(edges["_pid"]).drop("_k")
-    return joined.withColumn("before", F.coalesce(F.sum(count_col).over(inside), F.lit(0)) + F.coalesce("_edge", F.lit(0))).drop("_edge", "_pid")
+    """Exclusive running sum of ``count_col`` within ``key`` in ``order``, as column ``before``; a hot key is spread."""
+    return with_running_sum(line_up(df, key, order, partitions), key, order, count_col, "before", inclusive=False).drop(PID)
 
 
 # ---------------------------------------------------------------- files
