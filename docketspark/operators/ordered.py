@@ -55,17 +55,21 @@ def _joined(lined: DataFrame, key: str | None, edges: DataFrame) -> DataFrame:
     return lined.join(F.broadcast(edges), on, "left").drop("_epid", "_ekey")
 
 
-def with_lag(lined: DataFrame, key: str | None, order: list[str], value: Column, out: str) -> DataFrame:
-    """``value`` of the row before within the key; null for the first row.
+def with_lags(lined: DataFrame, key: str | None, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Each value of the row before within the key, under its name; null for the first row.
 
-    A null value on the last row of a partition is read as 'none' by the first row of the next.
+    The values are read inside the window and the edge aggregate, so no copy of them is shuffled.
     """
     near = _near(key, order)
-    rows = lined.withColumn("_val", value)
-    edges = _carry(rows.withColumn("_ord", F.struct(*order)), key, F.max_by("_val", "_ord"), "lag")
-    joined = _joined(rows, key, edges)
+    packed = F.struct(*(v.alias(out) for out, v in values.items()))
+    joined = _joined(lined, key, _carry(lined, key, F.max_by(packed, F.struct(*order)), "lag"))
     first = F.row_number().over(near) == 1
-    return joined.withColumn(out, F.when(first, F.col("_edge")).otherwise(F.lag("_val").over(near))).drop("_val", "_edge")
+    return joined.withColumns({out: F.when(first, F.col("_edge")[out]).otherwise(F.lag(v).over(near)) for out, v in values.items()}).drop("_edge")
+
+
+def with_lag(lined: DataFrame, key: str | None, order: list[str], value: Column, out: str) -> DataFrame:
+    """``value`` of the row before within the key; null for the first row."""
+    return with_lags(lined, key, order, {out: value})
 
 
 def with_running_sum(lined: DataFrame, key: str | None, order: list[str], value: str, out: str, inclusive: bool = True) -> DataFrame:
