@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.llm.messages import spoken_text
-from docketspark.operators.ordered import line_up, with_lag
+from docketspark.operators.ordered import line_up, with_lag, with_lags
+from docketspark.session import cut
 
 #: The spellings of roles, in clean form.
 USER_NAMES = ["user", "human", "uzytkownik", "użytkownik", "klient", "client", "customer"]
@@ -87,8 +88,8 @@ def order_messages(messages: DataFrame, partitions: int | None = None) -> DataFr
     lined = line_up(seen, "chat_id", ["_at"], partitions)
     marked = with_lag(lined, "chat_id", ["_at"], F.col("_same"), "_before")
     kept = marked.where(~F.coalesce(F.col("_before") == F.col("_same"), F.lit(False)))
-    turns = with_lag(kept, "chat_id", ["_at"], F.struct(F.col("message_id").alias("id"), F.col("speaker").alias("speaker")), "_b")
-    return turns.select("chat_id", "message_id", "speaker", F.col("_at.created_at").alias("created_at"), "usable", F.col("_b.id").alias("previous_id"), F.col("_b.speaker").alias("previous_speaker"))
+    turns = with_lags(kept, "chat_id", ["_at"], {"previous_id": F.col("message_id"), "previous_speaker": F.col("speaker")})
+    return turns.select("chat_id", "message_id", "speaker", F.col("_at.created_at").alias("created_at"), "usable", "previous_id", "previous_speaker")
 
 
 def kept_chats(turns: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def kept_chats(turns: DataFrame) -> DataFrame:
 
 def conversations(messages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Turns of the kept conversations: chat_id, n_turns, message_id, speaker, created_at, previous_id, previous_speaker."""
-    turns = order_messages(messages, partitions)
+    turns = cut(order_messages(messages, partitions))  # ids and flags only; judged and joined from one table
     return turns.join(kept_chats(turns), "chat_id").drop("usable")
 
 
