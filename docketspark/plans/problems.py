@@ -63,6 +63,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def p4_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place an object stands, once: the bridge from child to parent."""
+    return reduce(DataFrame.unionByName, (t.occurrences() for t in nested_sources(spark, sf_dir))).distinct()
+
+
 def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = reduce(DataFrame.unionByName, (t.objects() for t in nested_sources(spark, sf_dir)))
     return parts.groupBy("object_id").agg(F.first("body").alias("body"))
@@ -76,6 +81,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_descendants": p1_descendants,
     "p4_found": p4_found,
+    "p4_occurrences": p4_occurrences,
     "p4_objects": p4_objects,
     "p4_links": p4_links,
 }
