@@ -453,36 +453,113 @@ def find_in_content(content: str, is_message: bool) -> list[Segment]:
     return find(content)
 
 
-_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-_KEY = re.compile(r"\s*:")
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s"\[\]{},:]+', re.S)
+
+#: (start, end, decoded value) of a string literal.
+Literal = tuple[int, int, str]
+
+
+def _literal_runs(raw: str) -> list[list[Literal]]:
+    """Free-text string literals of JSON text; those that message_strings() reads as one string stand together."""
+    runs: list[list[Literal]] = []
+    stack: list[dict] = []  # open lists and objects
+
+    def alone(x: Literal | None, key: str) -> None:
+        if x is not None and not _NO_TEXT.match(key):
+            runs.append([x])
+
+    def value(x: Literal | None) -> str:
+        """Note a value, None if it is no string, in what is open; the key it stands under."""
+        if not stack:
+            return ""
+        top = stack[-1]
+        if top["list"]:
+            if x is not None or not top["object"]:
+                top["run"] = None
+            alone(x, top["key"])
+            return top["key"]
+        name = top["name"]
+        if name in ("type", "text"):  # known at the end of the object; of repeated keys the last holds
+            alone(top.get(name), name)
+            top[name] = x
+        else:
+            alone(x, name)
+        return name
+
+    for m in _TOKEN.finditer(raw):
+        t = m.group()
+        if t in "{[":
+            if stack:
+                stack[-1]["object"] = t == "{"
+            key = value(None)
+            stack.append({"list": t == "[", "key": key, "name": None, "run": None, "object": False})
+        elif t in "}]":
+            top = stack.pop()
+            if top["list"]:
+                continue
+            kind, text = top.get("type"), top.get("text")
+            up = stack[-1] if stack and stack[-1]["list"] else None
+            if up and kind and text and kind[2] == "content":
+                if up["run"] is None:
+                    runs.append([])
+                    up["run"] = runs[-1]
+                up["run"].append(text)
+            else:
+                if up:
+                    up["run"] = None
+                alone(text, "text")
+        elif t == ",":
+            if stack:
+                stack[-1]["name"] = None
+        elif t != ":":
+            literal = (m.start(), m.end(), json.loads(t)) if t[0] == '"' else None
+            if stack and not stack[-1]["list"] and stack[-1]["name"] is None:
+                stack[-1]["name"] = literal[2]
+            else:
+                if stack:
+                    stack[-1]["object"] = False
+                value(literal)
+    return runs
+
+
+def _mask_run(run: list[Literal]) -> list[str]:
+    """Masked texts of the literals of one string; a finding over several gets its placeholder in the first."""
+    found = find("".join(x[2] for x in run))
+    out, at = [], 0
+    for _, _, text in run:
+        end, done, parts = at + len(text), at, []
+        for s in found:
+            if s.start < end and s.end > at:
+                parts += [text[done - at : max(s.start, done) - at], f"[{s.kind.upper()}]" if s.start >= at else ""]
+                done = min(s.end, end)
+        out.append("".join([*parts, text[done - at :]]))
+        at = end
+    return out
 
 
 def mask_content(content: str, is_message: bool) -> str:
-    """Masked text of a message: plain text as a whole, JSON string by string with its layout kept."""
+    """Masked text of a message: plain text as a whole, JSON by the strings of message_strings() with its layout kept."""
     if not is_message or decode(content)[0] != "json":
         return mask(content)
     return _mask_json(content)
 
 
 def _mask_json(raw: str) -> str:
-    """Mask the string literals of JSON text in place; a literal that changes is written again."""
+    """Mask the string literals of JSON text in place; a literal that changes is written again.
+
+    The findings are those of the strings that message_strings() gives, so one that adjoining content
+    events share is masked in each of them.
+    """
     outer = raw.strip(" \t\r\n\ufeff")
     if outer[:1] == '"':
         inner = _mask_json(json.loads(outer))
         head = raw.index('"')
         return raw[:head] + json.dumps(inner, ensure_ascii=outer.isascii()) + raw[head + len(outer) :]
-    out, at, key = [], 0, ""
-    for m in _STRING.finditer(raw):
-        if _KEY.match(raw, m.end()):
-            key = json.loads(m.group())
-            continue
-        if _NO_TEXT.match(key):
-            continue
-        text = json.loads(m.group())
-        masked = mask(text)
-        if masked != text:
-            out += [raw[at : m.start()], json.dumps(masked, ensure_ascii=m.group().isascii())]
-            at = m.end()
+    new = {(x[0], x[1]): text for run in _literal_runs(raw) for x, text in zip(run, _mask_run(run)) if text != x[2]}
+    out, at = [], 0
+    for start, end in sorted(new):
+        out += [raw[at:start], json.dumps(new[start, end], ensure_ascii=raw[start:end].isascii())]
+        at = end
     return "".join([*out, raw[at:]])
 
 

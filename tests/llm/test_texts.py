@@ -191,3 +191,17 @@ def test_messages_and_masks(spark):
     assert json.loads(masked["A "])[2] == events[2] and "[PHONE]" in masked["A "] and json.loads(json.loads(masked["b"]))[2] == events[2]
     assert masked["c"] == "tel. [PHONE]" and masked["d"] is None and masked["e"] == "  " and masked["f"].endswith(" [EMAIL]")
     assert pii.find_pii(df.limit(0), "s", "id", "content", True).count() == 0
+
+
+def test_masks_what_is_found_over_adjoining_events():
+    texts = ["Pan Jan ", "Kowalski, tel. 600 1", "00 2", "00, e-mail jan@pocz", "ta.example \\ \"ok\""]
+    events = [{"type": "content", "text": t, "n": [1, {"x": None}]} for t in texts]
+    cut = [{"type": "content", "text": "Pan Adam "}, {"type": "reasoning", "text": "Nowak \u017c"}, {"text": "tel. 600 200 300", "type": "content"}, [{"id": "x"}, "Pan Jan Nowak"]]
+    for value in (events, {"id": "a@b.pl", "list": events, "note": "c@d.pl"}, cut, {"type": "content", "text": "Pan Jan Nowak"}):
+        for raw in (json.dumps(value), json.dumps(value, ensure_ascii=False, indent=1), json.dumps(json.dumps(value))):
+            found = pii.find_in_content(raw, True)
+            masked = pii.mask_content(raw, True)
+            assert found and pii.find_in_content(masked, True) == []
+    one = json.loads(pii.mask_content(json.dumps(events), True))
+    assert [e["text"] for e in one] == ["Pan [NAME]", ", tel. [PHONE]", "", ", e-mail [EMAIL]", " \\ \"ok\""]
+    assert [e["n"] for e in one] == [e["n"] for e in events]
