@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketspark.functions.text import stem, terms
+from docketspark.session import cut
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,10 +27,78 @@ def bm25(post: DataFrame, queries: DataFrame, n_docs: int, mean_len: float, k1:
     """
     q = queries.select("query_id", "term").distinct()
     mine = post.join(q.select("term").distinct(), "term", "left_semi")
+    return _weighted(mine, n_docs, mean_len, k1, b).join(q, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+
+
+def _weighted(mine: DataFrame, n_docs: int, mean_len: float, k1: float, b: float) -> DataFrame:
+    """The postings with ``s``, what the term adds to the score of the text."""
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len))
-    return mine.join(df, "term").join(q, "term").select("query_id", "id", part.alias("s")).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+    return mine.join(df, "term").select("term", "id", part.alias("s"))
+
+
+def bm25_top(post: DataFrame, queries: DataFrame, n_docs: int, mean_len: float, k: int, digits: int = 6, k1: float = 1.2, b: float = 0.75, row_block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """query_id, id, score, rank: the k best of bm25(), scores rounded; for queries as long as texts.
+
+    As in nearest(), blocks of texts meet blocks of queries, so a term that many queries ask for is
+    no pair of rows.  Terms travel as numbers.
+    """
+    q = queries.select("query_id", "term").distinct()
+    codes = cut(q.select("term").distinct().coalesce(1).select("term", F.monotonically_increasing_id().alias("t")))
+    n_queries = q.select("query_id").distinct().count()
+    rb, qb = max(1, -(-n_docs // row_block)), max(1, -(-n_queries // query_block))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = _weighted(post.join(codes, "term", "left_semi"), n_docs, mean_len, k1, b).join(codes, "term")
+    a = rows.select("t", F.col("id").cast("long").alias("id"), "s", F.pmod(F.xxhash64("id"), F.lit(rb)).alias("rb"), each(qb).alias("qb"))
+    w = q.join(codes, "term").select("t", F.col("query_id").cast("long").alias("query_id"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("qb"), each(rb).alias("rb"))
+
+    def pair(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asks.empty:
+            return pd.DataFrame(columns=["query_id", "id", "score"])
+        ids, qs, scores = _scores(rows, asks)
+        take = min(k, len(ids))
+        least = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
+        i, j = np.nonzero((scores > 0) & (scores >= least[:, None] - 2 * 10.0**-digits))  # equal ones are told apart later
+        return pd.DataFrame({"query_id": qs[i], "id": ids[j], "score": scores[i, j]})
+
+    found = a.groupBy("rb", "qb").cogroup(w.groupBy("rb", "qb")).applyInPandas(pair, "query_id long, id long, score double")
+    return top_k(found.withColumn("score", F.round("score", digits)), k)
+
+
+def _scores(rows: pd.DataFrame, asks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, query ids, scores of all pairs): frequent terms by matrix product, the others pair by pair."""
+    ids, doc = np.unique(rows["id"].to_numpy(), return_inverse=True)
+    qs, ask = np.unique(asks["query_id"].to_numpy(), return_inverse=True)
+    terms_, term = np.unique(asks["t"].to_numpy(), return_inverse=True)
+    t, s = rows["t"].to_numpy(), rows["s"].to_numpy()
+    at = np.minimum(np.searchsorted(terms_, t), len(terms_) - 1)
+    mine = terms_[at] == t
+    at, doc, s = at[mine], doc[mine], s[mine]
+    scores = np.zeros((len(qs), len(ids)))
+    n_ask, n_doc = np.bincount(term, minlength=len(terms_)), np.bincount(at, minlength=len(terms_))
+    often = n_ask * n_doc * 100 > scores.size
+    column = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 512):
+        hot = often & (column >= lo) & (column < lo + 512)
+        left, right = np.zeros((len(qs), 512)), np.zeros((512, len(ids)))
+        x, y = hot[term], hot[at]
+        left[ask[x], column[term[x]] - lo] = 1
+        right[column[at[y]] - lo, doc[y]] = s[y]
+        scores += left @ right
+    order = np.argsort(term, kind="stable")
+    ask, first = ask[order], np.cumsum(n_ask) - n_ask
+    y = ~often[at]
+    at, doc, s = at[y], doc[y], s[y]
+    ends = np.cumsum(n_ask[at])
+    flat, lo = scores.ravel(), 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000)))
+        n = n_ask[at[lo:hi]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(flat, ask[np.repeat(first[at[lo:hi]], n) + within] * len(ids) + np.repeat(doc[lo:hi], n), np.repeat(s[lo:hi], n))
+        lo = hi
+    return ids, qs, scores
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "id", ascending: bool = False) -> DataFrame:

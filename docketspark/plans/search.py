@@ -81,18 +81,16 @@ s AS (SELECT q.query_id, p.id, sum(greatest(ln((st.n - df.df + 0.5) / (df.df + 0
 b AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s)"""
 
 
-def _bm25_scores(spark, d):
-    """Queries are the first sentences of every fiftieth document, against all documents."""
+def _bm25_top(spark, d, k):
+    """Queries are the whole texts of every fiftieth document, against all documents."""
     docs, post, n, mean = _bm25_parts(spark, d)
-    first = F.split(F.col("text"), r"\.", 2)[0]
-    asked = docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.explode(terms(first)).alias("w"))
-    scores = retrieval.bm25(post, asked.select("query_id", stem(F.col("w")).alias("term")), n, mean)
-    return scores.withColumn("score", F.round("score", 6))
+    asked = docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("w"))
+    return retrieval.bm25_top(post, asked.select("query_id", stem(F.col("w")).alias("term")), n, mean, k)
 
 
 @R.add(f"WITH {_BM25} SELECT query_id, id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM b WHERE rank <= 8")
 def bm25_topk(spark, d):
-    return retrieval.top_k(_bm25_scores(spark, d), 8).withColumn("score", F.round("score", 4))
+    return _bm25_top(spark, d, 8).withColumn("score", F.round("score", 4))
 
 
 @R.add(
@@ -100,7 +98,7 @@ def bm25_topk(spark, d):
 f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM r UNION ALL SELECT * FROM g) GROUP BY 1, 2) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 8"""
 )
 def rrf_fusion(spark, d):
-    text = retrieval.top_k(_bm25_scores(spark, d), 24).select("query_id", "id", "rank")
+    text = _bm25_top(spark, d, 24).select("query_id", "id", "rank")
     size = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
     longer = retrieval.top_k(text.select("query_id", "id").join(size, "id"), 24, score="n_chars").select("query_id", "id", "rank")
     fused = retrieval.fuse(text.unionByName(longer)).withColumn("score", F.round("score", 9))
@@ -303,7 +301,7 @@ SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_nu
 )
 def dual_rerank(spark, d):
     """Text hits re-ranked by the overlap of their cited signatures with those of the best hit."""
-    text = cut(retrieval.top_k(_bm25_scores(spark, d), 24).select("query_id", "id", "score"))
+    text = cut(_bm25_top(spark, d, 24).select("query_id", "id", "score"))
     profile = _edges(spark, d).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("value").alias("profile"))
     return retrieval.top_k(rerank.dual_rerank(text, profile).withColumn("score", F.round("score", 6)), 8)
 
@@ -311,7 +309,7 @@ def dual_rerank(spark, d):
 @R.add()
 def hybrid_search(spark, d):
     """Text and citation-graph lists fused, re-ranked by citation profile and then by event roles, cut to 8 at the end."""
-    text = cut(retrieval.top_k(_bm25_scores(spark, d), 24).select("query_id", "id", "rank"))
+    text = cut(_bm25_top(spark, d, 24).select("query_id", "id", "rank"))
     edges = _edges(spark, d)
     central = graph.document_centrality(edges).select(F.col("doc_id").alias("id"), F.col("score").alias("c"))
     ranked = retrieval.top_k(text.select("query_id", "id").join(central, "id"), 24, score="c").select("query_id", "id", "rank")

@@ -74,3 +74,25 @@ def test_unique_owner_and_centrality(spark):
     got = {(r.doc_id, r.value): r.to_doc_id for r in graph.unique_owner(e, e).collect()}
     assert got == {(1, "a"): 2, (2, "a"): 1, (3, "b"): None, (4, "b"): None, (5, "b"): None, (6, "c"): None}
     assert {(r.doc_id, r.score) for r in graph.document_centrality(e).collect()} == {(1, 2), (2, 2), (3, 3), (4, 3), (5, 3), (6, 1)}
+
+
+@pytest.mark.parametrize("often", [1, 400])
+def test_bm25_top_equals_bm25(spark, often):
+    import random
+
+    r = random.Random(3)
+    texts = [(i, " ".join(r.choice(["w", "spraw", "umowa"]) if r.random() < 0.3 else f"s{r.randrange(often)}" for _ in range(40))) for i in range(120)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    post = retrieval.postings(docs, "id", "text")
+    asked = docs.where("id % 7 = 0").select(F.col("id").alias("query_id"), F.explode(terms(F.col("text"))).alias("w")).select("query_id", stem(F.col("w")).alias("term"))
+    want = retrieval.top_k(retrieval.bm25(post, asked, 120, 40.0).withColumn("score", F.round("score", 6)), 5)
+    got = retrieval.bm25_top(post, asked, 120, 40.0, 5, row_block=50, query_block=9)
+    assert sorted((x.query_id, x.id, x.rank, x.score) for x in got.collect()) == sorted((x.query_id, x.id, x.rank, x.score) for x in want.collect())
+
+
+def test_query_texts_are_whole(spark, tmp_path):
+    from docketspark.plans.search import QUERIES
+
+    rows = [(0, "Sygn. akt: kara umowna"), (1, "naliczono, że kara umowna"), (2, "Sygn. inna"), (3, "nic"), (4, "nic")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id for r in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()} == {0, 1, 2}
