@@ -20,6 +20,28 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy(stem(F.col("w")).alias("term"), "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def query_postings(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
+    """As postings(), for the query terms of ``asked`` (w: tokens): ``stem*`` counts all tokens that start so, the others are equal.
+
+    Prefixes meet the vocabulary, not the texts, by their first characters (a stem has five or more).
+    """
+    t = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("ts"))
+    each = t.select("id", F.size("ts").alias("len"), F.explode("ts").alias("w"))
+    tokens = each.groupBy("w", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    vocabulary = each.select("w").distinct()
+    terms_ = asked.select(query_term(F.col("w")).alias("term")).distinct()
+    starts = terms_.where(F.col("term").endswith("*")).select("term", F.expr("left(term, length(term) - 1)").alias("start"))
+    begun = vocabulary.withColumn("five", F.substring("w", 1, 5)).join(starts.withColumn("five", F.substring("start", 1, 5)), "five").where(F.col("w").startswith(F.col("start")))
+    same = vocabulary.join(terms_.select("term", F.col("term").alias("w")), "w")
+    means = cut(begun.select("w", "term").unionByName(same.select("w", "term")))
+    return tokens.join(means, "w").groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
+
+
+def query_term(w: Column) -> Column:
+    """``stem*`` for letters-only tokens of 7 and more, else the token; no token holds a '*'."""
+    return F.when((F.length(w) >= 7) & w.rlike(r"^\p{L}+$"), F.concat(stem(w), F.lit("*"))).otherwise(w)
+
+
 def bm25(post: DataFrame, queries: DataFrame, n_docs: int, mean_len: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score: sum over the query's distinct terms; ``queries``: query_id, term.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsoncols import json_text
-from docketspark.functions.text import stem, terms
+from docketspark.functions.text import terms
 from docketspark.operators import entities, graph, grounding, rerank, retrieval, spans
 from docketspark.plans.registry import Registry, long, small_list, table
 from docketspark.session import cut
@@ -66,13 +66,6 @@ def knn_indexed(spark, d):
     return retrieval.nearest_indexed(v, _queries(v), 10, c, probes=13)
 
 
-def _bm25_parts(spark, d):
-    docs = table(spark, d, "documents")
-    post = retrieval.postings(docs, "doc_id", "text")
-    stats = docs.where("text IS NOT NULL").select(F.size(terms(F.col("text"))).alias("len")).where("len > 0").agg(F.count("*"), F.avg("len")).first()
-    return docs, post, stats[0], stats[1]
-
-
 _STEM = "CASE WHEN length(w) >= 7 AND regexp_full_match(w, '\\p{L}+') THEN substring(w, 1, length(w) - least(3, length(w) - 5)) ELSE w END"
 _BM25 = f"""w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE text IS NOT NULL),
 p AS (SELECT {_STEM} AS term, id, count(*) AS tf FROM w GROUP BY 1, 2), ln AS (SELECT id, sum(tf) AS len FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS m FROM ln),
@@ -83,9 +76,11 @@ b AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITIO
 
 def _bm25_top(spark, d, k):
     """Queries are the whole texts of every fiftieth document, against all documents."""
-    docs, post, n, mean = _bm25_parts(spark, d)
+    docs = table(spark, d, "documents")
+    n, mean = docs.where("text IS NOT NULL").select(F.size(terms(F.col("text"))).alias("len")).where("len > 0").agg(F.count("*"), F.avg("len")).first()
     asked = docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("w"))
-    return retrieval.bm25_top(post, asked.select("query_id", stem(F.col("w")).alias("term")), n, mean, k)
+    post = retrieval.query_postings(docs, "doc_id", "text", asked)
+    return retrieval.bm25_top(post, asked.select("query_id", retrieval.query_term(F.col("w")).alias("term")), n, mean, k)
 
 
 @R.add(f"WITH {_BM25} SELECT query_id, id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM b WHERE rank <= 8")

@@ -96,3 +96,11 @@ def test_query_texts_are_whole(spark, tmp_path):
     rows = [(0, "Sygn. akt: kara umowna"), (1, "naliczono, że kara umowna"), (2, "Sygn. inna"), (3, "nic"), (4, "nic")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id for r in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()} == {0, 1, 2}
+
+
+def test_long_query_terms_are_prefixes(spark):
+    rows = [(1, "umowie umowa umow9"), (2, "zapłatach zapłata zapłacono"), (3, "zapłat"), (4, "zapła zapłaty2"), (5, "sprawa"), (6, "spraw")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    asked = spark.createDataFrame([("zapłata",), ("zapłatach",), ("spraw",), ("umow9",)], "w string")
+    got = {(r.term, r.id): (r.tf, r.len) for r in retrieval.query_postings(docs, "id", "text", asked).collect()}
+    assert got == {("zapła*", 2): (3, 3), ("zapła*", 3): (1, 1), ("zapła*", 4): (2, 2), ("zapłat*", 2): (2, 3), ("zapłat*", 3): (1, 1), ("zapłat*", 4): (1, 2), ("spraw", 6): (1, 1), ("umow9", 1): (1, 3)}
