@@ -42,43 +42,41 @@ def window_ratio(source: str, part: str, enough: float = 0.0) -> float:
     """Least edit distance of the part to any window of the source, over its length.
 
     One dynamic programme over the whole source with free start and end (semi-global alignment), so
-    windows of every length are covered at once.
+    windows of every length are covered at once.  Its columns are the bits of two integers (Myers 1999):
+    where the distance goes up, and where down, from one character of the part to the next.
     """
     n = len(part)
     if not n:
         return 0.0
     if not source:
         return 1.0
-    prev = list(range(n + 1))
-    best = n
+    places: dict[str, int] = {}
+    for j, ch in enumerate(part):
+        places[ch] = places.get(ch, 0) | 1 << j
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, now, best = full, 0, n, n
     for ch in source:
-        cur = [0]
-        for j in range(1, n + 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (part[j - 1] != ch)))
-        if cur[n] < best:
-            best = cur[n]
-            if best <= enough:
-                break
-        prev = cur
+        equal = places.get(ch, 0)
+        flat = equal | down
+        level = (((equal & up) + up) ^ up) | equal
+        more, less = down | (full & ~(level | up)), up & level
+        if more & last:
+            now += 1
+        elif less & last:
+            now -= 1
+            if now < best:
+                best = now
+                if best <= enough:
+                    break
+        more = more << 1 & full
+        up, down = (less << 1 & full) | (full & ~(flat | more)), more & flat
     return best / n
 
 
-def _near(source: str, part: str, anchor: int = 12, most: int = 6, slack: int = 20) -> str:
-    """The stretch of the source around shared anchors, or '' where none is shared."""
-    step = max(1, len(part) // most)
-    lo, hi = len(source), 0
-    for a in range(0, max(1, len(part) - anchor + 1), step):
-        at = source.find(part[a : a + anchor])
-        if at >= 0:
-            lo, hi = min(lo, at - a - slack), max(hi, at - a + len(part) + slack)
-    return source[max(0, lo) : hi] if lo < hi else ""
-
-
 def check_fuzzy(left: DataFrame, keep: list[str], limit: float = 0.15) -> DataFrame:
     """``keep``, ratio and status of pairs that are not verbatim: modified up to ``limit``, else unverified.
 
-    ``left`` holds the normalised _q and _s of check_exact.  Only the stretch around shared anchors is
-    aligned; a part that shares no anchor is far beyond the limit.
+    ``left`` holds the normalised _q and _s of check_exact.  Each part is aligned with the whole source.
     """
     kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -87,7 +85,7 @@ def check_fuzzy(left: DataFrame, keep: list[str], limit: float = 0.15) -> DataFr
             worst = []
             for q, s in zip(pdf["_q"], pdf["_s"]):
                 parts = [p.strip() for p in q.replace("[...]", "...").split("...") if p.strip()]
-                worst.append(max((window_ratio(_near(s, p), p) for p in parts), default=1.0))
+                worst.append(max((window_ratio(s, p) for p in parts), default=1.0))
             out = pdf[keep].copy()
             out["ratio"] = worst
             out["status"] = [MODIFIED if r <= limit else UNVERIFIED for r in worst]

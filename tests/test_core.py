@@ -171,3 +171,36 @@ def test_stream_unmask(spark, tmp_path):
     stream = windows.unmask_stream(windows.stream_table(spark, path, max_files=1000), {"[NAME_1]": "Jan", "[NAME_10]": "Ewa"})
     out = windows.run_to_end(stream, "unmask", "append").orderBy("conv_id", "seq").collect()
     assert "".join(r.text for r in out if r.conv_id == "c") == "Pan Jan i Ewa x [y" and out[-1].text == "bez"
+
+
+def test_fuzzy_aligns_the_whole_source(spark):
+    import random
+
+    from docketspark.operators import grounding
+
+    def brute(source, part):
+        prev = list(range(len(part) + 1))
+        best = len(part)
+        for ch in source:
+            cur = [0]
+            for j, c in enumerate(part, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != ch)))
+            prev, best = cur, min(best, cur[-1])
+        return best / len(part)
+
+    r = random.Random(5)
+    for _ in range(200):
+        source = "".join(r.choice("abc ") for _ in range(r.randrange(1, 90)))
+        part = "".join(r.choice("abc ") for _ in range(r.randrange(1, 70)))
+        assert grounding.window_ratio(source, part) == brute(source, part)
+    far = "koszty procesu w łącznej kwocie obciążają powoda. " + "x" * 300
+    rows = [
+        ("no anchor whole", "abcdefghi_klmnopqrs_uvwxyz0123", "zz abcdefghijklmnopqrstuvwxyz0123 zz"),
+        ("anchor earlier", "koszty procesu w łącznej kwocie 32 obciąża stronę", far + " koszty procesu w łącznej kwocie 32 obciążają stronę"),
+        ("other text", "zupełnie inne słowa o niczym", "0123456789" * 5),
+    ]
+    df = spark.createDataFrame(rows, "name string, _q string, _s string")
+    got = {x.name: (round(x.ratio, 6), x.status) for x in grounding.check_fuzzy(df, ["name"]).collect()}
+    assert got["no anchor whole"] == (round(2 / 30, 6), "modified")
+    assert got["anchor earlier"] == (round(2 / 49, 6), "modified")
+    assert got["other text"][1] == "unverified"
