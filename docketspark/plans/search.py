@@ -324,7 +324,7 @@ def nearest_name(spark, d):
     No twin: DuckDB counts edits in bytes.
     """
     rx = "(Sąd (?:Rejonowy|Okręgowy|Apelacyjny) w [A-ZŁŚŻĆ][a-ząćęłńóśźż]+)"
-    m = table(spark, d, "documents").select(F.regexp_extract("text", rx, 1).alias("mention")).where("mention != ''").distinct()
+    m = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(rx), 1)).alias("mention")).distinct()
     names = F.array(*map(F.lit, small_list(table(spark, d, "courts"), "name")))
     best = F.array_min(F.transform(names, lambda n: F.struct(F.levenshtein(F.lower("mention"), F.lower(n)).alias("dist"), n.alias("name"))))
     return m.select("mention", best.alias("b")).select("mention", F.col("b.name").alias("nearest"), long(F.col("b.dist")).alias("dist"))

@@ -204,3 +204,12 @@ def test_fuzzy_aligns_the_whole_source(spark):
     assert got["no anchor whole"] == (round(2 / 30, 6), "modified")
     assert got["anchor earlier"] == (round(2 / 49, 6), "modified")
     assert got["other text"][1] == "unverified"
+
+
+def test_nearest_name_takes_every_mention(spark, tmp_path):
+    from docketspark.plans.search import QUERIES
+
+    spark.createDataFrame([("Sąd Rejonowy w Nowinkach i Sąd Okręgowy w Zagrodzie",), ("nic",), (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("Sąd Rejonowy w Nowinkach",), ("Sąd Okręgowy w Zagrodach",)], "name string").write.parquet(f"{tmp_path}/courts.parquet")
+    got = {(r.mention, r.nearest, r.dist) for r in QUERIES["nearest_name"](spark, str(tmp_path)).collect()}
+    assert got == {("Sąd Rejonowy w Nowinkach", "Sąd Rejonowy w Nowinkach", 0), ("Sąd Okręgowy w Zagrodzie", "Sąd Okręgowy w Zagrodach", 3)}
