@@ -185,7 +185,9 @@ def frame_similarity(spark, d):
 
 def _citations(spark, d):
     c = table(spark, d, "tabular_cells").select(clean_id("id").alias("cell"), clean_id("document_id").alias("document_id"), json_text(F.col("citations")).alias("j")).distinct()
-    parsed = F.from_json(F.when(F.col("j").startswith("["), F.col("j")), "array<struct<quote string>>")
+    j = F.regexp_replace("j", r"^\s+|\s+$", "")
+    whole = F.when(j.startswith("["), j).when(j.startswith("{"), F.concat(F.lit("["), j, F.lit("]")))  # a lone citation is a list of one
+    parsed = F.from_json(whole, "array<struct<quote string>>")
     docs = table(spark, d, "documents").select(clean_id("document_id").alias("document_id"), F.col("text").alias("source"))
     quotes = c.select("cell", "document_id", F.posexplode(parsed).alias("ref", "x")).select("cell", "document_id", "ref", F.col("x.quote").alias("quote"))
     return quotes.join(docs, "document_id", "left")

@@ -213,3 +213,16 @@ def test_nearest_name_takes_every_mention(spark, tmp_path):
     spark.createDataFrame([("Sąd Rejonowy w Nowinkach",), ("Sąd Okręgowy w Zagrodach",)], "name string").write.parquet(f"{tmp_path}/courts.parquet")
     got = {(r.mention, r.nearest, r.dist) for r in QUERIES["nearest_name"](spark, str(tmp_path)).collect()}
     assert got == {("Sąd Rejonowy w Nowinkach", "Sąd Rejonowy w Nowinkach", 0), ("Sąd Okręgowy w Zagrodzie", "Sąd Okręgowy w Zagrodach", 3)}
+
+
+def test_lone_citations_are_lists_of_one(spark, tmp_path):
+    import json
+
+    from docketspark.plans.search import QUERIES
+
+    one = json.dumps({"quote": "Ala ma kota"})
+    cells = [("a", "d", one), ("b", "d", json.dumps(one)), ("c", "d", f" [{one}, {one}] "), ("e", "d", " " + one), ("f", "d", None), ("g", "d", "{")]
+    spark.createDataFrame(cells, "id string, document_id string, citations string").write.parquet(f"{tmp_path}/tabular_cells.parquet")
+    spark.createDataFrame([("d", "Dziś Ala ma kota.")], "document_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.cell, r.ref, r.status) for r in QUERIES["quote_exact"](spark, str(tmp_path)).collect())
+    assert got == [(c, i, "verified") for c, i in [("a", 0), ("b", 0), ("c", 0), ("c", 1), ("e", 0)]]
