@@ -66,10 +66,12 @@ def knn_indexed(spark, d):
     return retrieval.nearest_indexed(v, _queries(v), 10, c, probes=13)
 
 
-_STEM = "CASE WHEN length(w) >= 7 AND regexp_full_match(w, '\\p{L}+') THEN substring(w, 1, length(w) - least(3, length(w) - 5)) ELSE w END"
+_TERM = "CASE WHEN length(w) >= 7 AND regexp_full_match(w, '\\p{L}+') THEN substring(w, 1, length(w) - least(3, length(w) - 5)) || '*' ELSE w END"
 _BM25 = f"""w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE text IS NOT NULL),
-p AS (SELECT {_STEM} AS term, id, count(*) AS tf FROM w GROUP BY 1, 2), ln AS (SELECT id, sum(tf) AS len FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS m FROM ln),
-df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT DISTINCT query_id, {_STEM} AS term FROM (SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(substring(string_split(text, '.')[1], 1)), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL)),
+ln AS (SELECT id, count(*) AS len FROM w GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS m FROM ln),
+q AS (SELECT DISTINCT id AS query_id, {_TERM} AS term FROM w WHERE id % 50 = 0), tr AS (SELECT DISTINCT term FROM q), vo AS (SELECT DISTINCT w FROM w),
+me AS (SELECT w, term FROM vo JOIN tr ON term = w UNION ALL SELECT w, term FROM vo JOIN (SELECT term, substring(term, 1, length(term) - 1) AS head FROM tr WHERE suffix(term, '*')) ON substring(w, 1, 5) = substring(head, 1, 5) AND starts_with(w, head)),
+p AS (SELECT term, id, count(*) AS tf FROM w JOIN me USING (w) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT q.query_id, p.id, sum(greatest(ln((st.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * ln.len / st.m))) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN ln USING (id), st GROUP BY 1, 2),
 b AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s)"""
 
@@ -198,7 +200,8 @@ _NQ = "trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({0
 
 @R.add(
     f"""WITH c AS (SELECT DISTINCT lower(trim(id, ' \t')) AS cell, lower(trim(document_id, ' \t')) AS document_id, CASE WHEN json_valid(citations) THEN citations::JSON ->> '$' END AS p FROM tabular_cells),
-x AS (SELECT cell, document_id, CAST(i AS INTEGER) AS ref, j ->> ('$[' || i || '].quote') AS quote FROM (SELECT cell, document_id, p::JSON AS j, unnest(range(0, CAST(json_array_length(p) AS BIGINT))) AS i FROM c WHERE json_valid(p) AND p[1] = '[')),
+l AS (SELECT cell, document_id, CASE json_type(p) WHEN 'ARRAY' THEN p WHEN 'OBJECT' THEN '[' || p || ']' END AS p FROM c WHERE json_valid(p)),
+x AS (SELECT cell, document_id, CAST(i AS INTEGER) AS ref, j ->> ('$[' || i || '].quote') AS quote FROM (SELECT cell, document_id, p::JSON AS j, unnest(range(0, CAST(json_array_length(p) AS BIGINT))) AS i FROM l WHERE p IS NOT NULL)),
 y AS (SELECT x.*, {_NQ.format('quote')} AS q, {_NQ.format('text')} AS s FROM x LEFT JOIN (SELECT lower(trim(document_id, ' \t')) AS document_id, text FROM documents) USING (document_id))
 SELECT cell, ref, CASE WHEN coalesce(q = '', true) OR coalesce(s = '', true) THEN 'no_source' WHEN contains(s, q) THEN 'verified' ELSE 'open' END AS status FROM y"""
 )
