@@ -47,17 +47,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+_made: list[tuple] = []  # (file system, path) of the tables written by cut()
+
+
+def scratch(spark: SparkSession, kind: str = "cut") -> str:
+    """A new path in the shared checkpoint folder; deleted by release(), or when the driver's JVM ends."""
+    ensure_checkpoint_dir(spark)
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(f"{sc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(sc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    _made.append((fs, path))
+    return path.toString()
+
+
+def release() -> None:
+    """Delete everything written by cut() so far; frames that still read it must be done with."""
+    while _made:
+        fs, path = _made.pop()
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared checkpoint folder and read it back.
 
     Lost executors re-read the files; the plan above starts from a scan with true sizes, so
     the planner's estimates do not compound over the rounds of an iterative operator.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_in_order(df: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str:
 if __name__ == "__main__":
     import __spark_entry__ as e
 
-    from docketspark.session import build_session
+    from docketspark.session import build_session, release
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark, con = build_session(), connect(sf_dir)
@@ -63,5 +63,6 @@ if __name__ == "__main__":
         except Exception as x:
             said = f"error {type(x).__name__}: {str(x)[:600]}"
         bad += said != "ok" and "no SQL" not in said
+        release()
         print(f"{name}: {said} [{time.time() - t:.1f} s]", flush=True)
     print("BAD", bad)
