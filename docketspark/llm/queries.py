@@ -10,9 +10,9 @@ from docketspark.llm.canonical import canonical_column, look_alike_classes, look
 from docketspark.llm.conversations import ASSISTANT_NAMES, OTHER_NAMES, USER_NAMES, conversations, fold_events, question_replies
 from docketspark.llm.packing import pack
 from docketspark.llm.pii import find_pii, mask_pii
-from docketspark.llm.splitting import classify_texts, running_numbers, split_items
+from docketspark.llm.splitting import classify_texts, plan_split, running_numbers, split_files
 from docketspark.llm.tokenizer import count_tokens, encode_corpus
-from docketspark.session import cut
+from docketspark.session import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,17 +44,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every passage, numbered on within a document in chunk_index order."""
     capacity, overlap = _limit(spark, sf_dir, "passage")
-    hits = _table(spark, sf_dir, "feed_passage_hits").dropDuplicates(["hit_id"])
-    pieces = cut(split_items(hits, "hit_id", "text", capacity, overlap))
-    per = hits.select(clean_id("document_id").alias("document_id"), "chunk_index", "hit_id").join(
-        pieces.groupBy("hit_id").agg(F.count("*").alias("n")), "hit_id"
-    )
-    numbers = running_numbers(per, "document_id", ["chunk_index", "hit_id"], "n").select("document_id", "chunk_index", "hit_id", "before")
-    return pieces.join(numbers, "hit_id").select(
-        "document_id", "chunk_index", "hit_id", (F.col("before") + F.col("piece")).alias("piece_no"), "piece_start", "piece_end", "piece_text"
+    hits = _table(spark, sf_dir, "feed_passage_hits")
+    plan = plan_split(hits, "hit_id", "text", capacity, overlap)
+    places = hits.groupBy("hit_id").agg(F.max(F.struct(clean_id("document_id").alias("document_id"), "chunk_index")).alias("p"))
+    per = places.join(plan.counts().withColumnRenamed("_key", "hit_id"), "hit_id").select("p.*", "hit_id", "pieces")
+    numbers = running_numbers(per, "document_id", ["chunk_index", "hit_id"], "pieces").select(F.col("hit_id").alias("_key"), "document_id", "chunk_index", "before")
+    return plan.pieces(numbers).select(
+        "document_id", "chunk_index", F.col("_key").alias("hit_id"), (F.col("before") + F.col("piece")).alias("piece_no"), "piece_start", "piece_end", "piece_text"
     )
 
 
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of text files, by byte ranges: the corpus is written as files first, one a partition."""
+    capacity, overlap = _limit(spark, sf_dir, "passage")
+    path = scratch(spark, "files")
+    _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("text").write.text(path)
+    pieces = split_files(spark, [path], capacity, overlap, size=1 << 18)
+    return pieces.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("file"), "piece", "byte_start", "byte_end", "piece_text")
+
+
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(fold_events(_table(spark, sf_dir, "chat_messages")))
 
@@ -85,17 +93,42 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p3_found, p3_pieces, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p3_found, p3_pieces, p3_files, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
 
 _WS = r"\x{0009}-\x{000d}\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ID = "nullif(lower(regexp_replace(CAST({0} AS VARCHAR), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
 
+_LE = r"\r\n|[\x{000a}-\x{000d}\x{0085}\x{2028}\x{2029}]"
+
+
+def _last(kind: int, least: int) -> str:
+    """The last boundary of at least this kind in the room of the piece after (…, e), beyond e + least; 0 if none."""
+    return f"greatest(coalesce(list_max(list_filter(a{kind}, lambda v: v > e + {least} AND v <= e + 780)), 0), CASE WHEN list_contains(b{kind}, e + 780) THEN e + 780 ELSE 0 END)"
+
 
 def _names(names: list[str]) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
 
+#: The left-to-right split as a recursive walk over lists of boundaries: paragraph (2), sentence (1) and word ends (0).
+_PIECES = rf"""WITH RECURSIVE h AS (SELECT hit_id, max(text) AS t, length(max(text)) AS n FROM feed_passage_hits WHERE hit_id IS NOT NULL GROUP BY 1 HAVING max(text) IS NOT NULL),
+k0 AS (SELECT hit_id, t, n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT *, regexp_extract_all(t, '[{_WS}]+|[^{_WS}]+') AS w FROM h WHERE n > 900)),
+k1 AS (SELECT *, CAST(sum(length(x)) OVER (PARTITION BY hit_id ORDER BY i) AS BIGINT) AS p FROM k0),
+k2 AS (SELECT hit_id, n, p, p - length(x) AS q, len(regexp_extract_all(right(x, 900), '{_LE}')) AS nl, len(regexp_extract_all(left(x, 8), '{_LE}')) AS nb, regexp_matches(substring(t, greatest(p - length(x) - 7, 1), least(8, p - length(x))), '[.!?…;:][''"”»)\]]*$') AS dot FROM k1 WHERE regexp_full_match(x, '[{_WS}]+')),
+k3 AS (SELECT *, CASE WHEN nl > 1 THEN 2 WHEN nl = 1 OR dot AND p - q <= 900 THEN 1 ELSE 0 END AS ka, CASE WHEN nb > 1 THEN 2 WHEN nb = 1 OR dot THEN 1 ELSE 0 END AS kb FROM k2),
+b AS (SELECT hit_id, {", ".join(f"list(p) FILTER (ka >= {k} AND p < n) AS a{k}, list(q) FILTER (kb >= {k} AND q > 0) AS b{k}" for k in range(3))} FROM k3 GROUP BY 1),
+g AS (SELECT h.*, a0, a1, a2, b0, b1, b2 FROM h LEFT JOIN b USING (hit_id)),
+r AS (SELECT hit_id, t, n, a0, a1, a2, b0, b1, b2, CAST(-1 AS BIGINT) AS piece, CAST(0 AS BIGINT) AS s, CAST(120 AS BIGINT) AS e FROM g
+UNION ALL SELECT hit_id, t, n, a0, a1, a2, b0, b1, b2, piece + 1, e - 120, CASE WHEN e + 780 >= n THEN n
+  WHEN {_last(2, 330)} > 0 THEN {_last(2, 330)} WHEN {_last(1, 330)} > 0 THEN {_last(1, 330)} WHEN {_last(0, 0)} > 0 THEN {_last(0, 0)}
+  ELSE greatest(e + 780 - length(regexp_extract(substring(t, e + 2, 780), '\p{{M}}*$')), e + 1) END FROM r WHERE piece < 0 OR e < n),
+c AS (SELECT hit_id, piece, s, e, substring(t, s + 1, e - s) AS x FROM r WHERE piece >= 0),
+o AS (SELECT hit_id, max(struct_pack(d := {_ID.format('document_id')}, i := chunk_index)) AS m FROM feed_passage_hits GROUP BY 1),
+m AS (SELECT hit_id, m.d AS document_id, m.i AS chunk_index, coalesce(sum(pieces) OVER (PARTITION BY m.d ORDER BY m.i NULLS FIRST, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o JOIN (SELECT hit_id, count(*) AS pieces FROM c GROUP BY 1) USING (hit_id))
+SELECT document_id, chunk_index, hit_id, CAST(before + piece AS BIGINT) AS piece_no, s AS piece_start, e AS piece_end, x AS piece_text FROM c JOIN m USING (hit_id)"""
+
 ORACLE: dict[str, str] = {
+    "p3_pieces": _PIECES,
     "p3_found": rf"""WITH h AS (SELECT DISTINCT hit_id, text FROM feed_passage_hits WHERE length(text) > 900 AND regexp_matches(text, '[^{_WS}]')),
 s AS (SELECT hit_id, text, regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[\x{{000b}}-\x{{000d}}\x{{0085}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM h),
 m AS (SELECT hit_id, list_max(list_transform(string_split_regex(t, '\n[{_WS}]*\n'), lambda p: length(regexp_replace(p, '^[{_WS}]+|[{_WS}]+$', '', 'g')))) AS par,

@@ -1,13 +1,14 @@
 """Splitting oversized items at natural boundaries, by ranges.
 
 A text (a table cell or a file) is looked at in ranges of fixed size, each with a halo of one
-piece length on its right, so no worker needs the whole of it.  Where a piece ends depends
-on where it starts, so a range cannot be cut before the ranges to its left; but only starts
-within one limit of its left edge can be the first start inside it.  Each range therefore gives
-a boundary table: for each such entry the start at which the chain of pieces leaves the
-range and how many pieces it has on the way.  Stitching the tables in order gives each range
-its entry and, as a prefix sum of counts, its first piece number; then every range emits its
-own pieces by offset.  The result is exactly the left-to-right split of the whole text.
+piece length on both sides, so no worker needs the whole of it.  A range first gets a boundary
+table: where white space ends, and whether that is the end of a paragraph, a sentence or a word.
+Where a piece ends depends on where it starts, so a range cannot be cut before the ranges to its
+left; but only starts within one limit of its left edge can be the first start inside it.  For each
+of these the table says where the chain of pieces leaves the range and how many pieces it has on
+the way (starts that share both stand together).  Stitching the tables in order gives each range
+its entry and, as a prefix sum of counts, its first piece number; then every range emits its own
+pieces by offset.  The result is exactly the left-to-right split of the whole text.
 
 Paragraph and word lengths fold in the same way: each range has a summary, and summaries of
 neighbours combine associatively.
@@ -15,20 +16,28 @@ neighbours combine associatively.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from functools import reduce
+import re
+import unicodedata
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import astuple, dataclass, fields
+from functools import lru_cache, reduce
+from itertools import chain, groupby, islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docketspark.operators.ordered import PID, line_up, with_running_sum
-from docketspark.session import cut
+from docketspark.session import cut, shuffle_parallelism
 
-RANGE = 1 << 16
+CELL_RANGE = 1 << 12  # code points of a range of a table cell
+FILE_RANGE = 8 << 20  # bytes of a range of a file
 GROUP = 256  # boundary tables stitched in one task
 
 #: Unicode white space, and the line ends among it (\r\n is one).
@@ -36,8 +45,6 @@ SPACE = "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000\u2001\u200
 _S = "[" + SPACE + "]"
 _RUNS = regex.compile(_S + "+")
 _LINE_END = regex.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-_SENTENCE = regex.compile(r"[.!?…;:]['\"”»)\]]*$")
-_MARK = regex.compile(r"[\p{M}\u200d]")
 
 
 # ---------------------------------------------------------------- summaries
@@ -132,233 +139,344 @@ def boundary_kind(s: Summary, limit: int) -> str:
 
 # ---------------------------------------------------------------- cutting
 
+#: Line ends, what ends a sentence, and what may close after it.
+_ENDS = np.array([0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029], dtype=np.uint32)
+_STOPS = np.array([ord(c) for c in ".!?…;:"], dtype=np.uint32)
+_CLOSERS = np.array([ord(c) for c in "'\"”»)]"], dtype=np.uint32)
+_LOOK = 8  # characters looked at before a run of white space, and after the room's end
 
-class Cutter:
-    """Piece ends inside one window of text; positions are offsets in the whole text."""
 
-    def __init__(self, window: str, offset: int, total: int, limit: int, overlap: int):
+@lru_cache(1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """(is white space, is a combining mark or joiner) by code point."""
+    space, mark = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
+    space[[ord(c) for c in SPACE]] = True
+    mark[[c for c in range(0x300, 0x110000) if unicodedata.category(chr(c))[0] == "M"] + [0x200D]] = True
+    return space, mark
+
+
+def text_codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+class Boundaries:
+    """The boundary table of one window: where a piece may end, and what kind of end that is.
+
+    ``base`` is the window's offset in the whole.  The end of a run of white space is a paragraph break
+    (kind 2) if the run has more than one line end, a sentence end (1) if it has one or follows closing
+    punctuation, else a word end (0).  All of this is read from the ``limit`` characters before the
+    boundary at most, so a window with a halo of ``limit`` on each side knows it as the whole text does.
+    Windows are code points, or bytes, of which continuation bytes are marks.
+    """
+
+    def __init__(self, codes: np.ndarray, base: int, total: int, limit: int, overlap: int):
         if not 0 <= overlap < limit:
             raise ValueError("the overlap must be below the limit")
-        self.text, self.offset, self.total, self.limit, self.overlap = window, offset, total, limit, overlap
-
-    def end(self, start: int) -> int:
-        """End of the piece that starts at ``start``: the last paragraph break in the second half of
-        the room, else the last sentence or line end there, else the last end of a white-space run,
-        else the limit (before a combining mark's base)."""
-        stop = start + self.limit
-        if stop >= self.total:
-            return self.total
-        a, z = start - self.offset, stop - self.offset
-        low, half = a + self.overlap, a + max(self.overlap, self.limit // 2)
-        t, word, sentence = self.text, 0, 0
-        p = z
-        while p > low:
-            # p is a boundary where white space ends (or stands right after the room)
-            if t[p - 1] in SPACE and (t[p] not in SPACE):
-                q = p - 1
-                while q > low and t[q - 1] in SPACE:
-                    q -= 1
-                word = word or p
-                if p <= half:
-                    break
-                ends = len(_LINE_END.findall(t[q:p]))
-                if ends > 1:
-                    return p + self.offset
-                if not sentence and (ends or _SENTENCE.search(t[max(low, q - 8) : q])):
-                    sentence = p
-                p = q
-            elif p == z and t[p] in SPACE and t[p - 1] not in SPACE:
-                word = p
-                if len(_LINE_END.findall(_RUNS.match(t, p, p + 8).group())) > 1:
-                    return p + self.offset
-                if _SENTENCE.search(t[max(low, p - 8) : p]):
-                    sentence = p
-                p -= 1
-            else:
-                p -= 1
-                if p <= half and word:
-                    break
-        cut_at = sentence or word
-        if not cut_at:
-            cut_at = z
-            while cut_at > low + 1 and _MARK.match(t[cut_at]):
-                cut_at -= 1
-        return cut_at + self.offset
-
-    def next(self, start: int) -> int:
-        """Start of the piece after the one at ``start``; the text's length when that was the last."""
-        e = self.end(start)
-        return e if e >= self.total else e - self.overlap
+        self.base, self.total, self.limit, self.overlap = base, total, limit, overlap
+        n = self.n = len(codes)
+        if codes.dtype == np.uint8:
+            space, mark = _classes()[0][:256][codes] & (codes < 0x80), (codes & 0xC0) == 0x80
+            ends = np.isin(codes, _ENDS[:4])
+        else:
+            space, mark = (table[codes] for table in _classes())
+            ends = np.isin(codes, _ENDS)
+        ends[1:] &= ~((codes[1:] == 0x0A) & (codes[:-1] == 0x0D))
+        line_ends = np.concatenate([[0], np.cumsum(ends)])
+        at = np.arange(n + 1)
+        edge = np.diff(np.concatenate([[False], space, [False]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # where a sentence ends: punctuation, then closers only
+        solid = np.maximum.accumulate(np.where(np.isin(codes, _CLOSERS), -1, at[:-1])) if n else at[:0]
+        stop = np.isin(codes, _STOPS)
+
+        def sentence(q: np.ndarray) -> np.ndarray:
+            j = solid[np.maximum(q - 1, 0)]
+            return (q > 0) & (j >= 0) & (j >= q - _LOOK) & stop[np.maximum(j, 0)]
+
+        def kinds(q: np.ndarray, count: np.ndarray) -> np.ndarray:
+            return np.where(count > 1, 2, np.where((count == 1) | sentence(q), 1, 0))
+
+        self.after = np.full(n + 1, -1, dtype=np.int8)  # kind of the boundary where white space ends
+        whole = last < n
+        p, q = last[whole], np.maximum(first[whole], last[whole] - limit)
+        self.after[p] = kinds(q, line_ends[p] - line_ends[q])
+        self.before = np.full(n + 1, -1, dtype=np.int8)  # kind where white space starts, if the room ends there
+        inner = first > 0
+        q = first[inner]
+        self.before[q] = kinds(q, line_ends[np.minimum(last[inner], q + _LOOK)] - line_ends[q])
+        self.latest = [np.maximum.accumulate(np.where(self.after >= k, at, -1)) for k in (0, 1, 2)]
+        self.solid = np.maximum.accumulate(np.where(np.concatenate([mark, [False]]), -1, at))
+
+    def ends(self, start: np.ndarray) -> np.ndarray:
+        """Ends of the pieces that start at ``start``: the last paragraph break in the second half of the
+        room, else the last sentence end there, else the last word end, else the limit (before a
+        combining mark's base)."""
+        s = start - self.base
+        z = np.minimum(s + self.limit, self.n)
+        low, half = s + self.overlap, s + max(self.overlap, self.limit // 2)
+        word, sentence, par = (np.where(self.before[z] >= k, z, self.latest[k][z]) for k in (0, 1, 2))
+        hard = np.maximum(self.solid[z], low + 1)
+        cut_at = np.where(par > half, par, np.where(sentence > half, sentence, np.where(word > low, word, hard)))
+        return np.where(start + self.limit >= self.total, self.total, cut_at + self.base)
+
+
+#: A boundary table's chains: of the starts from entry[i] on (up to entry[i + 1]), where the chain of
+#: pieces leaves the range and how many pieces it has on the way.
+Chains = tuple[list[int], list[int], list[int]]
+
+
+def range_ends(window: np.ndarray, base: int, offset: int, stop: int, total: int, limit: int, overlap: int) -> np.ndarray:
+    """Piece ends for every start in [offset, stop)."""
+    return Boundaries(window, base, total, limit, overlap).ends(np.arange(offset, stop))
+
+
+def range_chains(ends: np.ndarray, offset: int, stop: int, total: int, limit: int, overlap: int) -> Chains:
+    """Chains for every start that may come first in the range: within ``limit`` of its left edge."""
+    if not total:
+        return [0], [0], [1]
+    leave, n = np.where(ends >= total, total, ends - overlap), np.ones(len(ends), dtype=np.int64)
+    while (inside := leave < stop).any():  # each round doubles the pieces that are skipped at once
+        to = leave[inside] - offset
+        n[inside], leave[inside] = n[inside] + n[to], leave[to]
+    k = 1 if offset == 0 else min(limit, stop - offset)
+    leave, n = leave[:k], n[:k]
+    change = np.flatnonzero(np.concatenate([[True], (leave[1:] != leave[:-1]) | (n[1:] != n[:-1])]))
+    return (change + offset).tolist(), leave[change].tolist(), n[change].tolist()
+
+
+def range_pieces(ends: np.ndarray, offset: int, stop: int, total: int, overlap: int, entry: int, first: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, start, end) of the pieces that start in the range."""
+    if not total:
+        yield 0, 0, 0
+        return
+    p = entry
+    while p < stop:
+        e = int(ends[p - offset])
+        yield first, p, e
+        p, first = (e if e >= total else e - overlap), first + 1
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a whole text; the plain form that the ranges reproduce."""
-    if len(text) <= limit:
-        return [(0, len(text))]
-    c, out, s = Cutter(text, 0, len(text), limit, overlap), [], 0
+    """(start, end) of the pieces of a whole text, left to right; the plain form that the ranges reproduce."""
+    n = len(text)
+    if n <= limit:
+        return [(0, n)]
+    b, out, s = Boundaries(text_codes(text), 0, n, limit, overlap), [], 0
     while True:
-        e = c.end(s)
+        e = int(b.ends(np.array([s]))[0])
         out.append((s, e))
-        if e >= len(text):
+        if e >= n:
             return out
         s = e - overlap
 
 
-def range_table(window: str, offset: int, stop: int, total: int, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(entry, exit, pieces) of the range [offset, stop) for each start that may come first in it."""
-    if not total:
-        return [(0, 0, 1)]
-    c = Cutter(window, offset, total, limit, overlap)
-    memo: dict[int, tuple[int, int]] = {}
-    entries = [0] if offset == 0 else range(offset, min(stop, offset + limit))
-    for entry in entries:
-        chain, p = [], entry
-        while p < stop and p not in memo:
-            chain.append(p)
-            p = c.next(p)
-        exit_at, n = memo.get(p, (p, 0))
-        for q in reversed(chain):
-            n += 1
-            memo[q] = (exit_at, n)
-    return [(e, *memo[e]) for e in entries]
+# ---------------------------------------------------------------- stitching
 
+CHAINS = "no long, stop long, entry array<bigint>, leave array<bigint>, n array<bigint>"
 
-# ---------------------------------------------------------------- Spark plans
 
-
-def _ranges(rows: DataFrame, limit: int, size: int) -> DataFrame:
-    """Ranges of the texts of ``rows`` (_key, _text): _key, no, offset, total, window (with halo)."""
+def _streamed(df: DataFrame, keys: list[str], order: str, step: Callable[[list, Iterator[dict]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``step`` over the rows of each key in order; a key is read as a stream, never held as a whole."""
+    out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names, types = out.names, to_arrow_schema(out).types
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i in range(b.num_rows):  # one text at a time: its ranges never gather with another's
-                key, text = b.column(0)[i : i + 1], b.column(1)[i].as_py()
-                n, starts = len(text), range(0, max(1, len(text)), size)
-                windows = [text[s : s + size + limit + 8] for s in starts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[0].as_py()] * len(windows), key.type), pa.array(range(len(windows)), pa.int32()), pa.array(list(starts), pa.int64()), pa.array([n] * len(windows), pa.int64()), pa.array(windows, pa.string())],
-                    ["_key", "no", "offset", "total", "window"],
-                )
+        rows = (r for b in it for r in b.to_pylist())
+        found = (x for key, group in groupby(rows, lambda r: [r[k] for k in keys]) for x in step(key, group))
+        while part := list(islice(found, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
 
-    kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, no int, offset bigint, total bigint, window string")
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
-def classify_texts(df: DataFrame, id_col: str, text_col: str, limit: int, size: int = RANGE) -> DataFrame:
-    """(id, boundary) of each text of more than ``limit`` code points that is not all white space.
+def _follow(rows: Iterable[dict], at: int, n: int) -> Iterator[tuple]:
+    """(row, entry, pieces before, pieces in it) of the ranges the chain from ``at`` starts pieces in."""
+    for r in rows:
+        if at < r["stop"]:  # else a short last range that no piece starts in
+            k = bisect_right(r["entry"], at) - 1
+            yield r, at, n, r["n"][k]
+            at, n = r["leave"][k], n + r["n"][k]
 
-    'paragraph' if every paragraph fits the limit, else 'word' if every run without white space
-    does, else 'hard'.  Null, short and blank texts have no row; rows with the same id and text
-    give one row.
+
+def stitch_chains(found: DataFrame, most: int) -> DataFrame:
+    """(_key, no, entry, first, n): where the chain enters each range, how many pieces stand before it and start in it.
+
+    The tables of GROUP neighbouring ranges compose to one table; the composed tables are stitched the
+    same way, and their entries go back down, so a file of any number of ranges spreads over tasks.
     """
-    rows = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(F.length("_text") > limit)
-    kind = rows.schema["_key"].dataType.simpleString()
+    kind = found.schema["_key"].dataType.simpleString()
 
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            keys, out = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                # the ranges of a cell are summarised one by one and stitched left to right
-                s = reduce(combine, (summarise(text[p : p + size]) for p in range(0, len(text), size)))
-                if not s.blank:
-                    keys.append(key)
-                    out.append(boundary_kind(s, limit))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(out, pa.string())], ["_key", "boundary"])
+    def walk(key: list, rows: Iterator[dict]) -> Iterator[tuple]:
+        r0 = next(rows)
+        for r, at, n, own in _follow(chain([r0], rows), r0.get("at", 0), r0.get("before", 0)):
+            yield key[0], r["no"], at, n, own
 
-    return rows.mapInArrow(run, f"_key {kind}, boundary string").distinct().withColumnRenamed("_key", id_col)
+    def compose(key: list, rows: Iterator[dict]) -> Iterator[tuple]:
+        ends: list[tuple[int, int]] = []
+        entry: list[int] = []
+        stop = 0
+        for r in rows:
+            if not ends:
+                entry, ends = r["entry"], list(zip(r["leave"], r["n"]))
+            else:
+                ends = [x if x[0] >= r["stop"] else (r["leave"][k := bisect_right(r["entry"], x[0]) - 1], x[1] + r["n"][k]) for x in ends]
+            stop = r["stop"]
+        yield key[0], key[1], stop, entry, [x[0] for x in ends], [x[1] for x in ends]
 
+    out = f"_key {kind}, no long, entry long, first long, n long"
+    if most <= GROUP:
+        return _streamed(found, ["_key"], "no", walk, out)
+    grouped = found.withColumn("_g", F.floor(F.col("no") / GROUP))
+    above = stitch_chains(_streamed(grouped, ["_key", "_g"], "no", compose, f"_key {kind}, {CHAINS}"), -(-most // GROUP))
+    starts = above.select("_key", F.col("no").alias("_g"), F.col("entry").alias("at"), F.col("first").alias("before"))
+    return _streamed(grouped.join(starts, ["_key", "_g"]), ["_key", "_g"], "no", walk, out)
 
-def split_items(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, size: int = RANGE) -> DataFrame:
-    """Pieces of each text: id, piece, piece_start, piece_end, piece_text.
 
-    A text within the limit is one piece; a longer one is cut as Cutter.end says, each piece
-    starting ``overlap`` code points before the end of the one before it.  Null texts have no
-    piece, an empty text one empty piece.  Rows that repeat an id repeat its pieces (give
-    distinct rows).  Texts of several ranges are stitched by the prefix sum over their tables.
-    """
-    rows = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
-    kind = rows.schema["_key"].dataType.simpleString()
-    pieces = f"_key {kind}, piece bigint, piece_start bigint, piece_end bigint, piece_text string"
-    names = ["_key", "piece", "piece_start", "piece_end", "piece_text"]
+SUMMARY = "no long, lead string, tail string, first_word long, last_word long, one_word boolean, max_word long, first_par long, last_par long, one_par boolean, max_par long"
 
-    def short(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out: list[list] = [[], [], [], [], []]
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for n, (s, e) in enumerate(split_text(text, limit, overlap)):
-                    for c, v in zip(out, (key, n, s, e, text[s:e])):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()])], names)
 
-    one = rows.where(F.length("_text") <= size).mapInArrow(short, pieces)
-    many = split_ranges(cut(_ranges(rows.where(F.length("_text") > size).dropDuplicates(["_key"]), limit, size)), limit, overlap, size)
-    return one.unionByName(many).withColumnRenamed("_key", id_col)
+def stitch_summaries(found: DataFrame, most: int) -> DataFrame:
+    """One summary a key, from those of its ranges in order; GROUP neighbours at a time."""
+    kind = found.schema["_key"].dataType.simpleString()
 
+    def fold(key: list, rows: Iterator[dict]) -> Iterator[tuple]:
+        s = reduce(combine, (Summary(*(r[f.name] for f in fields(Summary))) for r in rows))
+        yield key[0], key[1], *astuple(s)
 
-def _stitch(found: DataFrame, kind: str, most: int) -> DataFrame:
-    """(_key, no, entry, first): where the chain enters each range and how many pieces stand before.
+    while True:
+        found = _streamed(found.withColumn("_g", F.floor(F.col("no") / GROUP)), ["_key", "_g"], "no", fold, f"_key {kind}, {SUMMARY}")
+        most = -(-most // GROUP)
+        if most <= 1:
+            return found
 
-    Tables of GROUP neighbouring ranges compose to one table; the composed tables are stitched the
-    same way, and their entries go back down.  No task holds more than GROUP tables, however many
-    ranges a file has.
-    """
-    table = f"_key {kind}, no long, entry array<bigint>, exit array<bigint>, pieces array<bigint>"
 
-    def follow(rows: list, at: int, n: int) -> Iterator[tuple]:
-        for r in rows:
-            k = at - int(r.entry[0])
-            if k < len(r.entry):  # else a short last range that no piece starts in
-                yield r, at, n
-                at, n = int(r.exit[k]), n + int(r.pieces[k])
-        yield None, at, n
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("no").itertuples(index=False))
-        at, n = (int(pdf["at"].iloc[0]), int(pdf["n"].iloc[0])) if "at" in pdf else (0, 0)
-        return pd.DataFrame([(r[0], r.no, a, k) for r, a, k in follow(rows, at, n) if r is not None], columns=["_key", "no", "entry", "first"])
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("no").itertuples(index=False))
-        ends = [list(follow(rows, int(e), 0))[-1] for e in rows[0].entry]
-        return pd.DataFrame({"_key": [rows[0][0]], "no": [rows[0].no // GROUP], "entry": [list(rows[0].entry)], "exit": [[x[1] for x in ends]], "pieces": [[x[2] for x in ends]]})
-
-    out = f"_key {kind}, no long, entry long, first long"
-    if most <= GROUP:
-        return found.groupBy("_key").applyInPandas(walk, out)
-    above = _stitch(found.groupBy("_key", F.floor(F.col("no") / GROUP)).applyInPandas(compose, table), kind, -(-most // GROUP))
-    starts = above.select("_key", F.col("no").alias("_g"), F.col("entry").alias("at"), F.col("first").alias("n"))
-    return found.withColumn("_g", F.floor(F.col("no") / GROUP)).join(starts, ["_key", "_g"]).groupBy("_key", "_g").applyInPandas(walk, out)
+# ---------------------------------------------------------------- table cells
 
 
-def split_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> DataFrame:
-    """Pieces from the ranges of any source: _key, piece, piece_start, piece_end, piece_text."""
-    kind = ranges.schema["_key"].dataType.simpleString()
+def _cells(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_key, _text): one row an id; of rows that repeat an id the greatest text holds, and rows without one are no items."""
+    return df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_key")).agg(F.max(text_col).alias("_text")).where("_text IS NOT NULL")
 
-    def tables(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for r in pdf.itertuples(index=False):
-                t = range_table(r.window, r.offset, min(r.offset + size, r.total), r.total, limit, overlap)
-                yield pd.DataFrame({"_key": [r[0]], "no": [r.no], "entry": [[x[0] for x in t]], "exit": [[x[1] for x in t]], "pieces": [[x[2] for x in t]]})
 
-    found = ranges.mapInPandas(tables, f"_key {kind}, no int, entry array<bigint>, exit array<bigint>, pieces array<bigint>")
+def _range_rows(rows: DataFrame, size: int, of_range: Callable[[str, int, int, int], tuple], schema: str) -> DataFrame:
+    """``of_range(text, no, offset, stop)`` of every range of every text, one row each, in one Arrow pass."""
+    kind = rows.schema["_key"].dataType.simpleString()
+    out = T._parse_datatype_string(f"_key {kind}, {schema}")
+    names, types = out.names, to_arrow_schema(out).types
 
-    entries = _stitch(found, kind, (ranges.agg(F.max("no")).first()[0] or 0) + 1)
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = (
+                (key, *of_range(text, k, s, min(s + size, len(text))))
+                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                for k, s in enumerate(range(0, max(1, len(text)), size))
+            )
+            while part := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+
+    return rows.mapInArrow(run, f"_key {kind}, {schema}")
 
-    def emit(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for r in pdf.itertuples(index=False):
-                c, p, n, stop, out = Cutter(r.window, r.offset, r.total, limit, overlap), r.entry, r.first, min(r.offset + size, r.total), []
-                if not r.total:
-                    out.append((r[0], 0, 0, 0, ""))
-                while p < stop:
-                    e = c.end(p)
-                    out.append((r[0], n, p, e, r.window[p - r.offset : e - r.offset]))
-                    p, n = (e if e >= r.total else e - overlap), n + 1
-                yield pd.DataFrame(out, columns=["_key", "piece", "piece_start", "piece_end", "piece_text"])
-
-    return ranges.join(entries, ["_key", "no"]).select("_key", "offset", "total", "window", "entry", "first").mapInPandas(
-        emit, f"_key {kind}, piece bigint, piece_start bigint, piece_end bigint, piece_text string"
-    )
+
+def _most(found: DataFrame) -> int:
+    return (found.agg(F.max("no")).first()[0] or 0) + 1
+
+
+def classify_texts(df: DataFrame, id_col: str, text_col: str, limit: int, size: int = CELL_RANGE) -> DataFrame:
+    """(id, boundary) of each text of more than ``limit`` code points that is not all white space.
+
+    'paragraph' if every paragraph fits the limit, else 'word' if every run without white space
+    does, else 'hard'.  Each range is summarised by itself, and the summaries of a text are stitched in
+    order.  Null, short and blank texts and rows without an id have no row; of rows that repeat an id the greatest text holds.
+    """
+    rows = _cells(df.where(F.length(text_col) > limit), id_col, text_col)
+
+    def of_range(text: str, no: int, offset: int, stop: int) -> tuple:
+        return no, *astuple(summarise(text[offset:stop]))
+
+    found = cut(_range_rows(rows, size, of_range, SUMMARY))
+    whole = stitch_summaries(found, _most(found)).where("max_word > 0")
+    kind = F.when(F.col("max_par") <= limit, "paragraph").when(F.col("max_word") <= limit, "word").otherwise("hard")
+    return whole.select(F.col("_key").alias(id_col), kind.alias("boundary"))
+
+
+@dataclass
+class SplitPlan:
+    """Texts and the stitched entries of their ranges; the pieces are emitted from both."""
+
+    rows: DataFrame  # _key, _text
+    entries: DataFrame  # _key, no, entry, first, n
+    limit: int
+    overlap: int
+    size: int
+
+    def counts(self) -> DataFrame:
+        """(_key, pieces): how many pieces each text has."""
+        return self.entries.groupBy("_key").agg(F.sum("n").alias("pieces"))
+
+    def pieces(self, extra: DataFrame | None = None) -> DataFrame:
+        """_key, the columns of ``extra`` (one row a _key; texts without one have no pieces), piece, piece_start, piece_end, piece_text.
+
+        Texts meet the entries of their ranges, which are small; a range's window is read again where it is cut.
+        """
+        limit, overlap, size = self.limit, self.overlap, self.size
+        per = self.entries.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("no", "entry", "first"))).alias("_at"))
+        rows = self.rows.join(per, "_key")
+        more = [c for c in extra.columns if c != "_key"] if extra is not None else []
+        rows = rows.join(extra, "_key") if extra is not None else rows
+        rows = rows.select("_key", *more, "_at", "_text")
+        schema = T.StructType([*(rows.schema[c] for c in ["_key", *more]), T.StructField("piece", T.LongType()), T.StructField("piece_start", T.LongType()), T.StructField("piece_end", T.LongType()), T.StructField("piece_text", T.StringType())])
+        names, types = schema.names, to_arrow_schema(schema).types
+
+        def cut_row(r: dict) -> Iterator[tuple]:
+            text = r.pop("_text")
+            at, total, kept = r.pop("_at"), len(text), tuple(r.values())
+            for x in at:
+                offset = x["no"] * size
+                stop = min(offset + size, total)
+                ends = cell_ends(text, offset, stop, limit, overlap)
+                for n, s, e in range_pieces(ends, offset, stop, total, overlap, x["entry"], x["first"]):
+                    yield *kept, n, s, e, text[s:e]
+
+        def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                found = (p for r in b.to_pylist() for p in cut_row(r))
+                while part := list(islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+
+        return rows.mapInArrow(run, schema)
+
+
+def cell_ends(text: str, offset: int, stop: int, limit: int, overlap: int) -> np.ndarray:
+    """Piece ends for the starts of one range of a cell, read from its window."""
+    total = len(text)
+    if total <= limit:
+        return np.full(max(stop - offset, 1), total)
+    base = max(0, offset - limit - _LOOK)
+    return range_ends(text_codes(text[base : stop + limit + _LOOK]), base, offset, stop, total, limit, overlap)
+
+
+def plan_split(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, size: int = CELL_RANGE) -> SplitPlan:
+    """Boundary tables of all ranges of all texts, written once, and their stitched entries."""
+    size = max(size, limit)
+    rows = _cells(df, id_col, text_col)
+
+    def of_range(text: str, no: int, offset: int, stop: int) -> tuple:
+        ends = cell_ends(text, offset, stop, limit, overlap)
+        return no, max(stop, 1), *range_chains(ends, offset, stop, len(text), limit, overlap)
+
+    tables = cut(_range_rows(rows, size, of_range, CHAINS))
+    return SplitPlan(rows, stitch_chains(tables, _most(tables)), limit, overlap, size)
+
+
+def split_items(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, size: int = CELL_RANGE) -> DataFrame:
+    """Pieces of each text: id, piece, piece_start, piece_end, piece_text.
+
+    A text within the limit is one piece; a longer one is cut as Boundaries.ends says, each piece
+    starting ``overlap`` code points before the end of the one before it.  Null texts and rows
+    without an id have no piece, an empty text one empty piece.  Rows that repeat an id are one item, with the
+    greatest of their texts.
+    """
+    return plan_split(df, id_col, text_col, limit, overlap, size).pieces().withColumnRenamed("_key", id_col)
 
 
 def running_numbers(df: DataFrame, key: str, order: list[str], count_col: str, partitions: int | None = None) -> DataFrame:
@@ -369,44 +487,61 @@ def running_numbers(df: DataFrame, key: str, order: list[str], count_col: str, p
 # ---------------------------------------------------------------- files
 
 
-#: One byte is one position: lead bytes are shown as letters and continuation bytes as combining marks
-#: (before which the cutter does not cut), each with the byte in its low eight bits.
-_TO_MARKS = {b: (0xE0100 if b < 0xC0 else 0x4E00) + b for b in range(0x80, 0x100)}
-_TO_BYTES = {v: k for k, v in _TO_MARKS.items()}
+def _open(path: str):
+    from pyarrow import fs
+
+    if "://" in path:
+        system, name = fs.FileSystem.from_uri(path)
+    else:
+        system, name = fs.LocalFileSystem(), re.sub("^file:", "", path)
+    return system.open_input_file(name)
 
 
-def split_files(spark, paths: list[str], limit: int, overlap: int, size: int = 8 << 20) -> DataFrame:
+def split_files(spark, paths: list[str], limit: int, overlap: int, size: int = FILE_RANGE) -> DataFrame:
     """Pieces of UTF-8 files by byte ranges: path, piece, byte_start, byte_end, piece_text.
 
-    ``limit``, ``overlap`` and offsets count bytes.  A worker opens a file at its range and reads the
-    range and its halo only; the driver lists sizes, nothing else.  Boundaries are those of the
-    text split, read on bytes (white space of one byte); no piece starts or ends inside a
-    character, so an overlap may be up to three bytes shorter.  An empty file has one empty piece.
+    ``paths`` are files, folders or globs; Spark lists them, and ranges are made on the workers from
+    (path, length).  ``limit``, ``overlap`` and offsets count bytes.  A worker opens a file at its range and
+    reads the range and its halos, once for the boundary table and once when it emits; between the two only
+    tables and entries are shuffled, never file contents.  Boundaries are those of the text split, read on
+    bytes (white space of one byte); no piece starts or ends inside a character, so an overlap may be up to
+    three bytes shorter.  An empty file has one empty piece.
     """
-    from pyarrow import fs
-
-    rows = []
-    for p in paths:
-        system, name = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
-        n = system.get_file_info(name).size
-        rows += [(p, k, k * size, n) for k in range(max(1, -(-n // size)))]
-    ranges = spark.createDataFrame(rows, "_key string, no int, offset long, total long").repartition(max(1, len(rows)))
+    size = max(size, limit)
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_key"), F.col("length").alias("total"))
+    count = F.greatest(F.ceil(F.col("total") / size), F.lit(1))
+    wide = 16 * shuffle_parallelism(spark)
+    each = files.withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+
+    def window(path: str, no: int, total: int) -> tuple[np.ndarray, int, int, int, np.ndarray]:
+        """(bytes, base, offset, stop, piece ends) of one range."""
+        offset = no * size
+        stop = min(offset + size, total)
+        base = max(0, offset - limit - _LOOK)
+        with _open(path) as f:
+            raw = np.frombuffer(f.read_at(min(stop + limit + _LOOK, total) - base, base), dtype=np.uint8)
+        return raw, base, offset, stop, range_ends(raw, base, offset, stop, total, limit, overlap) if total else np.zeros(1, dtype=np.int64)
 
-    def load(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tables(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for r in pdf.itertuples(index=False):
-                system, name = fs.FileSystem.from_uri(r[0]) if "://" in r[0] else (fs.LocalFileSystem(), r[0])
-                with system.open_input_file(name) as f:
-                    raw = f.read_at(min(size + limit + 8, r.total - r.offset), r.offset)
-                yield pd.DataFrame({"_key": [r[0]], "no": [r.no], "offset": [r.offset], "total": [r.total], "window": [raw.decode("latin-1").translate(_TO_MARKS)]})
+            for path, total, no in pdf.itertuples(index=False):
+                _, _, offset, stop, ends = window(path, no, total)
+                e, leave, n = range_chains(ends, offset, stop, total, limit, overlap)
+                yield pd.DataFrame({"_key": [path], "no": [no], "stop": [max(stop, 1)], "entry": [e], "leave": [leave], "n": [n]})
 
-    windows = ranges.mapInPandas(load, "_key string, no int, offset long, total long, window string")
-    pieces = split_ranges(windows, limit, overlap, size)
+    found = cut(each.repartition(wide, "_key", "no").mapInPandas(tables, f"_key string, {CHAINS}"))
+    entries = stitch_chains(found, _most(found))
 
-    def decode(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            texts = [t.translate(_TO_BYTES).encode("latin-1") for t in pdf["piece_text"]]
-            skip = [next((i for i, b in enumerate(t[:4]) if b & 0xC0 != 0x80), 0) for t in texts]
-            yield pd.DataFrame({"path": pdf["_key"], "piece": pdf["piece"], "byte_start": pdf["piece_start"] + skip, "byte_end": pdf["piece_end"], "piece_text": [t[k:].decode("utf-8", "replace") for t, k in zip(texts, skip)]})
-
-    return pieces.mapInPandas(decode, "path string, piece long, byte_start long, byte_end long, piece_text string")
+            for path, total, no, entry, first in pdf.itertuples(index=False):
+                raw, base, offset, stop, ends = window(path, no, total)
+                out = []
+                for n, s, e in range_pieces(ends, offset, stop, total, overlap, entry, first):
+                    piece = raw[s - base : e - base]
+                    skip = next((i for i, b in enumerate(piece[:4]) if b & 0xC0 != 0x80), 0)
+                    out.append((path, n, s + skip, e, piece[skip:].tobytes().decode("utf-8", "replace")))
+                yield pd.DataFrame(out, columns=["path", "piece", "byte_start", "byte_end", "piece_text"])
+
+    rows = each.join(entries.drop("n"), ["_key", "no"]).select("_key", "total", "no", "entry", "first").repartition(wide, "_key", "no")
+    return rows.mapInPandas(emit, "path string, piece long, byte_start long, byte_end long, piece_text string")

@@ -43,6 +43,47 @@ def test_split_rules():
     assert splitting.split_text("aaa bbb\n\nccc ddd eee", 12, 0) == [(0, 9), (9, 20)]
 
 
+def brute_pieces(t, limit, overlap):
+    """The split by its definition: of the runs of white space in the room, the last of the best kind."""
+    line_end = "\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
+
+    def kind(run, q):
+        ends = len(re.findall(line_end, run))
+        return 2 if ends > 1 else 1 if ends or re.search(r"[.!?…;:]['\"”»)\]]*$", t[max(0, q - 8) : q]) else 0
+
+    runs = [(m.start(), m.end(), m.group()) for m in re.finditer(f"[{splitting.SPACE}]+", t)]
+    after = {e: kind(x[-limit:], max(s, e - limit)) for s, e, x in runs if e < len(t)}
+    before = {s: kind(x[:8], s) for s, e, x in runs if s}
+    out, s = [], 0
+    while len(t) > limit and s + limit < len(t):
+        z, low, half = s + limit, s + overlap, s + max(overlap, limit // 2)
+        at = dict(p for p in after.items() if p[0] <= z) | ({z: max(before[z], after.get(z, -1))} if z in before else {})
+        fits = [max((p for p, k in at.items() if k >= want and p > least), default=0) for want, least in ((2, half), (1, half), (0, low))]
+        e = next((p for p in fits if p), 0)
+        if not e:
+            e = z
+            while e > low + 1 and ud.category(t[e])[0] == "M":
+                e -= 1
+        out.append((s, e))
+        s = e - overlap
+    return [*out, (s, len(t))]
+
+
+def test_split_is_the_defined_one():
+    r = random.Random(16)
+    for _ in range(4000):
+        t = "".join(r.choice("abcd.!”  \n\r\u0301\u2028") for _ in range(r.randrange(1, 200)))
+        limit = r.randrange(4, 40)
+        overlap = r.randrange(0, limit // 2)
+        assert splitting.split_text(t, limit, overlap) == brute_pieces(t, limit, overlap)
+
+
+def test_repeated_ids_are_one_item(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (None, "x"), (2, "")], "hit_id long, text string")
+    got = sorted((p.hit_id, p.piece, p.piece_text) for p in splitting.split_items(df, "hit_id", "text", 10, 2).collect())
+    assert got == [(1, 0, "a b"), (2, 0, "")]
+
+
 def test_ranges_give_the_whole_split(spark, monkeypatch):
     monkeypatch.setattr(splitting, "GROUP", 3)
     r = random.Random(7)
@@ -62,13 +103,17 @@ def test_files_are_split_without_loading_them(spark, tmp_path):
     t = "".join(r.choice("abcde żółw.  \n") for _ in range(9000)) + "\n\nkoniec"
     (tmp_path / "a.txt").write_bytes(t.encode())
     (tmp_path / "b.txt").write_bytes(b"")
-    got = splitting.split_files(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], 200, 20, size=1000).orderBy("piece").collect()
+    (tmp_path / "c.txt").write_bytes(("ż" * 700).encode())
+    got = splitting.split_files(spark, [str(tmp_path)], 200, 20, size=1000).orderBy("piece").collect()
     a = [p for p in got if p.path.endswith("a.txt")]
     assert [p.piece for p in a] == list(range(len(a)))
     raw = t.encode()
     assert a[0].byte_start == 0 and a[-1].byte_end == len(raw)
     assert all(raw[p.byte_start : p.byte_end].decode() == p.piece_text and len(p.piece_text.encode()) <= 200 for p in a)
     assert all(x.byte_end >= y.byte_start >= x.byte_end - 20 - 3 for x, y in zip(a, a[1:]))
+    assert [(p.piece, p.byte_start, p.byte_end, p.piece_text) for p in got if p.path.endswith("b.txt")] == [(0, 0, 0, "")]
+    c = [p for p in got if p.path.endswith("c.txt")]
+    assert c[-1].byte_end == 1400 and all(set(p.piece_text) == {"ż"} for p in c)
 
 
 def test_classify(spark):
