@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import astuple, dataclass, fields
 from functools import lru_cache, reduce
 from itertools import chain, groupby, islice
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -508,7 +509,9 @@ def split_files(spark, paths: list[str], limit: int, overlap: int, size: int = F
     three bytes shorter.  An empty file has one empty piece.
     """
     size = max(size, limit)
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_key"), F.col("length").alias("total"))
+    found = spark.read.format("binaryFile").load(paths)  # its rows leave empty files out, its listing does not
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()], "_key string")
+    files = listed.join(found.select(F.col("path").alias("_key"), "length"), "_key", "left").select("_key", F.coalesce("length", F.lit(0)).alias("total"))
     count = F.greatest(F.ceil(F.col("total") / size), F.lit(1))
     wide = 16 * shuffle_parallelism(spark)
     each = files.withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
