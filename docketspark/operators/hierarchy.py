@@ -1,18 +1,20 @@
 """Parent-child rows to full hierarchies.
 
-Level-wise frontier joins: the frontier starts as the roots, and each round joins the rows
-that are still unplaced with the nodes placed in the round before, extending path and depth.
-A row leaves the unplaced set for good once it is placed, so a round shuffles only what is
-left.  What no round reaches lies on a cycle or below one; there every node has exactly one
-parent inside the set, so pointer doubling finds the cycle members in log2(longest tail)
-rounds and the smallest id of each cycle in log2(longest cycle) more.
-
-Chains deeper than ``level_rounds`` are finished by the same doubling (with path segments
-carried along), so the number of jobs is level_rounds + log2(depth), not depth.
-
-Every round is cut with checkpoint(): a lost executor costs a re-read, not a replay of all
-rounds, and the plan of a round does not hold the earlier ones.  Nothing is collected but
-one row of counters a round.
+Level-wise frontier joins.  Every unplaced node carries the segment of its nearest ancestors; the
+frontier starts as the roots, and each round joins the last ancestor of each segment with the
+nodes placed in the round before, which places the next ``k`` levels at once (k is the length of the
+segments) and extends path and depth.  A row leaves the unplaced set for good once it is placed, so
+a round shuffles only what is left.  Segments start with 2**hops ancestors and double after every
+``rounds`` rounds that did not finish, so the number of jobs grows with the logarithm of the depth.
+
+What no round reaches lies on a cycle or below one.  There a segment of REPEAT ancestors repeats a node,
+which gives away the whole cycle, its smallest id and the branch below it, without another join.  Where
+it is too short for that, pointer doubling over the unreached nodes finds the members of the long cycles,
+and these are the roots of the trees below them, placed by the same frontier joins.
+
+Every round is one written table: a lost executor costs a re-read, not a replay of all rounds, and
+the plan of a round does not hold the earlier ones.  Its two counters are observed while it is written;
+nothing else is collected.
 """
 
 from __future__ import annotations
@@ -20,27 +22,34 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.session import cut
 
+REPEAT = 64  # ancestors in which unreached nodes are looked for again
+
 
 @dataclass
 class Hierarchy:
-    """``nodes``: node_id, parent_id, root_id, depth, path, on_cycle - one row per distinct node."""
+    """``nodes``, one row a distinct node: node_id, parent_id, root_id, depth, path, on_cycle, branch.
+
+    ``branch`` leads from the cycle's member to a node below the cycle (a member's is itself); null in trees.
+    """
 
     nodes: DataFrame
 
     def descendants(self) -> DataFrame:
-        """(ancestor_id, node_id, distance): every proper ancestor of every placed node.
+        """(ancestor_id, node_id, distance): every proper ancestor of every node.
 
-        The pairs are read off the paths, so there is no join.  Output size is the sum of the
-        depths.  Nodes without a path (cycles) have no rows here.
+        The pairs are read off the paths, so there is no join.  Output size is the sum of the depths.  The trees
+        below a cycle hang on the member they start from; the members of a cycle are in no order, so there
+        are no pairs among them.
         """
-        p = self.nodes.where("depth > 0").select("node_id", "depth", F.posexplode("path").alias("pos", "ancestor_id"))
-        return p.where("pos < depth").select("ancestor_id", "node_id", (F.col("depth") - F.col("pos")).alias("distance"))
+        line = F.coalesce("path", "branch")
+        p = self.nodes.where(F.size(line) > 1).select("node_id", F.size(line).alias("n"), F.posexplode(line).alias("pos", "ancestor_id"))
+        return p.where("pos < n - 1").select("ancestor_id", "node_id", (F.col("n") - 1 - F.col("pos")).alias("distance"))
 
     def cycles(self) -> DataFrame:
         """Nodes that never reach a root, with the smallest id on the cycle they run into."""
@@ -74,7 +83,47 @@ def resolve_aliases(links: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def build_hierarchy(links: DataFrame, level_rounds: int = 64) -> Hierarchy:
+def _widen(rest: DataFrame) -> DataFrame:
+    """Segments twice as long: each goes on with that of its last ancestor, if that one is unplaced too."""
+    t = rest.select(F.col("node_id").alias("_at"), F.col("seg").alias("_more"))
+    longer = F.when(F.col("_more").isNotNull(), F.concat("seg", "_more")).otherwise(F.col("seg"))
+    return rest.join(t, F.element_at("seg", -1) == F.col("_at"), "left").select("node_id", "parent_id", longer.alias("seg"))
+
+
+def _place(rest: DataFrame, frontier: DataFrame, hops: int, rounds: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """Levels below ``frontier`` (node_id, root_id, depth, path), and what no round reaches, with its number of rows.
+
+    ``rest``: node_id, parent_id, seg.  A segment's last ancestor is in the last frontier or unplaced, never
+    in an older frontier: rounds and widening both keep that.
+    """
+    levels: list[DataFrame] = []
+    for _ in range(hops):
+        rest = cut(_widen(rest))
+    while True:
+        for _ in range(rounds):
+            f = frontier.select(F.col("node_id").alias("_at"), "root_id", "depth", "path")
+            between = F.reverse(F.slice("seg", F.lit(1), F.size("seg") - 1))
+            seen = Observation()
+            step = cut(
+                rest.join(f, F.element_at("seg", -1) == F.col("_at"), "left")
+                .select(
+                    "node_id", "parent_id", "root_id", (F.col("depth") + F.size("seg")).alias("depth"),
+                    F.when(F.col("root_id").isNotNull(), F.concat("path", between, F.array("node_id"))).alias("path"),
+                    F.when(F.col("root_id").isNull(), F.col("seg")).alias("seg"),
+                )
+                .observe(seen, F.count("root_id").alias("hit"), F.count("*").alias("all"))
+            )
+            hit, left = seen.get["hit"], seen.get["all"] - seen.get["hit"]
+            frontier = step.where("root_id IS NOT NULL").drop("seg")
+            rest = step.where("root_id IS NULL").select("node_id", "parent_id", "seg")
+            if hit:
+                levels.append(frontier)
+            if not hit or not left:
+                return levels, rest, left
+        rest = cut(_widen(rest))
+
+
+def build_hierarchy(links: DataFrame, hops: int = 4, rounds: int = 8) -> Hierarchy:
     """Depth, root and path of every node of ``links`` (node_id unique, parent_id).
 
     A node without a parent, or whose parent is not listed, is a root: depth 0, its own root,
@@ -84,108 +133,69 @@ def build_hierarchy(links: DataFrame, level_rounds: int = 64) -> Hierarchy:
     """
     links = links.select("node_id", "parent_id")
     known = links.select(F.col("node_id").alias("_known"))
-    edges = cut(
-        links.join(known, F.col("parent_id") == F.col("_known"), "left").select(
-            "node_id", "parent_id", F.col("_known").alias("up")
-        )
-    )
-    placed = edges.where("up IS NULL").select(
-        "node_id", "parent_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), F.array("node_id").alias("path")
-    )
-    levels, frontier = [placed], placed
-    rest = edges.where("up IS NOT NULL").select("node_id", "parent_id", "up")
-    left = rest.count()
-    for _ in range(level_rounds):
-        if not left:
-            break
-        f = frontier.select(F.col("node_id").alias("up"), F.col("root_id"), F.col("depth"), F.col("path"))
-        step = cut(
-            rest.join(f, "up", "left").select(
-                "node_id", "parent_id", "up", "root_id", (F.col("depth") + 1).alias("depth"),
-                F.when(F.col("root_id").isNotNull(), F.concat("path", F.array("node_id"))).alias("path"),
-            )
-        )
-        n = step.agg(F.count("root_id").alias("hit"), F.count("*").alias("all")).first()
-        frontier = step.where("root_id IS NOT NULL").select("node_id", "parent_id", "root_id", "depth", "path")
-        rest = step.where("root_id IS NULL").select("node_id", "parent_id", "up")
-        left = n["all"] - n["hit"]
-        if n["hit"]:
-            levels.append(frontier)
-        else:
-            break
-    nodes = reduce(DataFrame.unionByName, levels).withColumn("on_cycle", F.lit(False))
+    edges = cut(links.join(known, F.col("parent_id") == F.col("_known"), "left").select("node_id", "parent_id", F.when(F.col("_known").isNotNull(), F.array("_known")).alias("seg")))
+    roots = edges.where("seg IS NULL").select("node_id", "parent_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), F.array("node_id").alias("path"))
+    levels, rest, left = _place(edges.where("seg IS NOT NULL"), roots, hops, rounds)
+    nodes = reduce(DataFrame.unionByName, [roots, *levels]).select("*", F.lit(False).alias("on_cycle"), F.lit(None).cast("array<string>").alias("branch"))
     if left:
-        nodes = nodes.unionByName(_finish(rest, frontier))
+        while rest.select(F.size("seg")).first()[0] < REPEAT:  # unreached segments are all of one length
+            rest = cut(_widen(rest))
+        seen = Observation()
+        found = cut(_repeats(rest).observe(seen, F.count_if(F.col("root_id").isNull()).alias("n")))
+        nodes = nodes.unionByName(_lost(found.where("root_id IS NOT NULL"), F.col("branch")))
+        if seen.get["n"]:
+            nodes = reduce(DataFrame.unionByName, [nodes, *_long(found.where("root_id IS NULL").select("node_id", "parent_id"), rounds)])
     return Hierarchy(nodes)
 
 
+def _lost(part: DataFrame, branch: Column) -> DataFrame:
+    """Rows of nodes that reach no root, from node_id, parent_id and root_id."""
+    none = F.lit(None).cast("array<string>")
+    return part.select("node_id", "parent_id", "root_id", F.lit(-1).alias("depth"), none.alias("path"), (F.size(branch) == 1).alias("on_cycle"), branch.alias("branch"))
+
+
+def _repeats(rest: DataFrame) -> DataFrame:
+    """node_id, parent_id, root_id, branch: the first node that comes again up the segment is where the branch meets the cycle."""
+    up = rest.select("node_id", "parent_id", F.concat(F.array("node_id"), "seg").alias("a"))
+    again = F.transform("a", lambda x, i: F.array_position(F.slice("a", i + 2, F.size("a")), x))
+    i = F.array_position(F.transform("again", lambda k: k > 0), True).cast("int")  # from 1; 0 if nothing repeats
+    at = up.select("*", again.alias("again")).select("*", i.alias("i"))
+    ring = F.slice("a", F.col("i"), F.element_at("again", F.col("i")).cast("int"))
+    found = F.col("i") > 0
+    return at.select("node_id", "parent_id", F.when(found, F.array_min(ring)).alias("root_id"), F.when(found, F.reverse(F.slice("a", F.lit(1), F.col("i")))).alias("branch"))
+
+
+def _long(rest: DataFrame, rounds: int) -> list[DataFrame]:
+    """Rows of nodes on or below cycles too long for a segment."""
+    ring = cut(_long_rings(rest))
+    members = ring.select("node_id", "parent_id", "root_id", F.lit(0).alias("depth"), F.array("node_id").alias("path"))
+    below = rest.join(ring.select("node_id"), "node_id", "left_anti").select("node_id", "parent_id", F.array("parent_id").alias("seg"))
+    return [_lost(x, F.col("path")) for x in (members, *_place(below, members, 0, rounds)[0])]
+
+
 def _double(state: DataFrame, extra: list[Column]) -> DataFrame:
     """One doubling step of ``state`` (node_id, jump, ...): follow jump's own jump."""
     t = state.select(*(F.col(c).alias(f"t_{c}") for c in state.columns))
-    return state.join(t, F.col("jump") == F.col("t_node_id"), "left").select(
-        "node_id", F.coalesce("t_jump", "jump").alias("jump"), *extra, F.col("t_node_id").isNotNull().alias("live")
-    )
+    return state.join(t, F.col("jump") == F.col("t_node_id")).select("node_id", F.col("t_jump").alias("jump"), *extra)
 
 
-def _finish(rest: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Place what lies below the last frontier, and report what lies on or below a cycle."""
-    state = rest.select("node_id", F.col("up").alias("jump"))
-    size = -1
-    while True:  # the images of the live jumps shrink until only cycle members are left
-        state = cut(_double(state, []))
-        now = state.where("live").agg(F.countDistinct("jump")).first()[0]
-        members = state.where("live").select("jump").distinct().join(
-            rest.select(F.col("node_id").alias("jump")), "jump", "left_semi"
-        )
-        if now == size or not now:
-            break
-        size = now
-        state = state.select("node_id", "jump")
-    inside = rest.select(F.col("node_id").alias("_in"))
-    ends = cut(
-        state.join(inside, F.col("jump") == F.col("_in"), "left").select(
-            "node_id", "jump", F.col("_in").isNotNull().alias("lost")
-        )
-    )
-    members = cut(members.select(F.col("jump").alias("node_id")))
-    ring = rest.join(members, "node_id", "left_semi").select(
-        "node_id", F.col("up").alias("jump"), F.col("node_id").alias("low")
-    )
+def _long_rings(rest: DataFrame) -> DataFrame:
+    """Members of all cycles (node_id, parent_id, root_id) among nodes whose parents are all among them.
+
+    The images of the jumps shrink as these double, until only members are left; a second doubling, over
+    the members, gives each the smallest id of its cycle.
+    """
+    state, size = cut(rest.select("node_id", F.col("parent_id").alias("jump"))), -1
     while True:
-        new = cut(
-            _double(ring, [F.least("low", F.coalesce("t_low", "low")).alias("low2"), F.col("low").alias("was")])
-        )
-        changed = new.where("low2 != was").limit(1).count()
-        ring = new.select("node_id", "jump", F.col("low2").alias("low"))
-        if not changed:
+        image = state.select("jump").distinct()
+        now = image.count()
+        if now == size:
             break
-    low = ring.select(F.col("node_id").alias("jump"), "low", F.lit(True).alias("_m"))
-    looped = (
-        ends.where("lost").join(low.drop("_m"), "jump").select("node_id", F.col("low").alias("root_id"))
-        .join(rest.select("node_id", "parent_id"), "node_id")
-        .join(members.withColumn("on_cycle", F.lit(True)), "node_id", "left")
-        .select("node_id", "parent_id", "root_id", F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
-    )
-    deep = rest.join(ends.where("NOT lost").select("node_id"), "node_id", "left_semi")
-    if deep.limit(1).count():
-        looped = looped.unionByName(_deep(deep, frontier))
-    return looped
-
-
-def _deep(deep: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Chains below the last frontier: doubling with path segments, then one join with the frontier."""
-    state = deep.select("node_id", F.col("up").alias("jump"), F.array("node_id").alias("seg"))
+        state, size = cut(_double(state, [])), now
+    members = rest.join(cut(image.select(F.col("jump").alias("node_id"))), "node_id", "left_semi")
+    low = cut(members.select("node_id", F.col("parent_id").alias("jump"), F.col("node_id").alias("low")))
     while True:
-        state = cut(
-            _double(state, [F.when(F.col("t_seg").isNotNull(), F.concat("t_seg", "seg")).otherwise(F.col("seg")).alias("seg")])
-        )
-        live = state.where("live").limit(1).count()
-        state = state.select("node_id", "jump", "seg")
-        if not live:
-            break
-    f = frontier.select(F.col("node_id").alias("jump"), "root_id", "depth", "path")
-    return (
-        state.join(f, "jump")
-        .join(deep.select("node_id", "parent_id"), "node_id")
-        .select("node_id", "parent_id", "root_id", (F.col("depth") + F.size("seg")).alias("depth"), F.concat("path", "seg").alias("path"), F.lit(False).alias("on_cycle"))
-    )
+        seen = Observation()
+        low = cut(_double(low, [F.least("low", "t_low").alias("low"), F.col("low").alias("was")]).observe(seen, F.count_if(F.col("low") < F.col("was")).alias("n"))).drop("was")
+        if not seen.get["n"]:
+            return members.join(low.select("node_id", F.col("low").alias("root_id")), "node_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
@@ -16,32 +16,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder_hierarchy(spark: SparkSession, sf_dir: str) -> Hierarchy:
-    rows = _table(spark, sf_dir, "project_subfolders")
-    return build_hierarchy(latest_links(rows, "id", "parent_folder_id", "updated_at"))
+_SEP = "\u0001"  # between the table's name and the id, so that both tables are one forest
 
 
-def court_hierarchy(spark: SparkSession, sf_dir: str) -> Hierarchy:
+def forest(spark: SparkSession, sf_dir: str) -> Hierarchy:
+    """Folders and courts as one forest; ids carry the name of their table."""
+    folders = latest_links(_table(spark, sf_dir, "project_subfolders"), "id", "parent_folder_id", "updated_at")
     rows = _table(spark, sf_dir, "courts")
-    links = latest_links(rows, "id", "parent")
     aliases = (
         rows.select(clean_id("id").alias("node_id"), F.explode("aliases").alias("a"))
         .select(clean_id("a").alias("alias"), "node_id")
         .where("alias IS NOT NULL AND node_id IS NOT NULL")
     )
-    return build_hierarchy(resolve_aliases(links, aliases))
+    courts = resolve_aliases(latest_links(rows, "id", "parent"), aliases)
+    named = (
+        links.select(*(F.concat(F.lit(src + _SEP), c).alias(c) for c in ("node_id", "parent_id"))) for src, links in (("folder", folders), ("court", courts))
+    )
+    return build_hierarchy(reduce(DataFrame.unionByName, named))
+
+
+def _src(c: str) -> Column:
+    return F.substring_index(c, _SEP, 1).alias("src")
+
+
+def _plain(c: str) -> Column:
+    return F.expr(f"substring({c}, instr({c}, '{_SEP}') + 1)").alias(c)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [("folder", folder_hierarchy(spark, sf_dir)), ("court", court_hierarchy(spark, sf_dir))]
-    a, b = (h.nodes.select(F.lit(src).alias("src"), "node_id", "root_id", "depth") for src, h in parts)
-    return a.unionByName(b)
+    return forest(spark, sf_dir).nodes.select(_src("node_id"), _plain("node_id"), _plain("root_id"), "depth")
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [("folder", folder_hierarchy(spark, sf_dir)), ("court", court_hierarchy(spark, sf_dir))]
-    a, b = (h.descendants().withColumn("src", F.lit(src)) for src, h in parts)
-    return a.unionByName(b)
+    return forest(spark, sf_dir).descendants().select(_src("node_id"), _plain("ancestor_id"), _plain("node_id"), "distance")
 
 
 #: The names under which the data model keeps lists.
@@ -107,16 +114,24 @@ t AS (SELECT src, node_id, node_id AS root_id, 0 AS depth, [node_id] AS path FRO
   UNION ALL SELECT e.src, e.node_id, t.root_id, t.depth + 1, list_append(t.path, e.node_id) FROM t JOIN e ON e.src = t.src AND e.up = t.node_id),
 """
 
+#: Unreached nodes, the walk up from each, the members of cycles, and the walk down from those.
+_P1_LOST = """un AS (SELECT e.* FROM e ANTI JOIN t ON t.src = e.src AND t.node_id = e.node_id),
+w AS (SELECT src, node_id, up AS cur FROM un UNION SELECT w.src, w.node_id, un.up FROM w JOIN un ON un.src = w.src AND un.node_id = w.cur),
+mb AS (SELECT src, node_id FROM w WHERE node_id = cur)
+"""
+
 ORACLE = {
     "p1_found": _P1_BASE
-    + """un AS (SELECT e.* FROM e ANTI JOIN t ON t.src = e.src AND t.node_id = e.node_id),
-w AS (SELECT src, node_id, up AS cur FROM un UNION SELECT w.src, w.node_id, un.up FROM w JOIN un ON un.src = w.src AND un.node_id = w.cur)
-SELECT src, node_id, root_id, depth FROM t
+    + _P1_LOST
+    + """SELECT src, node_id, root_id, depth FROM t
 UNION ALL
-SELECT w.src, w.node_id, min(w.cur) AS root_id, -1 AS depth FROM w
-JOIN (SELECT src, node_id FROM w WHERE node_id = cur) m ON m.src = w.src AND m.node_id = w.cur
+SELECT w.src, w.node_id, min(w.cur) AS root_id, -1 AS depth FROM w JOIN mb m ON m.src = w.src AND m.node_id = w.cur
 GROUP BY 1, 2""",
     "p1_descendants": _P1_BASE
-    + """x AS (SELECT src, node_id, depth, path, unnest(range(0, depth)) AS pos FROM t WHERE depth > 0)
+    + _P1_LOST.rstrip()
+    + """,
+bt AS (SELECT src, node_id, 0 AS depth, [node_id] AS path FROM mb
+  UNION ALL SELECT u.src, u.node_id, bt.depth + 1, list_append(bt.path, u.node_id) FROM bt JOIN (SELECT * FROM un ANTI JOIN mb ON mb.src = un.src AND mb.node_id = un.node_id) u ON u.src = bt.src AND u.up = bt.node_id),
+x AS (SELECT src, node_id, depth, path, unnest(range(0, depth)) AS pos FROM (SELECT src, node_id, depth, path FROM t UNION ALL SELECT * FROM bt) WHERE depth > 0)
 SELECT src, path[pos + 1] AS ancestor_id, node_id, CAST(depth - pos AS INTEGER) AS distance FROM x""",
 }

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docketspark.operators import hierarchy
 from docketspark.operators.hierarchy import build_hierarchy, latest_links, resolve_aliases
 
 LINKS = "node_id string, parent_id string"
@@ -33,17 +34,22 @@ def rows(h):
     return {r.node_id: (r.root_id, r.depth, r.path, r.on_cycle) for r in h.nodes.collect()}
 
 
-@pytest.mark.parametrize("seed,rounds", [(1, 64), (2, 64), (3, 2), (4, 1)])
-def test_random_forests(spark, seed, rounds):
+@pytest.mark.parametrize("seed,hops,rounds", [(1, 3, 8), (2, 0, 1), (3, 1, 2), (4, 2, 1)])
+def test_random_forests(spark, seed, hops, rounds):
     r = random.Random(seed)
     names = [f"n{i:03d}" for i in range(60)]
     links = {n: r.choice([None, "gone", n, *names, *names]) for n in names}
     for i in range(1, 25):  # a deep chain
         links[names[i]] = names[i - 1]
-    h = build_hierarchy(spark.createDataFrame(list(links.items()), LINKS), rounds)
+    h = build_hierarchy(spark.createDataFrame(list(links.items()), LINKS), hops, rounds)
     want = brute(links)
     assert rows(h) == want
-    pairs = {(a, n, d) for n, (_, depth, path, _) in want.items() if path for d, a in enumerate(path[::-1]) if d}
+    ring = {n for n, v in want.items() if v[3]}
+
+    def branch(n):
+        return [n] if n in ring else [*branch(links[n]), n]
+
+    pairs = {(a, n, d) for n, (_, depth, path, _) in want.items() for d, a in enumerate((path or branch(n))[::-1]) if d}
     got = [tuple(x) for x in h.descendants().select("ancestor_id", "node_id", "distance").collect()]
     assert set(got) == pairs and len(got) == len(pairs)
     assert {x.node_id for x in h.cycles().collect()} == {n for n, v in want.items() if v[1] == -1}
@@ -55,6 +61,15 @@ def test_two_long_cycles_with_tails(spark):
     assert rows(build_hierarchy(spark.createDataFrame(list(links.items()), LINKS))) == brute(links)
 
 
+def test_cycles_longer_than_segments(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "REPEAT", 8)
+    links = {f"a{i:02d}": f"a{(i + 1) % 40:02d}" for i in range(40)} | {f"b{i}": f"b{(i + 1) % 3}" for i in range(3)}
+    links |= {"t0": "a03"} | {f"t{i}": f"t{i - 1}" for i in range(1, 20)}
+    h = build_hierarchy(spark.createDataFrame(list(links.items()), LINKS), 1, 2)
+    assert rows(h) == brute(links)
+    assert {r.node_id: r.branch for r in h.nodes.collect()}["t2"] == ["a03", "t0", "t1", "t2"]
+
+
 def test_empty_and_single(spark):
     assert build_hierarchy(spark.createDataFrame([], LINKS)).nodes.count() == 0
     assert rows(build_hierarchy(spark.createDataFrame([("x", None)], LINKS))) == {"x": ("x", 0, ["x"], False)}
