@@ -6,9 +6,13 @@ occur.  Three related tables come out:
 
 * ``objects``      one row per distinct object: object_id, body (canonical JSON, nested objects
                    as {"$ref": id}); identical objects are stored once;
-* ``occurrences``  one row per place an object stands: src, row_id, path, parent_path, name,
-                   ordinal, in_list, object_id - the bridge from child to parent;
-* ``links``        the distinct (parent_id, child_id, name, ordinal) edges between objects.
+* ``occurrences``  one row per place an object stands: src, row_id, occ_no, parent_no, path, name,
+                   ordinals, in_list, object_id - the bridge from child to parent.  (src, row_id, occ_no)
+                   is its key and (src, row_id, parent_no) its parent's; path text is for reading only, as
+                   names may hold dots and brackets;
+* ``links``        the distinct (parent_id, child_id, name, ordinals) edges between objects.
+
+``ordinals`` are the positions in all lists between the parent object and the child, outermost first.
 
 The walk runs inside one Arrow pass per partition, with a stack of its own, so rows are
 independent and nothing is shuffled to parse; only ``objects`` and ``links`` fold, with
@@ -22,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from json.encoder import encode_basestring
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +35,9 @@ from pyspark.sql import functions as F
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsontext import read_json
 
-OCCURRENCE = "src string, row_id string, path string, parent_path string, name string, ordinal int, in_list boolean, object_id string"
+OCCURRENCE = "src string, row_id string, occ_no int, parent_no int, path string, name string, ordinals array<int>, in_list boolean, object_id string"
 OBJECT = "object_id string, body string"
-LINK = "parent_id string, child_id string, name string, ordinal int"
+LINK = "parent_id string, child_id string, name string, ordinals array<int>"
 
 
 @dataclass(frozen=True)
@@ -57,43 +62,51 @@ def _id(body: str) -> str:
     return blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
+class Place(NamedTuple):
+    """Where an object stands.  ``parent_no`` and ``name`` are null where no object is above; the numbers are unique in a row."""
+
+    occ_no: int
+    parent_no: int | None
+    path: str
+    name: str | None
+    ordinals: tuple[int, ...]
+    in_list: bool
+    object_id: str
+    body: str
+
+
 class Walker:
-    """Visits one JSON value; calls ``seen(path, parent, name, ordinal, in_list, object_id, body)`` bottom-up."""
+    """Visits one JSON value bottom-up."""
 
     def __init__(self, shape: Shape):
         self.shape = shape
 
-    def walk(self, value) -> list[tuple]:
-        """Occurrences of ``value``: (path, parent_path, name, ordinal, in_list, object_id, body).
-
-        The root object has path ''.  ``name`` is the field the object stands under (through any
-        number of lists), null for the root and for elements of a root list; ``ordinal`` is the
-        position in the innermost list, -1 outside lists.
-        """
+    def walk(self, value) -> list[Place]:
+        """Every object of ``value``.  The root has path '' and, if it is an object, number 0."""
         if self.shape.root_is_list and isinstance(value, dict):
             value = [value]
         names = self.shape.list_names
-        out: list[tuple] = []
+        out: list[Place] = []
         done: dict[int, str] = {}  # frame number -> canonical text of the value, for its parent
-        # frame: (number, value, path, path of the nearest object above, name, ordinal)
-        stack: list[tuple] = [(0, value, "", None, None, -1, False)]
+        # frame: (number, value, path, number of the object above, name, positions in lists, whether seen before)
+        stack: list[tuple] = [(0, value, "", None, None, (), False)]
         children: dict[int, list] = {}
         n = 0
         while stack:
-            k, v, path, above, name, ordinal, back = stack.pop()
+            k, v, path, above, name, at, back = stack.pop()
             if back:
                 if isinstance(v, dict):
                     parts = ",".join(f"{encode_basestring(key)}:{done.pop(c) if type(c) is int else c}" for key, c in sorted(children.pop(k)))
                     body = "{" + parts + "}"
                     oid = _id(body)
-                    out.append((path, above, name, ordinal, path.endswith("]"), oid, body))
+                    out.append(Place(k, above, path, name, at, bool(at), oid, body))
                     done[k] = '{"$ref":"' + oid + '"}'
                 else:
                     done[k] = "[" + ",".join(done.pop(c) if type(c) is int else c for c in children.pop(k)) + "]"
                 continue
             mine: list = []
             children[k] = mine
-            stack.append((k, v, path, above, name, ordinal, True))
+            stack.append((k, v, path, above, name, at, True))
             if isinstance(v, dict):
                 for key, x in v.items():
                     if isinstance(x, dict):
@@ -104,13 +117,13 @@ class Walker:
                         continue
                     n += 1
                     mine.append((key, n))
-                    stack.append((n, x, f"{path}.{key}" if path else key, path, key, -1, False))
+                    stack.append((n, x, f"{path}.{key}" if path else key, k, key, (), False))
             elif isinstance(v, list):
                 for i, x in enumerate(v):
                     if isinstance(x, (dict, list)):
                         n += 1
                         mine.append(n)
-                        stack.append((n, x, f"{path}[{i}]", above, name, i, False))
+                        stack.append((n, x, f"{path}[{i}]", above, name, (*at, i), False))
                     else:
                         mine.append(_scalar(x))
         return out
@@ -122,22 +135,21 @@ def _batches(shape: Shape, emit: str):
         for batch in it:
             srcs, ids, texts = (c.to_pylist() for c in batch.columns)
             if emit == "occurrences":
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 for src, row, text in zip(srcs, ids, texts):
                     ok, value = read_json(text)
                     if ok:
-                        for path, above, name, ordinal, in_list, oid, _ in walker.walk(value):
-                            for c, x in zip(cols, (src, row, path, above, name, ordinal, in_list, oid)):
+                        for p in walker.walk(value):
+                            for c, x in zip(cols, (src, row, *p[:7])):
                                 c.append(x)
-                kinds = [pa.string()] * 5 + [pa.int32(), pa.bool_(), pa.string()]
-                fields = [f.split()[0] for f in OCCURRENCE.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(_clean(c), k) for c, k in zip(cols, kinds)], fields)
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.bool_(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(_clean(c), k) for c, k in zip(cols, kinds)], [f.split()[0] for f in OCCURRENCE.split(", ")])
             elif emit == "objects":
                 bodies = {}
                 for text in texts:
                     ok, value = read_json(text)
                     if ok:
-                        bodies.update((w[5], w[6]) for w in walker.walk(value))
+                        bodies.update((p.object_id, p.body) for p in walker.walk(value))
                 yield pa.RecordBatch.from_arrays([pa.array(list(bodies), pa.string()), pa.array(_clean(bodies.values()), pa.string())], ["object_id", "body"])
             else:
                 links = {}
@@ -145,10 +157,10 @@ def _batches(shape: Shape, emit: str):
                     ok, value = read_json(text)
                     if ok:
                         found = walker.walk(value)
-                        at = {w[0]: w[5] for w in found}
-                        links.update(((at[w[1]], w[5], w[2], w[3]), None) for w in found if w[1] is not None and w[1] in at)
+                        at = {p.occ_no: p.object_id for p in found}
+                        links.update(((at[p.parent_no], p.object_id, p.name, p.ordinals), None) for p in found if p.parent_no is not None)
                 rows = list(zip(*links)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(_clean(c), k) for c, k in zip(rows, [pa.string()] * 3 + [pa.int32()])], ["parent_id", "child_id", "name", "ordinal"])
+                yield pa.RecordBatch.from_arrays([pa.array(_clean(c), k) for c, k in zip(rows, [pa.string()] * 3 + [pa.list_(pa.int32())])], ["parent_id", "child_id", "name", "ordinals"])
 
     return run
 

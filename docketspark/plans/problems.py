@@ -121,6 +121,17 @@ mb AS (SELECT src, node_id FROM w WHERE node_id = cur)
 """
 
 ORACLE = {
+    "p4_found": f"""WITH RECURSIVE s AS (SELECT 'audit_log' AS src, {_CLEAN.format('id')} AS row_id, payload AS t FROM audit_log
+  UNION SELECT 'chat_messages', {_CLEAN.format('id')}, content FROM chat_messages UNION SELECT 'tabular_cells', {_CLEAN.format('id')}, citations FROM tabular_cells),
+a AS (SELECT src, row_id, CASE WHEN json_valid(t) THEN t::JSON ->> '$' END AS p FROM s), b AS (SELECT src, row_id, p::JSON AS v FROM a WHERE json_valid(p) AND json_type(p) IN ('ARRAY', 'OBJECT')),
+n AS (SELECT src, row_id, CASE WHEN json_type(v) = 'OBJECT' AND src <> 'audit_log' THEN '[0]' ELSE '' END AS path, json_type(v) = 'OBJECT' AND src <> 'audit_log' AS in_list, v FROM b
+  UNION ALL SELECT src, row_id, path || k, in_list, v FROM (
+    SELECT src, row_id, path, CASE WHEN path = '' THEN '' ELSE '.' END || key || CASE WHEN lone THEN '[0]' ELSE '' END AS k, lone AS in_list, v FROM (
+      SELECT src, row_id, path, key, v -> ('$."' || key || '"') AS v, json_type(v, '$."' || key || '"') = 'OBJECT' AND key IN ({", ".join(f"'{x}'" for x in sorted(LIST_NAMES))}) AS lone
+      FROM (SELECT src, row_id, path, v, unnest(json_keys(v)) AS key FROM n WHERE json_type(v) = 'OBJECT'))
+    UNION ALL SELECT src, row_id, path, '[' || i || ']', true, v -> ('$[' || i || ']') FROM (SELECT src, row_id, path, v, unnest(range(0, CAST(json_array_length(v) AS BIGINT))) AS i FROM n WHERE json_type(v) = 'ARRAY'))
+  WHERE json_type(v) IN ('ARRAY', 'OBJECT'))
+SELECT DISTINCT src, row_id, path FROM n WHERE in_list AND json_type(v) = 'OBJECT'""",
     "p1_found": _P1_BASE
     + _P1_LOST
     + """SELECT src, node_id, root_id, depth FROM t

@@ -1,6 +1,7 @@
 """Flat tables of nested JSON against a recursive walk, and the round trip from objects and links."""
 
 import json
+import random
 
 from docketspark.functions.jsontext import read_json
 from docketspark.operators.nested import Shape, Walker, nested_tables
@@ -40,15 +41,51 @@ def test_paths():
         for root in (False, True):
             shape = Shape(root, LISTS)
             want = brute([v] if root and isinstance(v, dict) else v, shape)
-            got = [w[0] for w in Walker(shape).walk(v) if w[4]]
+            got = [w.path for w in Walker(shape).walk(v) if w.in_list]
             assert sorted(got) == sorted(want)
 
 
 def test_equal_subtrees_share_an_identity():
-    w = {x[0]: x[5] for x in Walker(Shape()).walk({"p": {"a": 1, "b": [{"c": 2}]}, "q": {"b": [{"c": 2}], "a": 1}, "r": {"a": 1, "b": [{"c": 3}]}})}
+    w = {x.path: x.object_id for x in Walker(Shape()).walk({"p": {"a": 1, "b": [{"c": 2}]}, "q": {"b": [{"c": 2}], "a": 1}, "r": {"a": 1, "b": [{"c": 3}]}})}
     assert w["p"] == w["q"] != w["r"] and w["p.b[0]"] == w["q.b[0]"]
 
 
+def rebuild(root, bodies, links):
+    """The value of an object from its scalar fields and the links to its children, references left aside."""
+
+    def put(into, at, value):
+        for i in at[:-1]:
+            into = into[i]
+        assert set(into[at[-1]]) == {"$ref"}
+        into[at[-1]] = value
+
+    v = json.loads(bodies[root])
+    for parent, child, name, at in links:
+        if parent == root:
+            put(v, (name, *at), rebuild(child, bodies, links))
+    return v
+
+
+def test_values_come_back_from_links():
+    r = random.Random(3)
+
+    def value(depth):
+        k = r.randrange(6 if depth else 3)
+        if k < 3:
+            return r.choice([1, "x", None, True])
+        if k == 3:
+            return [value(depth - 1) for _ in range(r.randrange(4))]
+        return {r.choice(["a", "b", "a.b", "m", "x]", "n[0]"]): value(depth - 1) for _ in range(r.randrange(4))}
+
+    for v in [{"m": [[{"q": 1}], [{"q": 1}]]}, {"a.b": {"c": {}}, "a": {"b": {"c": {"d": {}}}}}, {"x]": {"y": 1}}, *({"top": value(5)} for _ in range(400))]:
+        found = Walker(Shape()).walk(v)
+        ids = {p.occ_no: p.object_id for p in found}
+        assert len(ids) == len(found)
+        links = {(ids[p.parent_no], p.object_id, p.name, p.ordinals) for p in found if p.parent_no is not None}
+        assert rebuild(ids[0], {p.object_id: p.body for p in found}, links) == v
+        assert all(p.in_list == bool(p.ordinals) for p in found)
+
+
 def test_read_json():
     assert read_json('"{\\"a\\": 1}"') == (True, {"a": 1})
     for bad in (None, "", "  ", "{", '{"a":1', '"[{\\"a\\""', "plain", "NaN", "[NaN]", '"x"', "12"):
@@ -78,7 +115,8 @@ def test_tables(spark):
         if isinstance(v, dict) and v != CASES[2]:
             assert restore(objects[roots[0]]) == v
     links = t.links().collect()
-    assert len(links) == len(set(links)) and all(x.parent_id in objects and x.child_id in objects for x in links)
+    keys = [(x.parent_id, x.child_id, x.name, tuple(x.ordinals)) for x in links]
+    assert len(keys) == len(set(keys)) and all(x.parent_id in objects and x.child_id in objects for x in links)
 
 
 def test_empty(spark):
