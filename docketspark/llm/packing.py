@@ -3,8 +3,8 @@
 Items of one length are interchangeable, so the plan is made on the histogram of lengths: at
 most ``capacity`` counts, however many items there are.  The planner opens a container with
 the longest length on hand and looks its gap up in hashed indexes of single lengths, pair
-sums and triple sums; a combination that fills the gap exactly is consumed as many times
-at once as the counts allow.  Where none exists, the longest length that fits goes in (best
+sums and triple sums, whose buckets are filled when their sum is first asked for; a combination
+that fills the gap exactly is consumed as many times at once as the counts allow.  Where none exists, the longest length that fits goes in (best
 fit) and the smaller gap is looked up again.  Each pattern uses some length up, so the plan
 has about as many patterns as lengths.
 
@@ -40,15 +40,21 @@ class Slot:
 
 
 class Stock:
-    """Counts by length with sum lookups: single, pair and triple lengths that fill a gap exactly."""
+    """Counts by length, and indexes from a sum to the single, pair and triple lengths that make it up.
+
+    A bucket holds every combination of its sum whose lengths were on hand when it was filled.  Counts only
+    fall, so a combination that is used up never comes back: each bucket has a cursor that passes it for
+    good, and an empty bucket stays empty.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.n = np.zeros(capacity + 1, dtype=np.int64)
         for length, c in counts.items():
             self.n[length] = c
         self.capacity = capacity
-        self.pairs: dict[int, tuple[int, int] | None] = {}
         self.have = np.flatnonzero(self.n)
+        self.pairs: dict[int, tuple[list[int], int]] = {}  # sum -> (shorter halves, ascending; cursor)
+        self.triples: dict[int, tuple[list[int], int]] = {}  # sum -> (longest members, descending; cursor)
 
     def refresh(self) -> None:
         self.have = self.have[self.n[self.have] > 0]
@@ -63,29 +69,36 @@ class Stock:
             k -= 1
         return int(self.have[k]) if k >= 0 else 0
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two lengths of this sum, from the hash of pair sums; looked for again once used up."""
-        seen = self.pairs.get(total, ())
-        if seen is None or (seen and self.usable(seen)):
-            return seen
-        half = self.have[: np.searchsorted(self.have, total // 2, side="right")]
-        other = total - half
-        ok = (self.n[half] > 0) & (other <= self.capacity)
-        ok[ok] = self.n[other[ok]] > 0
-        if not total % 2 and len(half) and half[-1] == total // 2 and self.n[total // 2] < 2:
-            ok[-1] = False
-        hits = np.flatnonzero(ok)
-        # counts only fall, so a sum without a pair stays without one
-        self.pairs[total] = (int(total - half[hits[0]]), int(half[hits[0]])) if len(hits) else None
-        return self.pairs[total]
+    def pair(self, total: int, beside: int = 0) -> tuple[int, int] | None:
+        """Two lengths of this sum that are on hand, also after one of length ``beside`` is taken."""
+        bucket, at = self.pairs.get(total, (None, 0))
+        if bucket is None:
+            half = self.have[: np.searchsorted(self.have, total // 2, side="right")]
+            half = half[total - half <= self.capacity]
+            bucket = half[self.n[total - half] > 0].tolist()
+        while at < len(bucket) and not self.usable((total - bucket[at], bucket[at])):
+            at += 1
+        self.pairs[total] = (bucket, at) if at < len(bucket) else ([], 0)
+        for x in bucket[at:]:
+            combo = (total - x, x)
+            if self.usable((beside, *combo) if beside else combo):
+                return combo
+        return None
 
     def triple(self, total: int) -> tuple[int, int, int] | None:
-        for a in self.have[np.searchsorted(self.have, total, side="left") - 1 :: -1] if len(self.have) and self.have[0] < total else ():
-            a = int(a)
-            if 3 * a < total:
-                return None
-            if a < total and self.n[a] and (p := self.pair(total - a)) and self.usable((a, *p)):
+        bucket, at = self.triples.get(total, (None, 0))
+        if bucket is None:
+            lo, hi = np.searchsorted(self.have, [-(-total // 3), total])
+            bucket = self.have[lo:hi][::-1].tolist()
+        done = True  # whether everything up to here is used up for good
+        for k in range(at, len(bucket)):
+            a = bucket[k]
+            if self.n[a] and (p := self.pair(total - a, a)):
+                self.triples[total] = (bucket, at)
                 return (a, *p)
+            done = done and (not self.n[a] or not self.pairs[total - a][0])
+            at = k + 1 if done else at
+        self.triples[total] = (bucket, at) if at < len(bucket) else ([], 0)
         return None
 
     def complement(self, gap: int) -> tuple[int, ...] | None:
@@ -116,8 +129,7 @@ def plan_containers(counts: dict[int, int], capacity: int) -> tuple[list[Slot],
                 break
             take = stock.complement(gap)
             if not take and (x := stock.longest(gap)):
-                # as many of the best-fitting length as fit, short of a gap that can be filled exactly
-                take = (x,)
+                take = (x,)  # best fit; the smaller gap is looked up again
         pattern = {x: used.count(x) for x in dict.fromkeys(used)}
         times = 1 + min(int(stock.n[x]) // c for x, c in pattern.items())
         offset = 0
