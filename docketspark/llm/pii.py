@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -32,7 +33,7 @@ from docketspark.llm.pii_weights import WEIGHTS
 
 # ---------------------------------------------------------------- fixed values
 
-#: Given names common in Poland.
+#: Given names common in Poland.  Lists are features of the field; no name needs to be in one.
 GIVEN_NAMES = """
 Adam Agata Agnieszka Aleksander Aleksandra Alicja Andrzej Anna Antoni Artur Barbara Bartosz Beata Bogdan Bogusław
 Bożena Danuta Daniel Dariusz Dorota Edward Elżbieta Ewa Filip Franciszek Grażyna Grzegorz Halina Hanna Helena Henryk
@@ -67,7 +68,29 @@ NOT_NAMES = frozenset(
 )
 COUNTRY_NOT_SERIES = frozenset("NIP PLN EUR USD GBP CHF KRS ISO DIN ART UST PKT POZ FV NR VAT TEL KOM FAX".split())
 
+#: Given names common in Germany, Britain and Ukraine.
+FOREIGN_NAMES = """
+Hans Klaus Jürgen Petra Sabine Wolfgang Ingrid Lukas Ursula Heike Uwe Karin Mia Anja John Mary Peter David Emma William Susan James Linda
+George Thomas Helen Oleksandr Olena Iryna Mykola Serhii Oksana Taras Олександр Ірина Микола Олена Іван Наталія Сергій Марія Оксана Андрій Тарас
+""".split()
+
 _U, _L = "A-ZĄĆĘŁŃÓŚŹŻÄÖÜ", "a-ząćęłńóśźżäöüß"
+
+
+def _ranges(kinds: tuple[str, ...]) -> str:
+    """The characters of these Unicode categories, as ranges of a character class; the basic plane only."""
+    out, start = [], None
+    for c in range(0x41, 0x10001):
+        inside = c < 0x10000 and unicodedata.category(chr(c)) in kinds
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return "".join(out)
+
+
+_CAPITALS = _ranges(("Lu", "Lt"))  # of any script that has them
 _B = r"[ \t\xa0\r\n]"  # a blank inside an entity
 
 
@@ -91,7 +114,8 @@ def _name_forms() -> frozenset[str]:
                 out |= {n[:-1] + e for e in ("ego", "emu", "ym")}
             if n.endswith("i"):
                 out |= {n + e for e in ("ego", "emu", "m")}
-    return frozenset(out)
+    plain = str.maketrans("ąćęłńóśźż", "acelnoszz")
+    return frozenset(out | {n.translate(plain) for n in out} | {n.lower() for n in FOREIGN_NAMES})
 
 
 _GIVEN = _name_forms()
@@ -146,8 +170,10 @@ _HAS_ENGLISH = ("Street", "Road", "Lane", "Avenue", "Square", "Drive", "Close",
 _GERMAN = re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring)$")
 _ENGLISH = re.compile(rf"(?<![\w.,/-])(\d{{1,4}}[A-Za-z]?){_B}+((?:[{_U}][\w'’-]*{_B}+){{1,3}}(?:Street|Road|Lane|Avenue|Square|Drive|Close|Court|Terrace|Way|St\.|Rd\.))(?!\w)")
 #: Where a capitalised run can start a name: two capitals in a row, or one after a title's end.
-_NAMES = re.compile(rf"(?<![\w@.+_-])[{_U}](?:\.|[\w'’]+(?:-[{_U}][\w'’]+)?)(?:{_B}+[{_U}](?:\.|[\w'’]+(?:-[{_U}][\w'’]+)?))*(?![\w@])")
-_PARTS = re.compile(rf"[{_U}](?:\.|[\w'’]+(?:-[{_U}][\w'’]+)?)")
+_ONE = rf"[{_CAPITALS}](?:\.|[\w'’ʼ]+(?:-[{_CAPITALS}][\w'’ʼ]+)?)"
+_NAMES = re.compile(rf"(?<![\w@.+_-]){_ONE}(?:{_B}+{_ONE})*(?![\w@])")
+_PARTS = re.compile(_ONE)
+_ROMAN = re.compile("[IVXLCDM]+")
 _SPACES = re.compile(rf"{_B}+")
 
 
@@ -181,8 +207,11 @@ def _left_cues(text: str, start: int, width: int = 34) -> list[str]:
     return out
 
 
-def candidates(text: str) -> list[Segment]:
-    """Every segment the field may choose from; bounded in length, overlapping each other freely."""
+def candidates(text: str, weights: dict[str, float] | None = None) -> list[Segment]:
+    """Every segment the field may choose from; bounded in length, overlapping each other freely.
+
+    With ``weights``, names that could not be chosen under them are left out.
+    """
     out: list[Segment] = []
     lower_at = "@" in text or "at]" in text or "at)" in text or "AT]" in text or "AT)" in text or "małpa" in text
     if lower_at:
@@ -197,7 +226,7 @@ def candidates(text: str) -> list[Segment]:
     if _DIGITS.search(text):
         _numbers(text, out)
         _addresses(text, out)
-    _names(text, out)
+    _names(text, out, weights)
     return out
 
 
@@ -302,15 +331,37 @@ def _bare(text: str, m: re.Match, out: list[Segment]) -> None:
 
 @lru_cache(1 << 16)
 def _mark(word: str) -> str:
+    """What a capitalised word looks like: on a list, of a form, or none of these ('other')."""
     bare = word.rstrip(".")
     low = bare.lower()
     if word.endswith("."):
         return "initial"
+    if low in NOT_NAMES:
+        return "stop"
     if low in _GIVEN:
         return "given"
+    if _TITLE_WORD.fullmatch(word):
+        return "title"
+    if _ROMAN.fullmatch(bare):
+        return "roman"
+    capitals = sum(c.isupper() for c in bare)
+    if len(bare) < 3 or len(bare) < 5 and capitals > 1:
+        return "abbr"
+    if any(c.isdigit() or c == "_" for c in bare) or 1 + bare.count("-") < capitals < len(bare) - bare.count("-") and "'" not in bare and "’" not in bare and not bare.startswith("Mc"):
+        return "odd"
     if _SURNAME.search(bare.split("-")[-1]):
         return "surname"
-    return "title" if _TITLE_WORD.fullmatch(word) else "stop" if low in NOT_NAMES else "other"
+    return "caps" if bare.isupper() else "other"
+
+
+@lru_cache(1 << 16)
+def _word_features(word: str) -> tuple[str, ...]:
+    """Features of a word that no list and no form tells about."""
+    if _mark(word) not in ("other", "caps"):
+        return ()
+    low = word.lower()
+    script = "latin" if low[0] < "\u0250" else "cyrillic" if "\u0400" <= low[0] < "\u0530" else "script"
+    return (f"w:{low}", f"end3:{low[-3:]}", f"end2:{low[-2:]}", f"script:{script}")
 
 
 def _titled(text: str, start: int) -> bool:
@@ -320,37 +371,88 @@ def _titled(text: str, start: int) -> bool:
     return bool(word) and word[0].lower().startswith(_TITLE_STARTS) and bool(_TITLE_LEFT.search(left))
 
 
-def _names(text: str, out: list[Segment]) -> None:
+_LEFT_WORD = re.compile(rf"([^\W\d_]+){_B}+$")
+_RIGHT_WORD = re.compile(rf"{_B}+([^\W\d_]+)")
+_OPENS = re.compile(r"(?:^|[.!?\n]\s{0,2})$")  # a sentence starts here
+_LEFT_SIGN = re.compile(r"(\S)\s*$")
+_RIGHT_SIGN = re.compile(r"\s*(\S)")
+
+
+def _around(text: str, start: int, end: int) -> list[str]:
+    """Features of what stands beside a span: the words, their ends, and the signs."""
+    left, right = text[max(0, start - 24) : start], text[end : end + 24]
+    f = []
+    if m := _LEFT_WORD.search(left):
+        w = m.group(1)
+        f += [f"l:{w.lower()}", f"lend:{w[-2:].lower()}", "lword"] if w[0].islower() else ["lcap"]
+    else:
+        sign = _LEFT_SIGN.search(left)
+        f.append(f"lsign:{sign.group(1) if sign else 'none'}")
+    if "\n" in left[-2:]:
+        f.append("line_left")
+    if m := _RIGHT_WORD.match(right):
+        w = m.group(1)
+        f += [f"r:{w.lower()}", f"rend:{w[-2:].lower()}", f"rlast:{w[-1].lower()}", "rword"] if w[0].islower() else ["rcap"]
+    else:
+        sign = _RIGHT_SIGN.match(right)
+        f.append(f"rsign:{sign.group(1) if sign else 'none'}")
+    if right[:1] == "\n":
+        f.append("line_right")
+    return f
+
+
+@lru_cache(1 << 16)
+def _inner(shape: tuple[str, ...], words: tuple[str, ...]) -> tuple[str, ...]:
+    return ("bias", f"shape:{'+'.join(shape)}", *(f"has:{m}" for m in sorted(set(shape))), *(x for w in words for x in _word_features(w)))
+
+
+def _names(text: str, out: list[Segment], weights: dict[str, float] | None = None) -> None:
+    """Every run of one to three capitalised words, of any script, is a candidate; one word alone only after a title.
+
+    With ``weights``, spans that cannot score above zero whatever stands around them are left out, which
+    changes no result.
+    """
+    most = _most_around(weights) if weights is not None else 0.0
     for run in _NAMES.finditer(text):
         s = run.group()
         if len(s) < 3:
             continue
-        words = s.split() if "-" not in s and "." not in s else _PARTS.findall(s)
-        title = _titled(text, run.start())
-        # a name needs a given name or a surname somewhere, or a title before it
-        if not title and not any(_mark(w) in ("given", "surname", "title") for w in words):
-            continue
+        title = None
+        if " " not in s and len(_SPACES.split(s)) == 1 and "." not in s:
+            title = _titled(text, run.start())
+            if not title:
+                continue
         parts = [(p.start() + run.start(), p.end() + run.start(), p.group()) for p in _PARTS.finditer(s)]
         marks = [_mark(w) for _, _, w in parts]
         n = len(parts)
+        opens = bool(_OPENS.search(text, max(0, run.start() - 3), run.start()))
         for i in range(n):
+            if i == 0 and title is None:
+                title = _titled(text, run.start())
+            before = title if i == 0 else marks[i - 1] == "title"
             for j in range(i, min(n, i + 3)):
                 shape = marks[i : j + 1]
-                before = title if i == 0 else marks[i - 1] == "title"
                 if "title" in shape or j == i and not before:  # a surname alone counts after a title only
                     continue
+                f = _inner(tuple(shape), tuple(w for _, _, w in parts[i : j + 1]))
+                if weights is not None and most + _sum_of("name", f, weights) <= 0:
+                    continue
                 start, end = parts[i][0], parts[j][1]
-                f = ["bias", f"shape:{'+'.join(shape)}"]
-                cues = _left_cues(text, start, 40)
+                f = [*f]
                 if before:
                     f.append("title")
                     if j == i:
                         f.append("title_single")
                 if i and not before:
                     f.append(f"cut_left:{marks[i - 1]}")
+                if j > i and opens:
+                    f.append("opens" if i == 0 else "after_opening" if i == 1 else "later")
                 if j < n - 1:
                     f.append(f"cut_right:{marks[j + 1]}")
-                if "cue:name" in cues:
+                    if "\n" in text[end : parts[j + 1][0]]:
+                        f.append("cut_at_line")
+                f += [f"line:{j - i + 1}:{marks[k]}" for k in range(i + 1, j + 1) if "\n" in text[parts[k - 1][1] : parts[k][0]]]
+                if "cue:name" in _left_cues(text, start, 40):
                     f.append("cue:name")
                 if re.search(rf"(?:{STREET_WORDS}){_B}*$", text[max(0, start - 10) : start]):
                     f.append("street_left")
@@ -358,15 +460,37 @@ def _names(text: str, out: list[Segment]) -> None:
                     f.append("number_right")
                 if any(w.isupper() and len(w) > 2 for _, _, w in parts[i : j + 1]):
                     f.append("caps")
+                f += _around(text, start, end)
                 out.append(Segment(start, end, "name", _tidy(text[start:end]), f))
 
 
+#: Features of a name's surroundings that can stand together, by what they start with.
+_AROUND = ("cut_at_line", "line:", "title", "title_single", "cut_left:", "cut_right:", "cue:name", "street_left", "number_right", "caps", "opens", "after_opening", "later", "l:", "lend:", "lword", "lcap", "lsign:", "line_left", "r:", "rend:", "rlast:", "rword", "rcap", "rsign:", "line_right")
+_bounds: dict[int, tuple[dict, float]] = {}
+
+
+def _most_around(weights: dict[str, float]) -> float:
+    """The most that a name's surroundings can add: of each group of features the greatest weight."""
+    if id(weights) not in _bounds or _bounds[id(weights)][0] is not weights:
+        best = dict.fromkeys(_AROUND, 0.0)
+        for k, v in weights.items():
+            kind, _, f = k.partition("|")
+            for g in _AROUND:
+                if kind == "name" and (f.startswith(g) if g.endswith(":") and g != "cue:name" else f == g):
+                    best[g] = max(best[g], v)
+        _bounds[id(weights)] = (weights, sum(best.values()))
+    return _bounds[id(weights)][1]
+
+
 # ---------------------------------------------------------------- decoding
 
 
+def _sum_of(kind: str, features: Iterable[str], weights: dict[str, float]) -> float:
+    return sum(weights.get(f"{kind}|{f}", 0.0) for f in features)
+
+
 def score(segment: Segment, weights: dict[str, float]) -> float:
-    kind = segment.kind
-    return sum(weights.get(f"{kind}|{f}", 0.0) for f in segment.features)
+    return _sum_of(segment.kind, segment.features, weights)
 
 
 def best_segments(segments: list[Segment]) -> list[Segment]:
@@ -401,21 +525,30 @@ def best_segments(segments: list[Segment]) -> list[Segment]:
 
 def find(text: str, weights: dict[str, float] = WEIGHTS) -> list[Segment]:
     """Findings of one text, left to right."""
-    found = candidates(text)
+    found = candidates(text, weights)
     for s in found:
         s.score = score(s, weights)
     return best_segments(found)
 
 
-def mask(text: str, found: list[Segment] | None = None) -> str:
-    """The text with a typed placeholder in place of each finding; everything else unchanged."""
+def _covered(text: str, found: list[Segment]) -> str:
     out, at = [], 0
-    for s in find(text) if found is None else found:
+    for s in found:
         out += [text[at : s.start], f"[{s.kind.upper()}]"]
         at = s.end
     return "".join([*out, text[at:]])
 
 
+def mask(text: str) -> str:
+    """The text with a typed placeholder in place of each finding; everything else unchanged.
+
+    What a placeholder lets come to light is masked too, so a masked text has no findings.
+    """
+    while found := find(text):
+        text = _covered(text, found)
+    return text
+
+
 # ---------------------------------------------------------------- messages
 
 #: The fields of message events that hold ids, names of files and other fixed words.
@@ -541,7 +674,9 @@ def mask_content(content: str, is_message: bool) -> str:
     """Masked text of a message: plain text as a whole, JSON by the strings of message_strings() with its layout kept."""
     if not is_message or decode(content)[0] != "json":
         return mask(content)
-    return _mask_json(content)
+    while (masked := _mask_json(content)) != content:
+        content = masked
+    return masked
 
 
 def _mask_json(raw: str) -> str:
@@ -599,3 +734,15 @@ def mask_pii(df: DataFrame, id_col: str, text_col: str, out_col: str, is_message
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(masked, pa.string())], ["_id", out_col])
 
     return rows.mapInArrow(run, f"_id {kind}, `{out_col}` string").withColumnRenamed("_id", id_col)
+
+
+def count_leaks(masked: DataFrame, text_col: str, is_message: bool = False) -> DataFrame:
+    """(rows, leaks): texts of a masked column that are not null, and the findings still in them; 0 is expected."""
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            left = sum(len(find_in_content(t, is_message)) for t in b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([left], pa.int64())], ["rows", "leaks"])
+
+    per = masked.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "rows bigint, leaks bigint")
+    return per.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("leaks"), F.lit(0)).alias("leaks"))

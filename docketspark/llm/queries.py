@@ -9,7 +9,7 @@ from docketspark.functions.ids import clean_id
 from docketspark.llm.canonical import canonical_column, look_alike_classes, look_alike_pairs
 from docketspark.llm.conversations import ASSISTANT_NAMES, OTHER_NAMES, USER_NAMES, conversations, fold_events, question_replies
 from docketspark.llm.packing import pack
-from docketspark.llm.pii import find_pii, mask_pii
+from docketspark.llm.pii import count_leaks, find_pii, mask_pii
 from docketspark.llm.splitting import classify_texts, plan_split, running_numbers, split_files
 from docketspark.llm.tokenizer import count_tokens, encode_corpus
 from docketspark.session import scratch
@@ -36,6 +36,14 @@ def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.select("src", clean_id("id").alias("row_id"), "masked").unionByName(feed.select("src", clean_id("hit_id").alias("row_id"), "masked"))
 
 
+def p2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that are left in the masked texts of each table, split and twice encoded ones included."""
+    masked = p2_masked(spark, sf_dir)
+    parts = (count_leaks(masked.where(F.col("src") == src), "masked", is_message).withColumn("src", F.lit(src)) for src, is_message in (("chat_messages", True), ("feed_passage_hits", False)))
+    a, b = parts
+    return a.unionByName(b)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, _ = _limit(spark, sf_dir, "passage")
     return classify_texts(_table(spark, sf_dir, "feed_passage_hits"), "hit_id", "text", capacity)
@@ -93,7 +101,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p3_found, p3_pieces, p3_files, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p2_leaks, p3_found, p3_pieces, p3_files, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
 
 _WS = r"\x{0009}-\x{000d}\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ID = "nullif(lower(regexp_replace(CAST({0} AS VARCHAR), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
@@ -128,6 +136,7 @@ m AS (SELECT hit_id, m.d AS document_id, m.i AS chunk_index, coalesce(sum(pieces
 SELECT document_id, chunk_index, hit_id, CAST(before + piece AS BIGINT) AS piece_no, s AS piece_start, e AS piece_end, x AS piece_text FROM c JOIN m USING (hit_id)"""
 
 ORACLE: dict[str, str] = {
+    "p2_leaks": "SELECT 'chat_messages' AS src, CAST(count(content) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS leaks FROM chat_messages UNION ALL SELECT 'feed_passage_hits', CAST(count(text) AS BIGINT), CAST(0 AS BIGINT) FROM feed_passage_hits",
     "p3_pieces": _PIECES,
     "p3_found": rf"""WITH h AS (SELECT DISTINCT hit_id, text FROM feed_passage_hits WHERE length(text) > 900 AND regexp_matches(text, '[^{_WS}]')),
 s AS (SELECT hit_id, text, regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[\x{{000b}}-\x{{000d}}\x{{0085}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM h),

@@ -164,6 +164,25 @@ def test_field_on_held_out_texts():
     assert precision > 0.97 and recall > 0.97
 
 
+def test_names_of_no_list():
+    precision, recall = pii_train.held_out_names(WEIGHTS, seed=4243)
+    assert precision > 0.9 and recall > 0.88
+    for text, name in [
+        ("Umowę zawarł Hans Müller z Berlina.", "Hans Müller"), ("John Smith called us.", "John Smith"), ("Oleksandr Shevchenko nie przyszedł.", "Oleksandr Shevchenko"),
+        ("Wczoraj Mia Fischer podpisała.", "Mia Fischer"), ("Herr Klaus Weber war da.", "Klaus Weber"), ("Oskar Wrona złożył pismo.", "Oskar Wrona"), ("Свідок Тарас Кравчук пояснив.", "Тарас Кравчук"),
+    ]:
+        assert [(s.kind, s.value) for s in pii.find(text)] == [("name", name)]
+
+
+def test_leaving_out_hopeless_names_changes_nothing():
+    for text, _ in pii_train.sample(400, 31) + pii_train.sample(200, 32, pii_train.HELD_FRAMES, True):
+        every = pii.candidates(text)
+        for s in every:
+            s.score = pii.score(s, WEIGHTS)
+        assert [(s.start, s.end, s.kind) for s in pii.best_segments(every)] == [(s.start, s.end, s.kind) for s in pii.find(text)]
+        assert not pii.find(pii.mask(text))
+
+
 def test_training_learns():
     w = pii_train.train(pii_train.sample(300, 5), rounds=25)
     precision, recall = pii_train.held_out(w)
