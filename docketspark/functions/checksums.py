@@ -1,4 +1,4 @@
-"""Check digits of identity numbers as native array expressions."""
+"""Check digits of identity numbers, as native array expressions and as plain functions of digit strings."""
 
 from __future__ import annotations
 
@@ -41,3 +41,20 @@ def regon_ok(c: Column) -> Column:
     nine = _weighted(d, REGON9) % 11 % 10 == F.substring(d, 9, 1).cast("int")
     all14 = nine & (_weighted(d, REGON14) % 11 % 10 == _last(d))
     return F.when(d.rlike(r"^\d{9}$"), nine).when(d.rlike(r"^\d{14}$"), all14).otherwise(False)
+
+
+def _total(weights: tuple[int, ...], d: str) -> int:
+    return sum(w * int(x) for w, x in zip(weights, d))
+
+
+def is_pesel(d: str) -> bool:
+    return len(d) == 11 and -_total(PESEL, d) % 10 == int(d[10])
+
+
+def is_nip(d: str) -> bool:
+    return len(d) == 10 and _total(NIP, d) % 11 == int(d[9])
+
+
+def is_regon(d: str) -> bool:
+    nine = len(d) in (9, 14) and _total(REGON9, d) % 11 % 10 == int(d[8])
+    return nine and (len(d) == 9 or _total(REGON14, d) % 11 % 10 == int(d[13]))

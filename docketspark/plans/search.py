@@ -8,6 +8,7 @@ from docketspark.functions.ids import clean_id
 from docketspark.functions.jsoncols import json_text
 from docketspark.functions.text import terms
 from docketspark.operators import entities, graph, grounding, rerank, retrieval, spans
+from docketspark.plans import entity_sql
 from docketspark.plans.registry import Registry, long, small_list, table
 from docketspark.session import cut
 
@@ -142,7 +143,7 @@ def profile_jaccard(spark, d):
 
 
 #: Entity kinds and the event roles they fill.
-ROLES = {"SYGNATURA": "basis", "DATA": "date", "KWOTA": "amount", "PRZEPIS": "basis", "FIRMA": "party", "OSOBA": "party", "ZDARZENIE": "event"}
+ROLES = {"SYGNATURA_ORZECZENIA": "basis", "SYGNATURA_AKTU": "basis", "DATA": "date", "KWOTA": "amount", "PRZEPIS": "basis", "FIRMA": "party", "OSOBA": "party", "CZYN": "act"}
 
 
 def _role_hits(spark, d):
@@ -156,13 +157,32 @@ def entity_hits(spark, d):
     return entities.detect(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@R.add(
-    r"""SELECT doc_id, rule_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, 'email' AS rule_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n FROM documents
-UNION ALL SELECT doc_id, 'date-dotted', len(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_ąćęłńóśźżĄĆĘŁŃÓŚŹŻ])\d{1,2}\.\d{1,2}\.\d{4}\b')) FROM documents) WHERE n > 0 GROUP BY 1, 2"""
-)
+@R.add(f"SELECT doc_id, rule_id, CAST(n AS BIGINT) AS n FROM ({entity_sql.counts('documents', 'doc_id', 'text')}) WHERE n > 0")
 def entity_counts(spark, d):
+    """Hits of every rule by document."""
     hits = entities.detect(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    return hits.where("rule_id IN ('email', 'date-dotted')").groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
+    return hits.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
+
+
+@R.add(
+    f"""WITH e AS ({entity_sql.matches('documents', 'doc_id', 'text', entity_sql.SIGNATURES)}), v AS (SELECT DISTINCT trim(value, ' ') AS value FROM e)
+SELECT value, {entity_sql.PREFIX.format(v='value')} AS prefix FROM v"""
+)
+def signature_prefixes(spark, d):
+    """Every distinct case signature with what opens it."""
+    hits = entities.detect(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", tuple(r for r in entities.RULES if r.kind == "SYGNATURA_ORZECZENIA"))
+    return hits.select("value").distinct().select("value", entities.signature_prefix(F.col("value")).alias("prefix"))
+
+
+@R.add(
+    f"""WITH e AS ({entity_sql.matches('documents', 'doc_id', 'text', entity_sql.RELATED)}) SELECT relation, CAST(count(*) AS BIGINT) AS edges, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs
+FROM (SELECT *, {entity_sql.RELATION} AS relation FROM e) GROUP BY 1"""
+)
+def relation_edges(spark, d):
+    """Citation edges of the corpus by relation: hits of kinds with a relation, confidence 0.6 and more."""
+    e = entities.edges(entities.detect(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    per = e.groupBy("relation", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("relation").agg(F.sum("n").alias("edges"), F.count("*").alias("docs"))
 
 
 @R.add()
