@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +49,7 @@ def excerpt(text: Column, start: Column, length: Column, context: int) -> Column
     """``context`` characters either side of a span (start from 0), an ellipsis where cut, blanks collapsed."""
     a = F.greatest(start - context, F.lit(0))
     z = F.least(start + length + context, F.length(text))
-    body = F.trim(F.regexp_replace(F.substring(text, a + 1, z - a), r"\s+", " "))
+    body = F.trim(F.regexp_replace(F.substring(text, a + 1, z - a), r"[\s\p{Z}]+", " "))
     return F.concat(F.when(a > 0, "…").otherwise(""), body, F.when(z < F.length(text), "…").otherwise(""))
 
 
@@ -88,18 +86,84 @@ def dotted_date(c: Column) -> Column:
     return F.when(y == "", "").otherwise(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
 
 
-#: Polish month names in the genitive.
-MONTHS = "stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia".split()
+#: Polish month names in the genitive, with and without diacritics.
+MONTHS = {
+    "stycznia": 1, "lutego": 2, "marca": 3, "kwietnia": 4, "maja": 5, "czerwca": 6, "lipca": 7, "sierpnia": 8, "września": 9, "wrzesnia": 9, "października": 10, "pazdziernika": 10,
+    "listopada": 11, "grudnia": 12,
+}
 
 
 def worded_date(c: Column) -> Column:
     """First 'd month yyyy' with a Polish month name as yyyy-mm-dd, '' if none."""
     p = rf"\b(\d{{1,2}}) ({'|'.join(MONTHS)}) (\d{{4}})\b"
     d, m, y = (F.regexp_extract(c, p, i) for i in (1, 2, 3))
-    month = reduce(lambda acc, im: F.when(m == im[1], F.lit(f"{im[0]:02d}")).otherwise(acc), enumerate(MONTHS, 1), F.lit(""))
+    month = F.create_map(*(F.lit(x) for name, no in MONTHS.items() for x in (name, f"{no:02d}")))[m]
     return F.when(y == "", "").otherwise(F.concat_ws("-", y, month, F.lpad(d, 2, "0")))
 
 
+def suspect_dates(c: Column, this_year: Column) -> Column:
+    """Distinct dotted dates of a text whose year is before 1900 or after the next one."""
+    dates = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(\d{1,2}\.\d{1,2}\.\d{4})\b"), 1))
+    return F.filter(dates, lambda x: (F.right(x, F.lit(4)).cast("int") < 1900) | (F.right(x, F.lit(4)).cast("int") > this_year + 1))
+
+
+def is_iso_date(c: Column) -> Column:
+    """Whether a text opens with a real calendar day as yyyy-mm-dd; null counts as no."""
+    day = F.left(c, F.lit(10))
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}(?:$|[T ])") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def age_seconds(ts: Column, anchor: Column) -> Column:
+    """Whole seconds from ``ts`` to ``anchor``."""
+    return F.floor((F.unix_micros(anchor.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 1_000_000).cast("long")
+
+
+def within_last(ts: Column, anchor: Column, interval: str) -> Column:
+    """Whether ``ts`` is in the rolling window of ``interval`` (such as '24 HOURS') up to ``anchor``."""
+    return (ts > anchor - F.expr(f"INTERVAL {interval}")) & (ts <= anchor)
+
+
+def text_window(c: Column, offset: Column, limit: Column, hard: int = 200_000) -> Column:
+    """struct(text, offset, limit, total, next_offset, truncated): offset clamped to the text, limit to 1..hard.
+
+    Following next_offset until it is null reads the whole text.
+    """
+    total = F.length(c)
+    start = F.least(F.greatest(offset, F.lit(0)), total)
+    most = F.least(F.greatest(limit, F.lit(1)), F.lit(hard))
+    end = F.least(start + most, total)
+    return F.struct(
+        F.substring(c, start + 1, end - start).alias("text"), start.alias("offset"), most.alias("limit"), total.alias("total"),
+        F.when(end < total, end).alias("next_offset"), ((start > 0) | (end < total)).alias("truncated"),
+    )
+
+
+def folded_pattern(query: str) -> str:
+    """A pattern that finds a phrase whatever its case and white space."""
+    import re
+
+    return r"(?iu)" + r"[\s\p{Z}]+".join(re.escape(w) for w in query.split())
+
+
+def find_phrase(c: Column, query: str, most: int = 20, context: int = 80) -> Column:
+    """struct(total, truncated, hits: array of struct(index, start, excerpt, context)) of a phrase in a text.
+
+    Offsets are those of the raw text: they are the lengths of what stands between the matches, added up.
+    """
+    p = folded_pattern(query)
+    found = F.regexp_extract_all(c, F.lit(f"({p})"), 1) if query.split() else F.array().cast("array<string>")
+    between = F.split(c, p, -1)
+    lengths = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("hit")))
+    ends = F.aggregate(
+        F.slice(lengths, F.lit(1), F.size(found)), F.array().cast("array<int>"),
+        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["gap"] + x["hit"])),
+    )
+    starts = F.zip_with(ends, found, lambda e, x: e - F.length(x))
+    shown = F.slice(F.arrays_zip(starts.alias("s"), found.alias("x")), F.lit(1), F.lit(most))
+    hits = F.transform(shown, lambda h, i: F.struct(i.alias("index"), h["s"].alias("start"), h["x"].alias("excerpt"), excerpt(c, h["s"], F.length(h["x"]), context).alias("context")))
+    return F.struct(F.size(found).alias("total"), (F.size(found) > most).alias("truncated"), hits.alias("hits"))
+
+
 def html_to_markdown(c: Column) -> Column:
     """Headings, strong, list items and paragraphs as markdown; other tags dropped, four entities decoded."""
     for n in range(1, 7):

@@ -191,3 +191,14 @@ def union_first(frames: Iterable[DataFrame], key: str) -> DataFrame:
     rest = [c for c in both.columns if c not in (key, "_src")]
     best = both.groupBy(key).agg(F.min(F.struct("_src", *rest)).alias("_m"))
     return best.select(key, *(F.col(f"_m.{c}").alias(c) for c in rest))
+
+
+def may_open(owner: Column, shared_with: Column, user: Column, email: Column) -> Column:
+    """Whether a user owns a row or finds their e-mail address, in any case, among those it is shared with."""
+    mine = F.exists(shared_with, lambda x: F.lower(x) == F.lower(email))
+    return F.coalesce(owner == user, F.lit(False)) | (F.coalesce(F.length(email), F.lit(0)) > 0) & F.coalesce(mine, F.lit(False))
+
+
+def clamp_limit(n: int | None, default: int = 50, least: int = 1, most: int = 100) -> int:
+    """A row limit within its bounds; the default where none is given."""
+    return default if n is None else max(least, min(most, int(n)))

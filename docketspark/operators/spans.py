@@ -101,3 +101,19 @@ def match_dictionary(df: DataFrame, id_col: str, text_col: str, terms: list[tupl
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["_id", "label", "term", "start", "end"])
 
     return rows.mapInArrow(run, f"_id {kind}, label string, term string, start int, end int").withColumnRenamed("_id", id_col)
+
+
+def anchor(passage: Column, source: Column) -> Column:
+    """struct(anchor, start, stop, note): the first place of a passage in its source.
+
+    note: 'no_source' without a source, 'normalised' where the passage does not stand there verbatim, 'ambiguous'
+    where it stands there more than once; else null.
+    """
+    has = source.isNotNull()
+    at = F.when(has & (passage != ""), F.call_function("locate", passage, source)).otherwise(0)
+    more = F.when(at > 0, F.call_function("locate", passage, source, at + F.length(passage))).otherwise(0)
+    found = at > 0
+    return F.struct(
+        F.when(found, "exact").otherwise("none").alias("anchor"), F.when(found, (at - 1).cast("long")).alias("start"), F.when(found, (at - 1 + F.length(passage)).cast("long")).alias("stop"),
+        F.when(~has, "no_source").when(~found, "normalised").when(more > 0, "ambiguous").alias("note"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsoncols import json_text
-from docketspark.functions.text import terms
+from docketspark.functions.text import normalize_quote, terms
 from docketspark.operators import entities, graph, grounding, rerank, retrieval, spans
 from docketspark.plans import entity_sql
 from docketspark.plans.registry import Registry, long, small_list, table
@@ -210,7 +210,7 @@ def _citations(spark, d):
     j = F.regexp_replace("j", r"^\s+|\s+$", "")
     whole = F.when(j.startswith("["), j).when(j.startswith("{"), F.concat(F.lit("["), j, F.lit("]")))  # a lone citation is a list of one
     parsed = F.from_json(whole, "array<struct<quote string>>")
-    docs = table(spark, d, "documents").select(clean_id("document_id").alias("document_id"), F.col("text").alias("source"))
+    docs = table(spark, d, "documents").select(clean_id("document_id").alias("document_id"), normalize_quote(F.col("text")).alias("source"))  # normalised once a document
     quotes = c.select("cell", "document_id", F.posexplode(parsed).alias("ref", "x")).select("cell", "document_id", "ref", F.col("x.quote").alias("quote"))
     return quotes.join(docs, "document_id", "left")
 
@@ -226,14 +226,14 @@ y AS (SELECT x.*, {_NQ.format('quote')} AS q, {_NQ.format('text')} AS s FROM x L
 SELECT cell, ref, CASE WHEN coalesce(q = '', true) OR coalesce(s = '', true) THEN 'no_source' WHEN contains(s, q) THEN 'verified' ELSE 'open' END AS status FROM y"""
 )
 def quote_exact(spark, d):
-    r = grounding.check_exact(_citations(spark, d), "quote", "source")
+    r = grounding.check_exact(_citations(spark, d), "quote", "source", True)
     return r.select("cell", "ref", F.coalesce("status", F.lit("open")).alias("status"))
 
 
 @R.add()
 def quote_fuzzy(spark, d):
     """Exact stage natively; only what is left is aligned."""
-    r = grounding.check_exact(_citations(spark, d), "quote", "source")
+    r = grounding.check_exact(_citations(spark, d), "quote", "source", True)
     return grounding.check_fuzzy(r.where("status IS NULL"), ["cell", "ref"])
 
 

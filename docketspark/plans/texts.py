@@ -50,7 +50,7 @@ def ocr_quality(spark, d):
 
 
 _MONTHS = "|".join(tx.MONTHS)
-_CASE = " ".join(f"WHEN '{m}' THEN '{i:02d}'" for i, m in enumerate(tx.MONTHS, 1))
+_CASE = " ".join(f"WHEN '{m}' THEN '{i:02d}'" for m, i in tx.MONTHS.items())
 
 
 @R.add(
@@ -63,11 +63,15 @@ def first_dates(spark, d):
     return rows.select("doc_id", tx.dotted_date(F.col("text")).alias("dotted"), tx.worded_date(F.col("text")).alias("worded"))
 
 
-@R.add("SELECT doc_id, y, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, CAST(unnest(regexp_extract_all(text, '\\d{1,2}\\.\\d{1,2}\\.(\\d{4})', 1)) AS INTEGER) AS y FROM documents) WHERE y < 1900 OR y > 2012 GROUP BY 1, 2")
+@R.add(
+    r"""WITH a AS (SELECT CAST(year(max(created_at)) AS INTEGER) AS y FROM documents), f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b\d{1,2}\.\d{1,2}\.\d{4}\b')) AS found FROM documents)
+SELECT doc_id, found FROM f, a WHERE CAST(right(found, 4) AS INTEGER) < 1900 OR CAST(right(found, 4) AS INTEGER) > a.y + 1"""
+)
 def suspect_dates(spark, d):
-    years = F.regexp_extract_all("text", F.lit(r"\d{1,2}\.\d{1,2}\.(\d{4})"), 1)
-    y = table(spark, d, "documents").select("doc_id", F.explode(F.transform(years, lambda x: x.cast("int"))).alias("y"))
-    return y.where("y < 1900 OR y > 2012").groupBy("doc_id", "y").agg(F.count("*").alias("n"))
+    """Dates of documents before 1900 or after the year that follows the newest document's."""
+    docs = table(spark, d, "documents")
+    year = docs.agg(F.year(F.max("created_at"))).first()[0] or 0
+    return docs.select("doc_id", F.explode(tx.suspect_dates(F.col("text"), F.lit(year))).alias("found"))
 
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -101,9 +105,9 @@ def identity_numbers(spark, d):
     return x.select("hit_id", "x", ok.alias("ok"), mk.mask_value(F.col("x")).alias("masked"))
 
 
-@R.add("SELECT doc_id, round(1 - CAST(len(list_distinct(list_transform(s, lambda x: lower(x)))) AS DOUBLE) / len(s), 6) AS ratio FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?\\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 10) AS s FROM documents WHERE text IS NOT NULL) WHERE len(s) >= 20")
+@R.add("SELECT doc_id, round(1 - CAST(len(list_distinct(list_transform(s, lambda x: lower(x)))) AS DOUBLE) / len(s), 6) AS ratio FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?\\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 10) AS s FROM documents WHERE text IS NOT NULL) WHERE len(s) >= 100")
 def repetition(spark, d):
-    r = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(tx.repetition_ratio(F.col("text"), 20), 6).alias("ratio"))
+    r = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(tx.repetition_ratio(F.col("text")), 6).alias("ratio"))
     return r.where("ratio IS NOT NULL")
 
 
@@ -156,7 +160,7 @@ def inline_citations(spark, d):
     return x.select("id", "x.page", "x.quote").distinct()
 
 
-@R.add("SELECT doc_id, CASE WHEN p = 0 THEN NULL ELSE CASE WHEN p > 41 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, greatest(p - 40, 1), least(p + 45, length(text) + 1) - greatest(p - 40, 1)), '\\s+', ' ', 'g')) || CASE WHEN p + 45 <= length(text) THEN '…' ELSE '' END END AS seen FROM (SELECT doc_id, text, strpos(text, 'umowa') AS p FROM documents WHERE text IS NOT NULL) WHERE p > 0")
+@R.add("SELECT doc_id, CASE WHEN p = 0 THEN NULL ELSE CASE WHEN p > 41 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, greatest(p - 40, 1), least(p + 45, length(text) + 1) - greatest(p - 40, 1)), '[\\s\\p{Z}]+', ' ', 'g')) || CASE WHEN p + 45 <= length(text) THEN '…' ELSE '' END END AS seen FROM (SELECT doc_id, text, strpos(text, 'umowa') AS p FROM documents WHERE text IS NOT NULL) WHERE p > 0")
 def keyword_excerpt(spark, d):
     p = F.locate("umowa", F.col("text"))
     rows = table(spark, d, "documents").where("text IS NOT NULL").withColumn("p", p).where("p > 0")

@@ -115,3 +115,19 @@ def pivot_grid(cells: DataFrame, row: str, column: str, values: list, agg: Colum
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "append") -> None:
     df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def log_line(ts: str, event: str, fields: dict[str, str]) -> Column:
+    """'ts | event | key=value ...' with the fields that are not null, in the order given."""
+    return F.concat_ws(" | ", ts, event, *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}="), F.col(c).cast("string"))) for k, c in fields.items()))
+
+
+def write_lines(lines: DataFrame, path: str, mode: str = "append") -> None:
+    """One column of text as a folder of line files."""
+    lines.write.mode(mode).text(path)
+
+
+def stamp(df: DataFrame, key: str, value: str, names: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
+    """Key/value rows as one row with a column for each listed name; missing ones take their default."""
+    one = df.groupBy().agg(*(F.max(F.when(F.col(key) == n, F.col(value))).alias(n) for n in names))
+    return one.select(*(F.coalesce(F.col(n), F.lit(d)).alias(n) if (d := (defaults or {}).get(n)) is not None else F.col(n) for n in names))

@@ -200,12 +200,35 @@ def test_fuzzy_aligns_the_whole_source(spark):
         ("other text", "zupełnie inne słowa o niczym", "0123456789" * 5),
     ]
     df = spark.createDataFrame(rows, "name string, _q string, _s string")
-    got = {x.name: (round(x.ratio, 6), x.status) for x in grounding.check_fuzzy(df, ["name"]).collect()}
+    got = {x.name: (round(x.ratio, 6), x.status) for x in grounding.check_fuzzy(df, ["name"], beyond=True).collect()}
     assert got["no anchor whole"] == (round(2 / 30, 6), "modified")
     assert got["anchor earlier"] == (round(2 / 49, 6), "modified")
     assert got["other text"][1] == "unverified"
 
 
+def test_only_hopeless_windows_are_left_out(spark):
+    import random
+
+    from docketspark.operators import grounding
+
+    r = random.Random(6)
+    for _ in range(1500):
+        source = "".join(r.choice("abcdef ") for _ in range(r.randrange(1, 200)))
+        if r.random() < 0.8 and len(source) > 12:  # a window of the source with a few edits
+            a = r.randrange(len(source) - 10)
+            part = list(source[a : a + r.randrange(8, 80)])
+            for _ in range(r.randrange(0, max(1, len(part) // 5))):
+                k = r.randrange(len(part))
+                part[k : k + r.randrange(2)] = r.choice(["", "x", "ab"])
+            part = "".join(part) or "a"
+        else:
+            part = "".join(r.choice("abcdef ") for _ in range(r.randrange(1, 60)))
+        whole = grounding.window_ratio(source, part)
+        assert grounding.Source(source).ratio(part, 0.15) == (whole if whole <= 0.15 else None)
+    df = spark.createDataFrame([(1, "koszty procesu w kwocie 32", "zasądza koszty procesu w kwocie 33 zł"), (2, "zupełnie inne słowa", "0123456789"), (3, "", "x")], "id int, _q string, _s string")
+    assert {x.id: (x.ratio, x.status) for x in grounding.check_fuzzy(df, ["id"]).collect()} == {1: (1 / 26, "modified"), 2: (None, "unverified"), 3: (None, "unverified")}
+
+
 def test_nearest_name_takes_every_mention(spark, tmp_path):
     from docketspark.plans.search import QUERIES
 
