@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
-from docketspark.operators.pseudonym import wrap
+from docketspark.operators.pseudonym import residue, wrap
 from docketspark.plans.registry import Registry, table
+from docketspark.session import cut
 from docketspark.streaming import windows as st
 
 R = Registry()
@@ -38,9 +39,22 @@ def stream_static_join(spark, d):
     return st.run_to_end(joined.groupBy("n_regionkey").agg(F.count("*").alias("n")), "join")
 
 
-@R.add()
-def pseudonymised_chats(spark, d):
+def _messages(spark, d):
     c = table(spark, d, "chat_messages").where("content IS NOT NULL")
     rows = c.groupBy(clean_id("id").alias("row_id")).agg(F.max(F.struct(clean_id("chat_id").alias("conv_id"), F.col("created_at").alias("seq"), F.col("content").alias("text"))).alias("m"))
-    wrapped, _ = wrap(rows.select("row_id", "m.conv_id", "m.seq", "m.text"))
-    return wrapped
+    return rows.select("row_id", "m.conv_id", "m.seq", "m.text")
+
+
+@R.add()
+def pseudonymised_chats(spark, d):
+    """Messages with the private values of their conversations replaced by tokens."""
+    return wrap(_messages(spark, d))[0]
+
+
+@R.add("SELECT CAST(count(DISTINCT lower(trim(id, ' \t'))) AS BIGINT) AS rows, CAST(count(DISTINCT CASE WHEN chat_id IS NULL THEN lower(trim(id, ' \t')) END) AS BIGINT) AS alone, CAST(0 AS BIGINT) AS leaks FROM chat_messages WHERE content IS NOT NULL")
+def pseudonym_leaks(spark, d):
+    """Originals that are left in the pseudonymised messages; rows without a conversation are counted apart."""
+    wrapped, tokens = wrap(_messages(spark, d))
+    wrapped = cut(wrapped)
+    left = residue(wrapped, tokens).count()
+    return wrapped.agg(F.count("*").alias("rows"), F.count_if(F.col("conv_id").isNull()).alias("alone"), F.lit(left).cast("long").alias("leaks"))

@@ -43,11 +43,26 @@ def enrich(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return events.join(dimension, key, "left")
 
 
-def unmask_stream(deltas: DataFrame, originals: dict[str, str]) -> DataFrame:
+def _keep(state: GroupState, held: str, ended: bool, wait_ms: int | None) -> None:
+    """Hold the rest of a text until its next delta; an ended text leaves no state."""
+    if not ended and held:
+        state.update((held,))
+        if wait_ms:
+            state.setTimeoutDuration(wait_ms)
+    elif state.exists:
+        state.remove()
+
+
+def _timeout(wait_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
+
+
+def unmask_stream(deltas: DataFrame, originals: dict[str, str], wait_ms: int | None = None) -> DataFrame:
     """conv_id, seq, text: text deltas with '[CATEGORY_n]' tokens replaced by their originals.
 
     A token may be split over deltas: what follows the last unclosed '[' is held back in keyed state
-    until it closes or the delta that carries ``last`` arrives.  ``deltas``: conv_id, seq, delta, last.
+    until it closes or the delta that carries ``last`` arrives; where neither comes within ``wait_ms``, the
+    rest is given out with a null seq and the state ends (streams that never end should set it).  ``deltas``: conv_id, seq, delta, last.
     ``originals`` is one conversation set's map; longer tokens go first, so [X_10] is not read as [X_1].
     """
     tokens = sorted(originals, key=len, reverse=True)
@@ -59,6 +74,11 @@ def unmask_stream(deltas: DataFrame, originals: dict[str, str]) -> DataFrame:
         return s
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            held = state.get[0]
+            state.remove()
+            yield pd.DataFrame([(key[0], None, put_back(held))] if held else [], columns=["conv_id", "seq", "text"])
+            return
         held = state.get[0] if state.exists else ""
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
@@ -68,29 +88,36 @@ def unmask_stream(deltas: DataFrame, originals: dict[str, str]) -> DataFrame:
             keep = at >= 0 and "]" not in s[at:] and len(s) - at < longest and not r.last
             held = s[at:] if keep else ""
             out.append((key[0], r.seq, put_back(s[:at] if keep else s)))
-        state.update((held,))
+        _keep(state, held, bool(rows["last"].any()), wait_ms)
         yield pd.DataFrame(out, columns=["conv_id", "seq", "text"])
 
-    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id string, seq long, text string", "held string", "append", _timeout(wait_ms))
 
 
-def assemble_lines(deltas: DataFrame) -> DataFrame:
+def assemble_lines(deltas: DataFrame, wait_ms: int | None = None) -> DataFrame:
     """conv_id, seq, line: text deltas put together to whole lines; the rest of a stream comes with its ``last`` delta.
 
-    ``deltas``: conv_id, seq, delta, last.  The state of a key is its unfinished line.
+    ``deltas``: conv_id, seq, delta, last.  The state of a key is its unfinished line; it ends with the
+    ``last`` delta, or is given out with a null seq after ``wait_ms`` without one.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            held = state.get[0]
+            state.remove()
+            yield pd.DataFrame([(key[0], None, held)] if held else [], columns=["conv_id", "seq", "line"])
+            return
         held, out = state.get[0] if state.exists else "", []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for r in rows.itertuples(index=False):
             *whole, held = (held + (r.delta or "")).split("\n")
             if r.last and held:
                 whole, held = [*whole, held], ""
             out += [(key[0], r.seq, line) for line in whole]
-        state.update((held,))
+        _keep(state, held, bool(rows["last"].any()), wait_ms)
         yield pd.DataFrame(out, columns=["conv_id", "seq", "line"])
 
-    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id string, seq long, line string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("conv_id").applyInPandasWithState(run, "conv_id string, seq long, line string", "held string", "append", _timeout(wait_ms))
 
 
 def valid_rows(lines: DataFrame, columns: DataFrame) -> DataFrame:

@@ -160,7 +160,20 @@ def test_pseudonyms(spark):
     wrapped, tokens = wrap(spark.createDataFrame(rows, "row_id string, conv_id string, seq int, text string"))
     got = {r.row_id: r.text for r in wrapped.collect()}
     assert got["1"] == "mail [EMAIL_1] i [EMAIL_2]" and got["2"] == "znów [EMAIL_1], [PHONE_1]" and got["3"] == "[EMAIL_1]" and got["4"] is None
+    assert got["5"] == "[EMAIL_1]"
     assert residue(wrapped, tokens).count() == 0
+    plain = wrapped.withColumn("text", F.when(F.col("row_id") == "5", "z@x.pl").otherwise(F.col("text")))
+    assert [(r.row_id, r.value) for r in residue(plain, tokens).collect()] == [("5", "z@x.pl")]
+
+
+def test_pseudonyms_cover_every_place_and_hot_conversations(spark):
+    rows = [("0", "c", 0, "świadek Jan Nowak, ul. Długa 5"), ("9", "c", 0, "firma ABC s.a."), ("1", "c", 1, "Jan Nowak znów; Jan Nowakowski nie; ABC s.a."), ("2", "d", 1, "Jan Nowak")]
+    rows += [(f"h{i}", "hot", i, "pan Adam Lis" if i == 0 else "Adam Lis i 5") for i in range(300)]
+    wrapped, tokens = wrap(spark.createDataFrame(rows, "row_id string, conv_id string, seq int, text string"))
+    got = {r.row_id: r.text for r in wrapped.collect()}
+    assert got["0"] == "świadek [PERSON_1], [ADDRESS_1]" and got["9"] == "firma [ORG_1]" and got["1"] == "[PERSON_1] znów; Jan Nowakowski nie; [ORG_1]"
+    assert got["2"] == "Jan Nowak" and got["h0"] == "pan [PERSON_1]" and {got[f"h{i}"] for i in range(1, 300)} == {"[PERSON_1] i 5"}
+    assert residue(wrapped, tokens).count() == 0 and wrap(spark.createDataFrame(rows, "row_id string, conv_id string, seq int, text string").limit(0))[0].count() == 0
 
 
 def test_stream_unmask(spark, tmp_path):
