@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.operators.ordered import line_up, with_lag, with_running_sum
+from docketspark.operators.ordered import line_up, with_lag, with_last_seen, with_running_sum
+from docketspark.session import cut
 
 GENESIS = "0" * 64
 BLOCK = 1024  # leaves per task-side subtree; a power of two
@@ -94,11 +96,52 @@ def verify_proof(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, lambda acc, p: F.when(p["side"] == "right", F.sha2(F.concat(acc, p["hash"]), 256)).otherwise(F.sha2(F.concat(p["hash"], acc), 256)))
 
 
-def covering_block(ids: DataFrame, id_col: str, blocks: DataFrame, width: int) -> DataFrame:
-    """Newest block (block_start, block_end, computed_at, block_id) that covers each id.
-
-    A range join as an equi-join: blocks are listed under every ``width``-wide bin they touch.
+def _nodes(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(level, number) of the fewest dyadic ranges that make up [start, end)."""
+    level = 0
+    while start < end:
+        if start & 1:
+            yield level, start
+            start += 1
+        if end & 1:
+            end -= 1
+            yield level, end
+        start, end, level = start >> 1, end >> 1, level + 1
+
+
+def covering_block(ids: DataFrame, id_col: str, blocks: DataFrame) -> DataFrame:
+    """Newest block (block_start, block_end, computed_at, block_id) that covers each id; ids in no block have no row.
+
+    The blocks' edges cut the ids into stretches in which the answer does not change.  A block is handed to the
+    few dyadic ranges of stretches that make it up, each stretch takes the newest of its own ranges, and the ids
+    look the stretch before them up in one ordered pass.  Nothing grows with ids times blocks.
     """
-    bins = blocks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("block_start") / width), F.floor(F.col("block_end") / width))))
-    hit = ids.withColumn("_bin", F.floor(F.col(id_col) / width)).join(bins, "_bin").where(F.col(id_col).between(F.col("block_start"), F.col("block_end")))
-    return hit.groupBy(id_col).agg(F.max_by("block_id", F.struct("computed_at", "block_id")).alias("block_id"))
+    blocks = blocks.where("block_start <= block_end")
+    edges = blocks.select(F.col("block_start").alias("at")).union(blocks.select(F.col("block_end") + 1)).distinct()
+    lined = line_up(edges.withColumn("_one", F.lit(1).cast("long")), None, ["at"])
+    stretches = cut(with_running_sum(lined, None, ["at"], "_one", "no", inclusive=False).select("at", "no"))
+    depth = max(1, int(stretches.count()).bit_length())
+    a, z = (stretches.select(F.col("at").alias(c), F.col("no").alias(n)) for c, n in (("block_start", "_a"), ("_end", "_z")))
+    placed = blocks.withColumn("_end", F.col("block_end") + 1).join(a, "block_start").join(z, "_end").select("_a", "_z", F.struct("computed_at", "block_id").alias("_m"))
+
+    def split(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(level, n, m) for x, y, m in zip(pdf["_a"], pdf["_z"], pdf["_m"]) for level, n in _nodes(x, y)]
+            yield pd.DataFrame(rows, columns=["level", "n", "_m"])
+
+    kind = placed.schema["_m"].dataType.simpleString()
+    newest = placed.mapInPandas(split, f"level int, n long, _m {kind}").groupBy("level", "n").agg(F.max("_m").alias("_m"))
+    levels = stretches.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("n", F.expr("shiftright(no, level)"))
+    best = levels.join(newest, ["level", "n"], "left").groupBy("at").agg(F.max("_m").alias("_m"))
+    marks = best.select(F.col("at").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col("_m").alias("m")).alias("_best"), F.lit(None).cast(ids.schema[id_col].dataType).alias("_id"))
+    asked = ids.select(F.col(id_col).cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_best"].dataType).alias("_best"), F.col(id_col).alias("_id"))
+    order = ["_at", "_side", "_id"]
+    seen = with_last_seen(line_up(marks.unionByName(asked), None, order), None, order, F.col("_best"), "_now")
+    return seen.where("_side = 1 AND _now.m IS NOT NULL").select(F.col("_id").alias(id_col), F.col("_now.m.block_id").alias("block_id"))
+
+
+def next_block(last_covered: int, newest: int, now_ms: int, computed_at_ms: int, least: int, interval_ms: int) -> tuple[int, int] | None:
+    """(start, end) of the block of ids to fold next: all new ones at first, then once there are ``least`` or the interval is over."""
+    new = newest - last_covered
+    due = new > 0 and (last_covered == 0 or new >= least or now_ms - computed_at_ms >= interval_ms)
+    return (last_covered + 1, newest) if due else None

@@ -129,37 +129,130 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, dim: int, row_block: int = 65536, query_block: int = 4096, n_rows: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """query_id, id, distance: the exact k nearest rows of each query, itself left out.
+CELLS = 1 << 22  # distances a task holds at once: 32 MB of doubles
 
-    Both sides are hashed into blocks of bounded size; each pair of blocks is one matrix product that
-    hands on k rows a query, and a partial top-k merges them.  ``vectors``: id, v; ``queries``:
-    query_id, v.  Nothing is broadcast, and no pair of rows is ever a row.
-    """
+
+def _blocks(vectors: DataFrame, queries: DataFrame, value: str, row_block: int, query_block: int, n_rows: int | None, n_queries: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides hashed into blocks of bounded size, each under every block of the other (key, value, rb, qb)."""
     n_rows = vectors.count() if n_rows is None else n_rows
     n_queries = queries.count() if n_queries is None else n_queries
     rb, qb = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
-    a = vectors.select(F.col("id").cast("long").alias("key"), "v", F.pmod(F.xxhash64("id"), F.lit(rb)).alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("qb"))
-    q = queries.select(F.col("query_id").cast("long").alias("key"), F.col("v").alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rb - 1).cast("long"))).alias("rb"))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    a = vectors.select(F.col("id").cast("long").alias("key"), value, F.pmod(F.xxhash64("id"), F.lit(rb)).alias("rb"), every(qb).alias("qb"))
+    q = queries.select(F.col("query_id").cast("long").alias("key"), F.col("v").alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("qb"), every(rb).alias("rb"))
+    return a, q
+
+
+def _closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, qs: np.ndarray, k: int) -> pd.DataFrame:
+    """query_id, id, distance of the k nearest rows of x to each row of y, and of those tied with the last; a row is not its own."""
+    out, norms, step = [], (x * x).sum(1), max(1, CELLS // max(len(x), 1))
+    for lo in range(0, len(y), step):
+        part = y[lo : lo + step]
+        d = np.maximum((part * part).sum(1)[:, None] + norms[None, :] - 2 * part @ x.T, 0)
+        d[qs[lo : lo + step, None] == ids[None, :]] = np.inf
+        take = min(k, len(ids))
+        last = np.partition(d, take - 1, axis=1)[:, take - 1]
+        i, j = np.nonzero((d <= last[:, None] + 1e-9) & np.isfinite(d))
+        out.append(pd.DataFrame({"query_id": qs[lo + i], "id": ids[j], "distance": np.sqrt(d[i, j])}))
+    return pd.concat(out)
+
+
+_NEAR = "query_id long, id long, distance double"
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, dim: int, row_block: int = 16384, query_block: int = 2048, n_rows: int | None = None, n_queries: int | None = None) -> DataFrame:
+    """query_id, id, distance: the exact k nearest rows of each query, itself left out.
+
+    Both sides are hashed into blocks of bounded size; each pair of blocks is a few matrix products of bounded
+    size that hand on k rows a query, and a partial top-k merges them.  ``vectors``: id, v; ``queries``:
+    query_id, v.  Nothing is broadcast, and no pair of rows is ever a row.
+    """
+    a, q = _blocks(vectors, queries, "v", row_block, query_block, n_rows, n_queries)
 
     def pair(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asks.empty:
             return pd.DataFrame(columns=["query_id", "id", "distance"])
         x, y = np.stack(rows["v"].to_numpy()).astype(np.float64), np.stack(asks["w"].to_numpy()).astype(np.float64)
-        d = np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * y @ x.T, 0)
-        ids, qs = rows["key"].to_numpy(), asks["key"].to_numpy()
-        d[qs[:, None] == ids[None, :]] = np.inf
-        take = min(k, len(ids))
-        best = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 12)), axis=1)[:, :take]
-        out = pd.DataFrame({"query_id": np.repeat(qs, take), "id": ids[best].ravel(), "distance": np.sqrt(np.take_along_axis(d, best, 1)).ravel()})
-        return out[np.isfinite(out["distance"])]
+        return _closest(x, rows["key"].to_numpy(), y, asks["key"].to_numpy(), k)
 
-    found = a.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInPandas(pair, "query_id long, id long, distance double")
+    found = a.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInPandas(pair, _NEAR)
     return top_k(found.withColumn("distance", F.round("distance", 9)), k, score="distance", ascending=True)
 
 
-def fit_centroids(vectors: DataFrame, n_lists: int, sample: int = 20000, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """k-means centroids from a bounded sample (``sample`` rows, the smallest by a hash of the id)."""
+def fit_scales(vectors: DataFrame, sample: int = 20000, seed: int = 7) -> np.ndarray:
+    """Greatest absolute value of each dimension in a bounded sample (``sample`` rows, the smallest by a hash of the id)."""
+    rows = vectors.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample).select("v").toPandas()
+    return np.maximum(np.abs(np.stack(rows["v"].to_numpy())).max(0), 1e-12)
+
+
+def encode_vectors(vectors: DataFrame, scales: np.ndarray) -> DataFrame:
+    """(id, code): the index - every row as one byte a dimension, a quarter of its floats."""
+
+    def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                codes = np.clip(np.rint(x / scales * 127), -127, 127).astype(np.int8)
+                yield pd.DataFrame({"id": pdf["id"], "code": [c.tobytes() for c in codes]})
+
+    return vectors.select("id", "v").mapInPandas(run, f"id {vectors.schema['id'].dataType.simpleString()}, code binary")
+
+
+def nearest_encoded(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, scales: np.ndarray, more: int = 4, row_block: int = 65536, query_block: int = 2048) -> DataFrame:
+    """As nearest(), with distances from the codes of encode_vectors() first and exact ones for the ``more`` * k best.
+
+    The scan reads the codes of all rows and the vectors of the candidates only.  It suits vectors without
+    clusters, where lists of centroids leave out too much; recall is measured in the tests.
+    """
+    a, q = _blocks(index, queries, "code", row_block, query_block, None, None)
+
+    def pair(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asks.empty:
+            return pd.DataFrame(columns=["query_id", "id", "distance"])
+        x = np.frombuffer(b"".join(rows["code"]), dtype=np.int8).reshape(len(rows), -1) * (scales / 127).astype(np.float32)
+        return _closest(x, rows["key"].to_numpy(), np.stack(asks["w"].to_numpy()).astype(np.float32), asks["key"].to_numpy(), more * k)
+
+    rough = a.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInPandas(pair, _NEAR)
+    best = top_k(rough, more * k, score="distance", ascending=True).select("query_id", "id")
+    both = best.join(vectors.select(F.col("id").cast("long").alias("id"), "v"), "id").join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").alias("w")), "query_id")
+    gap = F.zip_with("v", "w", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    exact = both.select("query_id", "id", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)), 9).alias("distance"))
+    return top_k(exact, k, score="distance", ascending=True)
+
+
+class Resident:
+    """Vectors of bounded number held by one process, for single queries without a job: more than ``most`` rows are refused."""
+
+    def __init__(self, vectors: DataFrame, most: int = 1_000_000):
+        rows = vectors.select("id", "v").limit(most + 1).toArrow()
+        if rows.num_rows > most:
+            raise ValueError(f"more than {most} vectors")
+        self.ids = rows["id"].to_numpy()
+        flat = rows["v"].combine_chunks()
+        self.x = flat.flatten().to_numpy().astype(np.float32).reshape(len(self.ids), -1) if len(self.ids) else np.zeros((0, 0), np.float32)
+        self.norms = (self.x * self.x).sum(1)
+
+    def nearest(self, v: np.ndarray, k: int) -> list[tuple[int, float]]:
+        """(id, distance) of the k nearest rows, ties to the smaller id."""
+        if not len(self.ids):
+            return []
+        v = np.asarray(v, dtype=np.float32)
+        d = self.norms - 2 * (self.x @ v)
+        take = min(k, len(d))
+        near = np.flatnonzero(d <= np.partition(d, take - 1)[take - 1])
+        exact = np.sqrt(((self.x[near].astype(np.float64) - v) ** 2).sum(1))
+        return [(int(self.ids[near[i]]), float(exact[i])) for i in np.lexsort((self.ids[near], np.round(exact, 9)))[:take]]
+
+
+def fit_centroids(vectors: DataFrame, n_lists: int | None = None, sample: int = 20000, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """k-means centroids from a bounded sample (``sample`` rows, the smallest by a hash of the id).
+
+    The number of lists is the root of the number of rows unless given; for vectors with clusters.
+    """
+    n_lists = n_lists or max(1, int(vectors.count() ** 0.5))
     rows = vectors.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample).select("v").toPandas()
     x = np.stack(rows["v"].to_numpy()).astype(np.float64)
     c = x[np.random.default_rng(seed).permutation(len(x))[:n_lists]].copy()
@@ -236,3 +329,17 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     gain = got.groupBy("query_id").agg(F.sum(F.coalesce("hit", F.lit(0)) / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1))
     return total.join(gain, "query_id", "left").select("query_id", (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), (F.coalesce("hits", F.lit(0)) / F.col("n_rel")).alias("recall"))
+
+
+def label_metrics(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """ranking_metrics() where the rows of a query's own label, itself left out, are the relevant ones.
+
+    ``labels``: id, label.  Counts by label replace the pairs of queries and relevant rows.
+    """
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_rel"))
+    asked = labels.select(F.col("id").alias("query_id"), F.col("label").alias("_ql"))
+    got = ranked.where(F.col("rank") <= k).join(asked, "query_id").join(labels.select("id", F.col("label").alias("_l")), "id", "left")
+    hit = F.coalesce((F.col("_l") == F.col("_ql")).cast("int"), F.lit(0))
+    gain = got.groupBy("query_id", F.col("_ql").alias("label")).agg(F.sum(hit / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(hit).alias("hits"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1))
+    return gain.join(sizes, "label").where("n_rel > 0").select("query_id", (F.col("dcg") / ideal).alias("ndcg"), (F.col("hits") / F.col("n_rel")).alias("recall"))

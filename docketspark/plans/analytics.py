@@ -17,14 +17,16 @@ _LOG = """l AS (SELECT id, ts, actor_user_id AS actor, event_type, prev_hash, ha
 FROM (SELECT *, CASE WHEN json_valid(payload) THEN payload::JSON ->> '$' END AS p1 FROM (SELECT DISTINCT * FROM audit_log)))"""
 
 
-def log(spark, d):
-    cols = ["ts", "actor_user_id", "event_type", "prev_hash", "hash", "payload"]
+def log(spark, d, *names):
+    """Events once each, with the columns asked for; ``p`` is the payload opened, which is shuffled only if asked for."""
+    source = {"actor": "actor_user_id", "p": "payload"}
+    cols = [source.get(c, c) for c in names]
     rows = ledger.distinct_log(table(spark, d, "audit_log"), "id", cols)
-    return rows.select("id", "ts", F.col("actor_user_id").alias("actor"), "event_type", "prev_hash", "hash", json_text(F.col("payload")).alias("p"))
+    return rows.select("id", *(json_text(F.col("payload")).alias("p") if c == "p" else F.col(source.get(c, c)).alias(c) for c in names))
 
 
 def _calls(spark, d):
-    r = log(spark, d).where("event_type = 'llm_route' AND p IS NOT NULL")
+    r = log(spark, d, "ts", "actor", "event_type", "p").where("event_type = 'llm_route' AND p IS NOT NULL")
     num = lambda path: F.coalesce(field(F.col("p"), path).try_cast("double"), F.lit(0.0))
     return r.select("ts", "actor", F.coalesce(field(F.col("p"), "$.model"), F.lit("-")).alias("model"), num("$.prompt_tokens").alias("pt"), num("$.completion_tokens").alias("ct"), field(F.col("p"), "$.cost_usd").try_cast("double").alias("cost"))
 
@@ -58,13 +60,13 @@ def usage_daily(spark, d):
 @R.add(f"WITH {_LOG}, k AS (SELECT unnest(['llm_route', 'cost_cap', 'document.deleted', 'chat.message.user']) AS event_type) SELECT k.event_type, CAST(count(l.id) AS BIGINT) AS n FROM k LEFT JOIN l USING (event_type) GROUP BY 1")
 def counts_zero_filled(spark, d):
     kinds = spark.createDataFrame([(k,) for k in ("llm_route", "cost_cap", "document.deleted", "chat.message.user")], "event_type string")
-    n = log(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
+    n = log(spark, d, "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
     return kinds.join(n, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @R.add(f"WITH {_LOG} SELECT event_type, p ->> '$.decision' AS decision, CAST(count(*) AS BIGINT) AS n FROM l WHERE p ->> '$.decision' IS NOT NULL GROUP BY 1, 2")
 def action_counts(spark, d):
-    r = log(spark, d).select("event_type", field(F.col("p"), "$.decision").alias("decision")).where("decision IS NOT NULL")
+    r = log(spark, d, "event_type", "p").select("event_type", field(F.col("p"), "$.decision").alias("decision")).where("decision IS NOT NULL")
     return r.groupBy("event_type", "decision").agg(F.count("*").alias("n"))
 
 
@@ -76,20 +78,20 @@ def rate_5m(spark, d):
 
 @R.add(f"WITH {_LOG} SELECT id, coalesce(prev_hash = coalesce(lag(hash) OVER (ORDER BY id), repeat('0', 64)), false) AS link_ok FROM l")
 def chain_links(spark, d):
-    return ledger.check_links(log(spark, d))
+    return ledger.check_links(log(spark, d, "prev_hash", "hash"))
 
 
 @R.add(
     f"""WITH {_LOG} SELECT id, sha256(prev_hash || '{{"actor":' || CASE WHEN actor IS NULL THEN 'null' ELSE '"' || actor || '"' END || ',"event_type":"' || event_type || '","ts":"' || ts || '"}}') AS digest FROM l"""
 )
 def row_digests(spark, d):
-    r = log(spark, d)
+    r = log(spark, d, "ts", "actor", "event_type", "prev_hash")
     return r.select("id", ledger.row_digest(F.col("prev_hash"), actor=F.col("actor"), event_type=F.col("event_type"), ts=F.col("ts")).alias("digest"))
 
 
 @R.add()
 def merkle_day_roots(spark, d):
-    return ledger.merkle_roots(log(spark, d).withColumn("day", F.substring("ts", 1, 10)), "day", "id", "hash")
+    return ledger.merkle_roots(log(spark, d, "ts", "hash").withColumn("day", F.substring("ts", 1, 10)), "day", "id", "hash")
 
 
 
@@ -102,7 +104,7 @@ def covering_blocks(spark, d):
     rows = table(spark, d, "audit_log").select("id", F.substring("ts", 1, 10).alias("day"))
     b = rows.groupBy("day").agg(F.min("id").alias("block_start"), F.max("id").alias("block_end"))
     b = b.select("block_start", "block_end", (F.col("block_end") % 5).alias("computed_at"), F.concat(F.lit("d"), "day").alias("block_id"))
-    return ledger.covering_block(rows.select("id").distinct(), "id", b, 1000)
+    return ledger.covering_block(rows.select("id").distinct(), "id", b)
 
 
 _CELLS = "x AS (SELECT DISTINCT lower(trim(id, ' \t')) AS id, lower(trim(review_id, ' \t')) AS review_id, lower(trim(document_id, ' \t')) AS document_id, column_index, status, created_at FROM tabular_cells)"

@@ -91,7 +91,10 @@ def anti_pending(spark, d):
 
 @register("SELECT text, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
 def dup_keys(spark, d):
-    return t(spark, d, "documents").where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    # only digests are shuffled; the text of a group is read again from its first row
+    docs = t(spark, d, "documents").where("text IS NOT NULL")
+    groups = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    return groups.join(docs.select(F.col("doc_id").alias("first_doc"), "text"), "first_doc").select("text", "n", "first_doc")
 
 
 @register(

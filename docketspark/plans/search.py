@@ -53,18 +53,16 @@ SELECT query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least
 def ndcg_at_5(spark, d):
     v = _vectors(spark, d)
     near = retrieval.nearest(v, _queries(v), 5, 64)
-    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
-    rel = asked.join(v.select("id", "label"), "label").where("id != query_id").select("query_id", "id")
-    m = retrieval.ranking_metrics(near, rel, 5)
+    m = retrieval.label_metrics(near, v.select("id", "label"), 5)
     return m.select("query_id", F.round("ndcg", 6).alias("ndcg"), F.round("recall", 6).alias("recall"))
 
 
 @R.add()
 def knn_indexed(spark, d):
-    """Inverted-list index: every row indexed, centroids from a bounded sample; recall is measured in the tests."""
+    """Index of one byte a dimension over every row, exact distances for its best; recall is measured in the tests."""
     v = _vectors(spark, d).select("id", "v")
-    c = retrieval.fit_centroids(v, 16)
-    return retrieval.nearest_indexed(v, _queries(v), 10, c, probes=13)
+    scales = retrieval.fit_scales(v)
+    return retrieval.nearest_encoded(retrieval.encode_vectors(v, scales), v, _queries(v), 10, scales)
 
 
 _TERM = "CASE WHEN length(w) >= 7 AND regexp_full_match(w, '\\p{L}+') THEN substring(w, 1, length(w) - least(3, length(w) - 5)) || '*' ELSE w END"
@@ -328,12 +326,19 @@ def dual_rerank(spark, d):
 
 @R.add()
 def hybrid_search(spark, d):
-    """Text and citation-graph lists fused, re-ranked by citation profile and then by event roles, cut to 8 at the end."""
-    text = cut(_bm25_top(spark, d, 24).select("query_id", "id", "rank"))
+    """Vector, text and citation-graph lists fused, re-ranked by citation profile and then by event roles, cut to 8 at the end.
+
+    A document's vector is the one of its number; a query without a vector keeps its text and graph lists.
+    """
+    text = _bm25_top(spark, d, 24).select("query_id", "id", "rank")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    v = _vectors(spark, d).select("id", "v").join(docs, "id", "left_semi")
+    near = retrieval.nearest(v, _queries(v), 24, 64).select("query_id", "id", "rank")
+    lists = cut(text.unionByName(near))
     edges = _edges(spark, d)
     central = graph.document_centrality(edges).select(F.col("doc_id").alias("id"), F.col("score").alias("c"))
-    ranked = retrieval.top_k(text.select("query_id", "id").join(central, "id"), 24, score="c").select("query_id", "id", "rank")
-    fused = cut(retrieval.fuse(text.unionByName(ranked)).withColumn("score", F.round("score", 9)))  # a few rows a query, used several times
+    ranked = retrieval.top_k(lists.select("query_id", "id").distinct().join(central, "id"), 48, score="c").select("query_id", "id", "rank")
+    fused = cut(retrieval.fuse(lists.unionByName(ranked)).withColumn("score", F.round("score", 9)))  # a few rows a query, used several times
     profile = edges.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("value").alias("profile"))
     dual = cut(rerank.dual_rerank(fused, profile).withColumn("score", F.round("score", 9)))
     roles = sorted(set(ROLES.values()))

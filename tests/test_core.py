@@ -134,10 +134,52 @@ def test_index_recall_on_the_tables(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
     exact = {(r.query_id, r.id) for r in retrieval.nearest(v, q, 10, 64).collect()}
-    found = {(r.query_id, r.id) for r in retrieval.nearest_indexed(v, q, 10, retrieval.fit_centroids(v, 16), 13).collect()}
+    scales = retrieval.fit_scales(v)
+    index = retrieval.encode_vectors(v, scales)
+    assert index.count() == v.count() and {len(r.code) for r in index.collect()} == {64}
+    found = {(r.query_id, r.id) for r in retrieval.nearest_encoded(index, v, q, 10, scales, row_block=100, query_block=3).collect()}
+    assert len(found & exact) / len(exact) >= 0.98
+
+
+def test_lists_of_clustered_vectors_need_few_probes(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16)) * 4
+    x = (centres[rng.integers(0, 30, 1200)] + rng.normal(size=(1200, 16)) * 0.5).astype("float32")
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<float>")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
+    exact = {(r.query_id, r.id) for r in retrieval.nearest(v, q, 10, 16).collect()}
+    found = {(r.query_id, r.id) for r in retrieval.nearest_indexed(v, q, 10, retrieval.fit_centroids(v), 4).collect()}
     assert len(found & exact) / len(exact) >= 0.9
 
 
+def test_resident_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8)).astype("float32")
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<float>")
+    held = retrieval.Resident(v)
+    for i in (0, 7, 399):
+        d = np.sqrt(((x.astype(float) - x[i]) ** 2).sum(1))
+        assert [a for a, _ in held.nearest(x[i], 5)] == np.argsort(d)[:5].tolist()
+    assert retrieval.Resident(v.limit(0)).nearest(x[0], 5) == []
+    with pytest.raises(ValueError):
+        retrieval.Resident(v, most=10)
+
+
+def test_covering_blocks(spark):
+    import random
+
+    from docketspark.operators import ledger
+
+    r = random.Random(8)
+    blocks = [(a := r.randrange(200), a + r.randrange(60), r.randrange(9), f"b{i:03d}") for i in range(80)] + [(500, 499, 9, "none")]
+    df = spark.createDataFrame(blocks, "block_start long, block_end long, computed_at int, block_id string")
+    got = {x.id: x.block_id for x in ledger.covering_block(spark.range(-5, 300), "id", df).collect()}
+    want = {i: max((c, b) for a, z, c, b in blocks if a <= i <= z)[1] for i in range(-5, 300) if any(a <= i <= z for a, z, _, _ in blocks)}
+    assert got == want and ledger.covering_block(spark.range(5), "id", df.limit(0)).count() == 0
+    assert ledger.next_block(0, 5, 0, 0, 100, 100) == (1, 5) and ledger.next_block(5, 5, 0, 0, 1, 1) is None
+    assert ledger.next_block(5, 8, 50, 0, 100, 100) is None and ledger.next_block(5, 8, 200, 0, 100, 100) == (6, 8)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("44051401359", "526-000-12-46", "123456785", "abcd@x.pl", "a" * 300)], "p string, n string, r string, e string, t string")
     r = df.select(
