@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +37,47 @@ def mask_value(c: Column) -> Column:
         F.when(d.rlike(r"^\d{11}$"), mask_digits(c, 4, 4)).when(d.rlike(r"^\d{9}$|^\d{10}$|^\d{14}$"), mask_digits(c, 3, 3))
         .when(c.rlike(r"^[^@\s]+@[^@\s]+$"), mask_email(c)).otherwise(mask_window(c))
     )
+
+
+def _digits(d: str, head: int, tail: int) -> str:
+    return d if len(d) <= head + tail else d[:head] + "*" * (len(d) - head - tail) + d[-tail:]
+
+
+def mask_text(s: str) -> str:
+    """mask_value() of plain Python text."""
+    d = re.sub(r"[\s-]", "", s)
+    if re.fullmatch("[0-9]{11}", d):
+        return _digits(d, 4, 4)
+    if re.fullmatch("[0-9]{9}|[0-9]{10}|[0-9]{14}", d):
+        return _digits(d, 3, 3)
+    if re.fullmatch(r"[^@\s]+@[^@\s]+", s):
+        local, _, domain = s.rpartition("@")
+        return s if len(local.split("@")[0]) <= 3 else f"{s[:3]}***@{domain}"
+    return s if len(s) <= 205 else f"{s[:100]}[...]{s[-100:]}"
+
+
+def mask_tree(v):
+    """A JSON value with every string in it masked, at any depth; names and other values stay."""
+    if isinstance(v, str):
+        return mask_text(v)
+    if isinstance(v, list):
+        return [mask_tree(x) for x in v]
+    return {k: mask_tree(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+
+def mask_payloads(df: DataFrame, id_col: str, json_col: str, out_col: str) -> DataFrame:
+    """(id, out_col): JSON payloads with their strings masked, sorted names; text that is no JSON is masked as one string."""
+    from docketspark.functions.jsontext import read_json
+
+    rows = df.select(F.col(id_col).alias("_id"), F.col(json_col).alias("_json"))
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def one(t: str | None) -> str | None:
+        ok, v = read_json(t)
+        return json.dumps(mask_tree(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")) if ok else None if t is None else mask_text(t)
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in b.column(1).to_pylist()], pa.string())], ["_id", out_col])
+
+    return rows.mapInArrow(run, f"_id {kind}, `{out_col}` string").withColumnRenamed("_id", id_col)

@@ -71,10 +71,25 @@ def chunks(text: str) -> Iterator[tuple[int, int | None, str, int, int]]:
             index += 1
 
 
-#: Headings that open a section of a ruling, editorial units, and weak headings.
-_STRONG = re.compile(r"^[ \t]*(?:WYROK|POSTANOWIENIE|UCHWAŁA|UZASADNIENIE|SENTENCJA|W IMIENIU RZECZYPOSPOLITEJ\b.*|STAN FAKTYCZNY|ROZWAŻANIA)[ \t]*:?[ \t]*$", re.M | re.I)
-_UNIT = re.compile(r"^[ \t]*(?:Art\.|Artykuł|§|Rozdział|Dział)[ \t]*(?:\d+[a-z]?|[IVXLC]+)\b", re.M)
-_WEAK = re.compile(r"^[ \t]*(?:[IVX]+\.|\d{1,2}\.)[ \t]+[^\W\d_].{0,80}$", re.M)
+# ---- fixed values: headings, in any case, with or without diacritics
+_A, _E, _L, _O, _Z = "[aą]", "[eę]", "[lł]", "[oó]", "[zżź]"
+
+#: Headings that open a section of a ruling, and editorial units: either turns the section chunker on.
+STRONG = (
+    r"Sygn\.?\s*akt\b", r"W\s*Y\s*R\s*O\s*K\b", r"POSTANOWIENIE\b", r"UZASADNIENIE\b",
+    rf"S{_A}d\s+ustali{_L}\b", rf"S{_A}d\s+zwa{_Z}y{_L},?\s+co\s+nast{_E}puje\b",
+)
+UNITS = (rf"Art(?:yku{_L})?\.?\s*\d", r"(?:Par\.|§)\s*\d", r"ust\.?\s*\d", r"pkt\.?\s*\d", r"lit\.?\s*[a-z]\b")
+
+#: Phrases that are headings where they stand alone on a line, a colon aside.
+WEAK = (
+    rf"{_Z}{_A}danie", r"Wnioski", r"Wniosek", r"Stan\s+faktyczny", r"Ustalenia\s+faktyczne", r"Ocena\s+prawna", rf"Rozwa{_Z}ania\s+prawne", rf"Rozwa{_Z}ania", r"Sentencja",
+    rf"Rozstrzygni{_E}cie", r"orzeka", r"przeciwko\b.*", rf"(?:w\s+sprawie\s+)?z\s+pow{_O}dztwa\b.*",
+)
+
+_STRONG = re.compile(rf"^[^\S\n]*(?:{'|'.join(STRONG)})", re.M | re.I)
+_UNIT = re.compile(rf"^[^\S\n]*(?:{'|'.join(UNITS)})", re.M | re.I)
+_WEAK = re.compile(rf"^[^\S\n]*(?:{'|'.join(WEAK)})[^\S\n]*(?::|$)", re.M | re.I)
 
 
 def sections(text: str) -> list[tuple[int, int]]:

@@ -52,6 +52,18 @@ def usage_by_actor(spark, d):
     return _sums(_calls(spark, d).groupBy("actor"))
 
 
+@R.add(
+    f"""WITH l0 AS (SELECT DISTINCT id, ts, actor_user_id AS actor, event_type, chat_id, CASE WHEN json_valid(payload) THEN payload::JSON ->> '$' END AS p1 FROM audit_log), l AS (SELECT *, CASE WHEN json_valid(p1) THEN p1 END AS p FROM l0),
+{_CALLS.replace("SELECT ts, actor,", "SELECT coalesce(chat_id, '(none)') AS place, actor,")} SELECT place, {_SUMS} FROM c GROUP BY 1"""
+)
+def usage_by_case(spark, d):
+    """Calls by the case they were made in; those without one together."""
+    r = log(spark, d, "chat_id", "event_type", "p").where("event_type = 'llm_route' AND p IS NOT NULL")
+    num = lambda path: F.coalesce(field(F.col("p"), path).try_cast("double"), F.lit(0.0))
+    calls = r.select(F.coalesce("chat_id", F.lit("(none)")).alias("place"), num("$.prompt_tokens").alias("pt"), num("$.completion_tokens").alias("ct"), field(F.col("p"), "$.cost_usd").try_cast("double").alias("cost"))
+    return _sums(calls.groupBy("place"))
+
+
 @R.add(f"WITH {_LOG}, {_CALLS} SELECT substring(ts, 1, 10) AS day, {_SUMS} FROM c GROUP BY 1")
 def usage_daily(spark, d):
     return _sums(_calls(spark, d).groupBy(F.substring("ts", 1, 10).alias("day")))
@@ -89,13 +101,6 @@ def row_digests(spark, d):
     return r.select("id", ledger.row_digest(F.col("prev_hash"), actor=F.col("actor"), event_type=F.col("event_type"), ts=F.col("ts")).alias("digest"))
 
 
-@R.add()
-def merkle_day_roots(spark, d):
-    return ledger.merkle_roots(log(spark, d, "ts", "hash").withColumn("day", F.substring("ts", 1, 10)), "day", "id", "hash")
-
-
-
-
 @R.add(
     """WITH l AS (SELECT DISTINCT id FROM audit_log), b AS (SELECT min(id) AS block_start, max(id) AS block_end, max(id) % 5 AS computed_at, 'd' || substring(ts, 1, 10) AS block_id FROM audit_log GROUP BY substring(ts, 1, 10))
 SELECT id, block_id FROM (SELECT l.id, b.block_id, row_number() OVER (PARTITION BY l.id ORDER BY b.computed_at DESC, b.block_id DESC) AS rn FROM l JOIN b ON l.id BETWEEN b.block_start AND b.block_end) WHERE rn = 1"""
@@ -130,14 +135,51 @@ def review_grid(spark, d):
     return p.select("review_id", "document_id", *(F.coalesce(F.col(str(i)), F.lit("")).alias(f"c{i}") for i in range(9)))
 
 
+_COLUMNS = range(9)
+_SHOWN = "CASE WHEN status IS NULL OR status IN ('pending', 'generating') THEN '(pending)' WHEN status = 'error' THEN '(error)' ELSE CASE WHEN length(x) > 400 THEN substring(x, 1, 400) || '…' ELSE x END END"
+
+
 @R.add(
-    f"""WITH {_CELLS}, g AS (SELECT review_id, document_id, string_agg(column_index || '=' || status, ' | ' ORDER BY column_index, status) AS row FROM (SELECT DISTINCT review_id, document_id, column_index, status FROM x) GROUP BY 1, 2)
-SELECT review_id, document_id, '| ' || row || ' |' AS line FROM g"""
+    f"""WITH x AS (SELECT DISTINCT lower(trim(id, ' \t')) AS id, lower(trim(review_id, ' \t')) AS review_id, lower(trim(document_id, ' \t')) AS document_id, column_index, status, content, created_at FROM tabular_cells),
+y AS (SELECT *, row_number() OVER (PARTITION BY review_id, document_id, column_index ORDER BY created_at DESC NULLS LAST, id DESC) AS rn FROM x),
+z AS (SELECT review_id, document_id, column_index, status, coalesce(nullif(trim(CASE WHEN json_valid(content) AND json_type(content) = 'OBJECT' THEN content ->> '$.summary' END, ' '), ''), '(not yet generated)') AS x FROM y WHERE rn = 1),
+n AS (SELECT review_id, document_id, row_number() OVER (PARTITION BY review_id ORDER BY document_id) - 1 AS i FROM (SELECT DISTINCT review_id, document_id FROM z))
+SELECT review_id, CAST(i AS BIGINT) AS row_no, '| ROW:' || i || ' ' || document_id || ' | ' || {" || ' | ' || ".join(f"coalesce((SELECT max({_SHOWN}) FROM z WHERE z.review_id = n.review_id AND z.document_id = n.document_id AND column_index = {i}), '(pending)') || ' [[COL:{i}||ROW:' || i || ']]'" for i in _COLUMNS)} || ' |' AS line FROM n
+UNION ALL SELECT DISTINCT review_id, -2, '| Document | {" | ".join(f"C{i}" for i in _COLUMNS)} |' FROM z UNION ALL SELECT DISTINCT review_id, -1, '|---|{"|".join(["---"] * 9)}|' FROM z"""
 )
 def markdown_grid(spark, d):
-    c = cells(spark, d).select("review_id", "document_id", "column_index", F.concat_ws("=", F.col("column_index").cast("string"), "status").alias("s")).distinct()
-    g = c.groupBy("review_id", "document_id").agg(F.sort_array(F.collect_list(F.struct("column_index", "s"))).alias("a"))
-    return g.select("review_id", "document_id", F.concat(F.lit("| "), F.array_join("a.s", " | "), F.lit(" |")).alias("line"))
+    """Every review as a markdown table with addressed cells: header, rule, and a line a document, numbered over partition edges."""
+    c = table(spark, d, "tabular_cells").select(*(clean_id(k).alias(k) for k in ("id", "review_id", "document_id")), "column_index", "status", "content", "created_at")
+    last = c.groupBy("review_id", "document_id", "column_index").agg(F.max(F.struct("created_at", "id", "status", "content")).alias("m"))
+    whole = F.when(F.trim("m.content").startswith("{"), F.when(F.try_parse_json("m.content").isNotNull(), F.get_json_object("m.content", "$.summary")))
+    x = F.coalesce(F.nullif(F.trim(whole), F.lit("")), F.lit("(not yet generated)"))
+    shown = F.when(F.col("m.status").isNull() | F.col("m.status").isin("pending", "generating"), "(pending)").when(F.col("m.status") == "error", "(error)").otherwise(F.when(F.length(x) > 400, F.concat(F.left(x, F.lit(400)), F.lit("…"))).otherwise(x))
+    p = last.select("review_id", "document_id", "column_index", shown.alias("s")).groupBy("review_id", "document_id").pivot("column_index", list(_COLUMNS)).agg(F.first("s"))
+    order = ["document_id"]
+    rows = with_running_sum(line_up(p.withColumn("_one", F.lit(1).cast("long")), "review_id", order), "review_id", order, "_one", "row_no", inclusive=False)
+    at = F.col("row_no").cast("string")
+    cells_ = [F.concat(F.coalesce(F.col(str(i)), F.lit("(pending)")), F.lit(f" [[COL:{i}||ROW:"), at, F.lit("]]")) for i in _COLUMNS]
+    lines = rows.select("review_id", "row_no", F.concat(F.lit("| ROW:"), at, F.lit(" "), "document_id", F.lit(" | "), F.concat_ws(" | ", *cells_), F.lit(" |")).alias("line"))
+    reviews = p.select("review_id").distinct()
+    heads = [reviews.select("review_id", F.lit(n).cast("long").alias("row_no"), F.lit(text).alias("line")) for n, text in ((-2, "| Document | " + " | ".join(f"C{i}" for i in _COLUMNS) + " |"), (-1, "|---|" + "|".join(["---"] * 9) + "|"))]
+    return lines.unionByName(heads[0]).unionByName(heads[1])
+
+
+@R.add()
+def payload_masks(spark, d):
+    """Payloads of the log with every string in them masked."""
+    from docketspark.functions.masking import mask_payloads
+
+    return mask_payloads(table(spark, d, "audit_log").select("id", "payload").distinct(), "id", "payload", "masked").distinct()
+
+
+@R.add(
+    """WITH RECURSIVE d AS (SELECT substring(ts, 1, 10) AS block, list(hash ORDER BY id) AS h FROM (SELECT DISTINCT id, ts, hash FROM audit_log) GROUP BY 1),
+m AS (SELECT block, len(h) AS n, h FROM d UNION ALL SELECT block, n, list_transform(range(1, CAST((len(h) + 1) // 2 AS BIGINT) + 1), lambda i: sha256(h[2 * i - 1] || coalesce(h[2 * i], h[2 * i - 1]))) FROM m WHERE len(h) > 1)
+SELECT block, CAST(n AS BIGINT) AS n, h[1] AS root FROM m WHERE len(h) = 1"""
+)
+def merkle_day_roots(spark, d):
+    return ledger.merkle_roots(log(spark, d, "ts", "hash").withColumn("day", F.substring("ts", 1, 10)), "day", "id", "hash")
 
 
 @R.add(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketspark.operators.ordered import line_up, with_lag, with_last_seen, with_lead, with_preceding, with_running_sum
 from docketspark.operators.query import Query, union_first
+from docketspark.operators.records import anonymise, propose_edges, purge, ratify_edges, receipt, split_by_reason, visible_edges
 from docketspark.plans.registry import small_list
 from docketspark.sources.tables import delete_rows, insert_rows, pivot_grid, update_rows, upsert_rows
 
@@ -290,20 +293,64 @@ def sink_upsert(spark, d):
 
 
 @register(
-    """WITH x AS (SELECT o_custkey, o_orderkey, 'order' AS kind FROM orders UNION ALL SELECT c_custkey, c_custkey, 'customer' FROM customer),
-gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0) SELECT kind, CAST(count(*) AS BIGINT) AS kept, CAST(sum(CASE WHEN o_custkey IN (SELECT c_custkey FROM gone) THEN 1 ELSE 0 END) AS BIGINT) AS purged FROM x GROUP BY kind"""
+    """WITH gone AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0), o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM gone)),
+x AS (SELECT 'lineitem' AS kind, l_orderkey IN (SELECT k FROM o) AS g FROM lineitem UNION ALL SELECT 'orders', o_custkey IN (SELECT k FROM gone) FROM orders UNION ALL SELECT 'customer', c_custkey IN (SELECT k FROM gone) FROM customer)
+SELECT kind, CAST(count(*) FILTER (NOT g) AS BIGINT) AS kept, CAST(count(*) FILTER (g) AS BIGINT) AS purged, CAST(count(*) FILTER (NOT g) AS BIGINT) AS after FROM x GROUP BY kind"""
 )
 def case_purge(spark, d):
-    gone = t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"), F.lit(1).alias("gone"))
-    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit("order").alias("kind"))
-    customers = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("customer").alias("kind"))
-    per = orders.unionByName(customers).groupBy("kind", "k").agg(F.count("*").alias("n"))
-    return per.join(gone, "k", "left").groupBy("kind").agg(F.sum("n").alias("kept"), F.sum(F.when(F.col("gone") == 1, F.col("n")).otherwise(0)).alias("purged"))
+    """Customers in debt are purged with their orders and lines; the report is held against what the purged tables hold."""
+    gone = t(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
+    orders, lines, customers = t(spark, d, "orders"), t(spark, d, "lineitem"), t(spark, d, "customer")
+    orders_gone = orders.join(gone, orders.o_custkey == gone.c_custkey, "left_semi").select("o_orderkey")
+    a, first = purge({"lineitem": (lines.select("l_orderkey", "l_linenumber"), "l_orderkey")}, orders_gone)
+    b, second = purge({"orders": (orders.select("o_orderkey", "o_custkey"), "o_custkey"), "customer": (customers.select("c_custkey"), "c_custkey")}, gone)
+    left = [df.agg(F.count("*").alias("after")).select(F.lit(n).alias("kind"), "after") for n, df in {**a, **b}.items()]
+    return first.unionByName(second).join(reduce(DataFrame.unionByName, left), "kind").select("kind", "kept", "purged", "after")
 
 
 @register(
-    """SELECT o_custkey AS subject, '{"orders":' || CAST(count(*) AS VARCHAR) || ',"total":' || CAST(CAST(round(sum(o_totalprice) * 100) AS BIGINT) AS VARCHAR) || '}' AS pack FROM orders GROUP BY 1"""
+    """SELECT o_custkey AS subject, 'orders' AS section, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS record FROM orders
+UNION ALL SELECT o_custkey, 'lines', '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}' FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT c_custkey, 'profile', '{"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' FROM customer"""
 )
 def subject_export(spark, d):
-    per = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("subject")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice") * 100).cast("long").alias("total"))
-    return per.select("subject", F.to_json(F.struct("orders", "total")).alias("pack"))
+    """Everything held about each subject, a record a row; a subject's rows make its pack, whatever their number."""
+    o = t(spark, d, "orders")
+    parts = [
+        o.select(F.col("o_custkey").alias("subject"), F.lit("orders").alias("section"), F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("record")),
+        t(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("subject"), F.lit("lines").alias("section"), F.to_json(F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("record")),
+        t(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.lit("profile").alias("section"), F.to_json(F.struct("c_name", "c_nationkey")).alias("record")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register(
+    """WITH u AS (SELECT max(actor_user_id) AS u FROM audit_log), l AS (SELECT DISTINCT id, actor_user_id, event_type FROM audit_log)
+SELECT event_type, CAST(count(*) AS BIGINT) AS events, CAST(count(*) FILTER (actor_user_id = u.u) AS BIGINT) AS erased, CAST(count(*) FILTER (actor_user_id IS NULL OR actor_user_id = u.u) AS BIGINT) AS nobody, max(substring(sha256(u.u), 1, 16)) AS receipt FROM l, u GROUP BY 1"""
+)
+def subject_erasure(spark, d):
+    """The log without one user: its rows stay, and the receipt names the user by a digest."""
+    log = t(spark, d, "audit_log").select("id", "actor_user_id", "event_type").distinct()
+    user = log.agg(F.max("actor_user_id")).first()[0]
+    both = log.withColumn("was", F.col("actor_user_id"))
+    done = anonymise(both, "actor_user_id", user) if user is not None else both
+    return done.groupBy("event_type").agg(F.count("*").alias("events"), F.count_if(F.col("actor_user_id").isNull() & F.col("was").isNotNull()).alias("erased"), F.count_if(F.col("actor_user_id").isNull()).alias("nobody"), F.first(receipt(F.lit(user))).alias("receipt"))
+
+
+@register(
+    """WITH e AS (SELECT p_partkey AS id, lower(regexp_replace(p_type, ' .*', '')) || CASE WHEN p_partkey % 11 = 0 THEN '!' ELSE '' END AS label, CASE p_partkey % 4 WHEN 0 THEN ' ' ELSE 'run' || (p_partkey % 3) END AS run FROM part)
+SELECT id, label, CASE WHEN id % 5 = 0 OR id % 4 = 0 THEN NULL ELSE run END AS run, CASE WHEN id % 5 = 0 THEN 'ratified' ELSE 'proposed' END AS status FROM e WHERE regexp_full_match(label, '[a-z][a-z0-9_]{0,63}') AND (id % 5 = 0 OR id % 4 = 0 OR run = 'run1')"""
+)
+def edge_life(spark, d):
+    """Edges proposed, some ratified by a human, and those that run1 sees."""
+    label = F.concat(F.lower(F.regexp_replace("p_type", " .*", "")), F.when(F.col("p_partkey") % 11 == 0, "!").otherwise(""))
+    run = F.when(F.col("p_partkey") % 4 == 0, " ").otherwise(F.concat(F.lit("run"), (F.col("p_partkey") % 3).cast("string")))
+    proposed = propose_edges(t(spark, d, "part").select(F.col("p_partkey").alias("id"), label.alias("label"), run.alias("run")))
+    return visible_edges(ratify_edges(proposed, F.col("id") % 5 == 0, F.lit("human")), "run1").select("id", "label", "run", "status")
+
+
+@register(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice > 300000 THEN 'too large' WHEN o_custkey % 10 = 0 THEN 'blocked customer' END AS reason FROM orders"""
+)
+def split_by_reasons(spark, d):
+    return split_by_reason(t(spark, d, "orders"), {"pending": F.col("o_orderstatus") == "P", "too large": F.col("o_totalprice") > 300000, "blocked customer": F.col("o_custkey") % 10 == 0}).select("o_orderkey", "reason")
