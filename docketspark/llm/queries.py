@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.llm.canonical import canonical_column, look_alike_classes, look_alike_pairs
-from docketspark.llm.conversations import ASSISTANT_NAMES, OTHER_NAMES, USER_NAMES, conversations, fold_events, question_replies
+from docketspark.llm.conversations import ASSISTANT_NAMES, OTHER_NAMES, USER_NAMES, conversations, fold_events, question_replies, with_text
 from docketspark.llm.packing import pack
 from docketspark.llm.pii import count_leaks, find_pii, mask_pii
 from docketspark.llm.splitting import classify_texts, plan_split, running_numbers, split_files
-from docketspark.llm.tokenizer import count_tokens, encode_corpus
-from docketspark.session import scratch
+from docketspark.llm.tokenizer import count_tokens, decode_ids, encode_corpus
+from docketspark.session import cut, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return question_replies(p5_turns(spark, sf_dir))
 
 
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of kept conversations with their texts."""
+    messages = _table(spark, sf_dir, "chat_messages")
+    return with_text(conversations(fold_events(messages)), messages).select("chat_id", "message_id", "speaker", "text")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each text as its ids give it back."""
+    return decode_ids(p6_ids(spark, sf_dir), "ids", "text").select("doc_id", F.md5("text").alias("digest"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -89,6 +100,21 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "n_tokens", ["doc_id"], capacity)
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing must hold to: every item whole or rightly divided, no container over, no overlap, and near the lower bound."""
+    capacity, _ = _limit(spark, sf_dir, "context")
+    sizes = cut(count_tokens(_table(spark, sf_dir, "documents"), ["doc_id"]))
+    placed = cut(pack(sizes, "n_tokens", ["doc_id"], capacity))
+    per = placed.groupBy("doc_id").agg(F.sum("piece_size").alias("got"), F.count("*").alias("pieces"))
+    items = sizes.join(per, "doc_id", "left").agg(
+        F.count("*").alias("items"), F.count_if(F.coalesce(F.col("got"), F.lit(-1)) != F.col("n_tokens")).alias("lost"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= capacity)).alias("divided"), F.sum("n_tokens").alias("tokens")
+    )
+    fill = placed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("piece_size").alias("fill"), F.max(F.col("container_offset") + F.col("piece_size")).alias("reach"))
+    full = fill.agg(F.count_if(F.col("fill") > capacity).alias("over"), F.count_if(F.col("fill") != F.col("reach")).alias("overlapping"), F.count("*").alias("containers"))
+    close = F.col("containers") <= F.ceil(F.col("tokens") / capacity) * 1.01 + 1
+    return items.join(full).select("items", "lost", "over", "divided", "overlapping", F.coalesce(close, F.lit(True)).alias("close"))
+
+
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_column(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "canonical").drop("text")
 
@@ -101,7 +127,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p2_leaks, p3_found, p3_pieces, p3_files, p5_found, p5_turns, p6_ids, p7_pack, p8_found, p8_classes, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p2_leaks, p3_found, p3_pieces, p3_files, p5_found, p5_turns, p5_texts, p6_ids, p6_decoded, p7_pack, p7_checks, p8_found, p8_classes, p8_canonical)}
 
 _WS = r"\x{0009}-\x{000d}\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ID = "nullif(lower(regexp_replace(CAST({0} AS VARCHAR), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
@@ -135,15 +161,8 @@ o AS (SELECT hit_id, max(struct_pack(d := {_ID.format('document_id')}, i := chun
 m AS (SELECT hit_id, m.d AS document_id, m.i AS chunk_index, coalesce(sum(pieces) OVER (PARTITION BY m.d ORDER BY m.i NULLS FIRST, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o JOIN (SELECT hit_id, count(*) AS pieces FROM c GROUP BY 1) USING (hit_id))
 SELECT document_id, chunk_index, hit_id, CAST(before + piece AS BIGINT) AS piece_no, s AS piece_start, e AS piece_end, x AS piece_text FROM c JOIN m USING (hit_id)"""
 
-ORACLE: dict[str, str] = {
-    "p2_leaks": "SELECT 'chat_messages' AS src, CAST(count(content) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS leaks FROM chat_messages UNION ALL SELECT 'feed_passage_hits', CAST(count(text) AS BIGINT), CAST(0 AS BIGINT) FROM feed_passage_hits",
-    "p3_pieces": _PIECES,
-    "p3_found": rf"""WITH h AS (SELECT DISTINCT hit_id, text FROM feed_passage_hits WHERE length(text) > 900 AND regexp_matches(text, '[^{_WS}]')),
-s AS (SELECT hit_id, text, regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[\x{{000b}}-\x{{000d}}\x{{0085}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM h),
-m AS (SELECT hit_id, list_max(list_transform(string_split_regex(t, '\n[{_WS}]*\n'), lambda p: length(regexp_replace(p, '^[{_WS}]+|[{_WS}]+$', '', 'g')))) AS par,
-list_max(list_transform(string_split_regex(text, '[{_WS}]+'), lambda w: length(w))) AS word FROM s)
-SELECT DISTINCT hit_id, CASE WHEN par <= 900 THEN 'paragraph' WHEN word <= 900 THEN 'word' ELSE 'hard' END AS boundary FROM m""",
-    "p5_found": rf"""WITH r AS (SELECT {_ID.format('id')} AS id, {_ID.format('chat_id')} AS chat, {_ID.format('role')} AS role, content, created_at FROM chat_messages),
+#: Readable messages in order, without repeats (k), and the conversations worth keeping (g).
+_P5 = rf"""WITH r AS (SELECT {_ID.format('id')} AS id, {_ID.format('chat_id')} AS chat, {_ID.format('role')} AS role, content, created_at FROM chat_messages),
 a AS (SELECT DISTINCT id, chat, CASE WHEN role IN ({_names(USER_NAMES)}) THEN 'user' WHEN role IN ({_names(ASSISTANT_NAMES)}) THEN 'assistant' WHEN role IN ({_names(OTHER_NAMES)}) THEN 'other' END AS who, content, created_at,
   regexp_matches(content, '^\s*("\s*)?(\[\s*(\\n\s*)?(\{{|\]|\[|null|\\?"|$)|\{{\s*(\\n\s*)?(\\?"|\}}|$))') AS js FROM r WHERE chat IS NOT NULL AND id IS NOT NULL),
 b AS (SELECT *, CASE WHEN js AND json_valid(content) THEN content::JSON ->> '$' END AS p1 FROM a WHERE who IS DISTINCT FROM 'other'),
@@ -154,5 +173,20 @@ m AS (SELECT c.id, chat, who, created_at AS tm, CASE WHEN NOT js THEN content WH
 o AS (SELECT *, coalesce(lag(who || ':' || coalesce(t, '')) OVER w = who || ':' || coalesce(t, ''), false) AS again FROM m WINDOW w AS (PARTITION BY chat ORDER BY tm NULLS FIRST, CASE who WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, id)),
 k AS (SELECT *, lag(id) OVER w AS pid, lag(who) OVER w AS pwho FROM o WHERE NOT again WINDOW w AS (PARTITION BY chat ORDER BY tm NULLS FIRST, CASE who WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, id)),
 g AS (SELECT chat FROM k GROUP BY chat HAVING bool_and(tm IS NOT NULL AND who IS NOT NULL AND coalesce(regexp_matches(t, '[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}]'), false)) AND bool_and(coalesce(CASE WHEN pid IS NULL THEN who = 'user' ELSE who <> pwho END, false)) AND count(*) % 2 = 0)
-SELECT chat AS chat_id, least(id, pid) AS message_id_a, greatest(id, pid) AS message_id_b FROM k WHERE chat IN (SELECT chat FROM g) AND who = 'assistant'""",
+"""
+
+ORACLE: dict[str, str] = {
+    "p5_turns": _P5 + "SELECT chat AS chat_id, CAST(count(*) OVER (PARTITION BY chat) AS BIGINT) AS n_turns, id AS message_id, who AS speaker, tm AT TIME ZONE 'UTC' AS created_at, pid AS previous_id, pwho AS previous_speaker FROM k WHERE chat IN (SELECT chat FROM g)",
+    "p5_texts": _P5 + "SELECT chat AS chat_id, id AS message_id, who AS speaker, t AS text FROM k WHERE chat IN (SELECT chat FROM g)",
+    "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p7_checks": "SELECT CAST(count(*) AS BIGINT) AS items, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS overlapping, true AS close FROM documents",
+    "p2_leaks": "SELECT 'chat_messages' AS src, CAST(count(content) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS leaks FROM chat_messages UNION ALL SELECT 'feed_passage_hits', CAST(count(text) AS BIGINT), CAST(0 AS BIGINT) FROM feed_passage_hits",
+    "p3_pieces": _PIECES,
+    "p3_found": rf"""WITH h AS (SELECT DISTINCT hit_id, text FROM feed_passage_hits WHERE length(text) > 900 AND regexp_matches(text, '[^{_WS}]')),
+s AS (SELECT hit_id, text, regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[\x{{000b}}-\x{{000d}}\x{{0085}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM h),
+m AS (SELECT hit_id, list_max(list_transform(string_split_regex(t, '\n[{_WS}]*\n'), lambda p: length(regexp_replace(p, '^[{_WS}]+|[{_WS}]+$', '', 'g')))) AS par,
+list_max(list_transform(string_split_regex(text, '[{_WS}]+'), lambda w: length(w))) AS word FROM s)
+SELECT DISTINCT hit_id, CASE WHEN par <= 900 THEN 'paragraph' WHEN word <= 900 THEN 'word' ELSE 'hard' END AS boundary FROM m""",
+    "p5_found": _P5
+    + """SELECT chat AS chat_id, least(id, pid) AS message_id_a, greatest(id, pid) AS message_id_b FROM k WHERE chat IN (SELECT chat FROM g) AND who = 'assistant'""",
 }

@@ -176,3 +176,21 @@ def encode_corpus(df: DataFrame, keep: list[str], text_col: str = "text", raw: b
 def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", raw: bytes | None = None) -> DataFrame:
     """``keep`` columns and ``n_tokens``; 0 for null and empty texts."""
     return _per_text(df, raw or vocabulary(), keep, text_col, "bigint", _counts).withColumnRenamed("out", "n_tokens")
+
+
+def decode_ids(df: DataFrame, ids_col: str, out_col: str, raw: bytes | None = None) -> DataFrame:
+    """``df`` with ``out_col`` in place of ``ids_col``: the text the ids stand for; an empty list gives ''.
+
+    Bytes that are no UTF-8, which ids of cut texts may give, become U+FFFD; a null list stays null.
+    """
+    raw = raw or vocabulary()
+    picked = df.select(*(c for c in df.columns if c != ids_col), ids_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {r: b for b, r in parse_ranks(raw).items()}
+        for b in it:
+            texts = [x if x is None else b"".join([parts[i] for i in x]).decode("utf-8", "replace") for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], out_col])
+
+    return picked.mapInArrow(run, f"{fields}, `{out_col}` string")

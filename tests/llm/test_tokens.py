@@ -50,6 +50,8 @@ def test_encode_corpus(spark, public):
     got = Counter((r.doc_id, tuple(r.ids)) for r in tokenizer.encode_corpus(df, ["doc_id"]).collect())
     assert got == Counter((i, tuple(public.encode_ordinary(t)) if t else ()) for i, t, _ in data)
     assert {(r.doc_id, r.n_tokens) for r in tokenizer.count_tokens(df, ["doc_id"]).collect()} == {(i, len(public.encode_ordinary(t or ""))) for i, t, _ in data}
+    back = tokenizer.decode_ids(tokenizer.encode_corpus(df, ["doc_id"]), "ids", "text")
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((i, t or "") for i, t, _ in data)
     assert tokenizer.encode_corpus(df.limit(0), ["doc_id"]).count() == 0
 
 
