@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketspark.session import spread
+
 LIMIT, LEAST, FULL = 900, 200, 720
 
 CHUNK = "chunk_index int, page_no int, content string, source_start int, source_end int"
@@ -128,7 +130,7 @@ def legal_chunks(text: str) -> Iterator[tuple[int, int | None, str, int, int]]:
 def chunk_documents(df: DataFrame, id_col: str, text_col: str, legal: bool = False) -> DataFrame:
     """One row a chunk; null and blank texts have none.  Rows are independent."""
     cut = legal_chunks if legal else chunks
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL"))
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", *(p.split()[0] for p in CHUNK.split(", "))]
 

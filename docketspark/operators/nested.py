@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsontext import read_json
+from docketspark.session import spread
 
 OCCURRENCE = "src string, row_id string, occ_no int, parent_no int, path string, name string, ordinals array<int>, in_list boolean, object_id string"
 OBJECT = "object_id string, body string"
@@ -195,5 +196,5 @@ def nested_tables(df: DataFrame, src: str, id_col: str, json_col: str, shape: Sh
     Repeated source rows give repeated occurrences (the caller takes distinct rows where the
     source may repeat), never repeated objects.  Other columns are not read.
     """
-    rows = df.select(F.lit(src).alias("src"), clean_id(id_col).alias("row_id"), F.col(json_col).alias("_json")).where("_json IS NOT NULL")
+    rows = spread(df.select(F.lit(src).alias("src"), clean_id(id_col).alias("row_id"), F.col(json_col).alias("_json")).where("_json IS NOT NULL"))
     return NestedTables(rows, shape)

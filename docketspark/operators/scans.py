@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.functions.text import ZERO_WIDTH, mixed_script_words, repetition_ratio
+from docketspark.session import spread
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,7 @@ class Signal:
     step: int = 0
     cap: int = 100
     many: int | None = None
+    gate: tuple[str, ...] = ()  # the lower-case text holds one of these wherever the pattern matches
 
 
 _NO_LETTER_LEFT, _NO_LETTER_RIGHT = r"(?<!\p{L})", r"(?!\p{L})"
@@ -35,15 +37,15 @@ _NO_LETTER_LEFT, _NO_LETTER_RIGHT = r"(?<!\p{L})", r"(?!\p{L})"
 # Patterns, severities, confidences, weights and thresholds are fixed values of the scans.
 
 ADVERSARIAL: tuple[Signal, ...] = tuple(
-    Signal(technique, "adversarial", pattern, severity, 80, 5, 98)
-    for technique, severity, pattern in (
-        ("prompt-injection-pl", "high", rf"(?iu){_NO_LETTER_LEFT}(?:zignoruj|pomi[nń]|zapomnij|odrzu[cć])\s+(?:wszystkie\s+)?(?:poprzednie|powy[zż]sze|wcze[sś]niejsze|dotychczasowe)\s+(?:instrukcje|polecenia|wytyczne|ustalenia|zasady)"),
-        ("prompt-injection-pl-newrole", "high", rf"(?iu){_NO_LETTER_LEFT}(?:dzia[lł]aj\s+(?:jako|jak)|udawaj,?\s+[zż]e\s+jeste[sś]|wciel\s+si[eę]\s+w){_NO_LETTER_RIGHT}"),
-        ("prompt-injection-pl-reveal", "high", rf"(?iu){_NO_LETTER_LEFT}(?:ujawnij|poka[zż]|wypisz|wyswietl|zdrad[zź])\s+(?:sw[oó]j\s+)?(?:prompt\s+systemowy|instrukcje\s+systemowe|polecenie\s+systemowe|konfiguracj[eę]|ustawienia\s+systemowe)"),
-        ("jailbreak-pl-mode", "high", rf"(?iu){_NO_LETTER_LEFT}(?:tryb\s+(?:dewelopera|deweloperski|bez\s+ogranicze[nń]|nieocenzurowany|swobodny)|bez\s+(?:filtr[oó]w|cenzury|ogranicze[nń])|pomi[nń]\s+(?:zabezpieczenia|filtry|zasady\s+bezpiecze[nń]stwa)){_NO_LETTER_RIGHT}"),
-        ("prompt-injection-en", "high", r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|above|prior|earlier)\s+(?:instructions|prompts|commands|rules)"),
-        ("prompt-injection-en-marker", "medium", r"(?i)\[(?:SYSTEM|ADMIN|INST|/INST)\]|<\|(?:system|im_start|im_end)\|>|###\s*system"),
-        ("jailbreak-en-known", "high", r"(?i)\b(?:DAN|STAN|DUDE|AIM)\b|do\s+anything\s+now|developer\s+mode|jailbreak"),
+    Signal(technique, "adversarial", pattern, severity, 80, 5, 98, gate=tuple(gate.split()))
+    for technique, severity, gate, pattern in (
+        ("prompt-injection-pl", "high", "zignoruj pomi zapomnij odrzu", rf"(?iu){_NO_LETTER_LEFT}(?:zignoruj|pomi[nń]|zapomnij|odrzu[cć])\s+(?:wszystkie\s+)?(?:poprzednie|powy[zż]sze|wcze[sś]niejsze|dotychczasowe)\s+(?:instrukcje|polecenia|wytyczne|ustalenia|zasady)"),
+        ("prompt-injection-pl-newrole", "high", "dzia udawaj wciel", rf"(?iu){_NO_LETTER_LEFT}(?:dzia[lł]aj\s+(?:jako|jak)|udawaj,?\s+[zż]e\s+jeste[sś]|wciel\s+si[eę]\s+w){_NO_LETTER_RIGHT}"),
+        ("prompt-injection-pl-reveal", "high", "ujawnij poka wypisz wyswietl zdrad", rf"(?iu){_NO_LETTER_LEFT}(?:ujawnij|poka[zż]|wypisz|wyswietl|zdrad[zź])\s+(?:sw[oó]j\s+)?(?:prompt\s+systemowy|instrukcje\s+systemowe|polecenie\s+systemowe|konfiguracj[eę]|ustawienia\s+systemowe)"),
+        ("jailbreak-pl-mode", "high", "tryb bez pomi", rf"(?iu){_NO_LETTER_LEFT}(?:tryb\s+(?:dewelopera|deweloperski|bez\s+ogranicze[nń]|nieocenzurowany|swobodny)|bez\s+(?:filtr[oó]w|cenzury|ogranicze[nń])|pomi[nń]\s+(?:zabezpieczenia|filtry|zasady\s+bezpiecze[nń]stwa)){_NO_LETTER_RIGHT}"),
+        ("prompt-injection-en", "high", "ignore disregard forget", r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|above|prior|earlier)\s+(?:instructions|prompts|commands|rules)"),
+        ("prompt-injection-en-marker", "medium", "[ <| ###", r"(?i)\[(?:SYSTEM|ADMIN|INST|/INST)\]|<\|(?:system|im_start|im_end)\|>|###\s*system"),
+        ("jailbreak-en-known", "high", "dan stan dude aim anything developer jailbreak", r"(?i)\b(?:DAN|STAN|DUDE|AIM)\b|do\s+anything\s+now|developer\s+mode|jailbreak"),
     )
 )
 
@@ -123,17 +125,37 @@ def base64_readable(c: Column) -> Column:
     return F.coalesce((F.length(text) > 10) & text.rlike(r"[a-zA-Ząćęłńóśźż]{4,}"), F.lit(False))
 
 
-def findings(c: Column) -> Column:
+def _counts(c: Column) -> Column:
+    """How often each signal occurs, as one array: the only part that reads the text."""
+    low = F.lower(c)
+
+    def gated(s: Signal) -> Column:
+        n = F.regexp_count(c, F.lit(_java(s.pattern)))
+        if not s.gate:
+            return n
+        some = low.contains(s.gate[0])
+        for g in s.gate[1:]:
+            some = some | low.contains(g)
+        return F.when(some, n).otherwise(0)
+
+    extra = (mixed_script_words(c), base64_readable(c).cast("int"), F.coalesce((repetition_ratio(c) > 0.3).cast("int"), F.lit(0)))
+    counts = F.array(*(F.coalesce(x, F.lit(0)).cast("long") for x in (*map(gated, (*ADVERSARIAL, *EVASION)), *extra)))
+    # not deterministic on paper, so that the planner neither repeats the patterns for each use of a count nor
+    # moves them into filters on scores and levels
+    return F.when(F.monotonically_increasing_id() >= 0, counts)
+
+
+def _findings(counts: Column) -> Column:
     """Array of struct(technique, category, severity, confidence, n) of one text, in a fixed order."""
     out = []
-    for s in (*ADVERSARIAL, *EVASION):
-        n = F.regexp_count(c, F.lit(_java(s.pattern)))
+    for i, s in enumerate((*ADVERSARIAL, *EVASION)):
+        n = counts[i]
         severity = F.when(n > s.many, "high").otherwise(s.severity) if s.many else F.lit(s.severity)
         out.append(_finding(s.technique, s.category, severity, F.least(F.lit(s.base) + s.step * n, F.lit(s.cap)) if s.step else F.lit(s.base), n))
-    words = mixed_script_words(c)
+    words, encoded, stuffed = (counts[len(out) + k] for k in range(3))
     out.append(_finding("homoglyph-mixed-script", "obfuscation", F.when(words > 3, "high").otherwise("medium"), F.least(60 + 10 * words, F.lit(95)), words))
-    out.append(_finding("base64-readable", "obfuscation", F.lit("medium"), F.lit(65), base64_readable(c).cast("int")))
-    out.append(_finding("context-stuffing", "adversarial", F.lit("medium"), F.lit(75), F.coalesce((repetition_ratio(c) > 0.3).cast("int"), F.lit(0))))
+    out.append(_finding("base64-readable", "obfuscation", F.lit("medium"), F.lit(65), encoded))
+    out.append(_finding("context-stuffing", "adversarial", F.lit("medium"), F.lit(75), stuffed))
     return F.filter(F.array(*out), lambda x: x["n"] > 0)
 
 
@@ -161,9 +183,10 @@ def action(level: Column, actions: dict[str, str] = ACTIONS) -> Column:
 
 def scan(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with ``findings``, ``score``, ``level`` and ``action``; null texts have no findings."""
-    found = F.coalesce(findings(F.col(text_col)), F.filter(F.array(_finding("", "", F.lit(""), F.lit(0), F.lit(0))), lambda x: x["n"] > 0))
+    counted = spread(df).withColumn("_counts", _counts(F.col(text_col)))
     score, level = risk(F.col("findings"))
-    return df.withColumn("findings", found).withColumns({"score": score, "level": level}).withColumn("action", action(F.col("level")))
+    found = counted.withColumn("findings", _findings(F.col("_counts"))).drop("_counts")
+    return found.withColumns({"score": score, "level": level}).withColumn("action", action(F.col("level")))
 
 
 def match_patterns(df: DataFrame, text_col: str, patterns: tuple[tuple[str, str, str], ...]) -> DataFrame:
