@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketspark.functions.text import stem, terms
-from docketspark.session import cut
+from docketspark.session import cut, shuffle_parallelism, spread
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -20,15 +20,27 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy(stem(F.col("w")).alias("term"), "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def query_postings(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """w, id, tf and the length of the text in tokens, written once: everything a search asks of the texts is read from it."""
+    t = spread(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", terms(F.col("text")).alias("ts"))
+    each = t.select("id", F.size("ts").alias("len"), F.explode("ts").alias("w"))
+    return cut(each.groupBy("w", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+
+
+def corpus_size(tokens: DataFrame) -> tuple[int, float]:
+    """(texts with tokens, their mean length)."""
+    n, mean = tokens.groupBy("id").agg(F.first("len").alias("len")).agg(F.count("*"), F.avg("len")).first()
+    return n, mean or 0.0
+
+
+def query_postings(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """As postings(), for the query terms of ``asked`` (w: tokens): ``stem*`` counts all tokens that start so, the others are equal.
 
     Prefixes meet the vocabulary, not the texts, by their first characters (a stem has five or more).
+    ``tokens`` is what token_counts() gives, if it is there already.
     """
-    t = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("ts"))
-    each = t.select("id", F.size("ts").alias("len"), F.explode("ts").alias("w"))
-    tokens = each.groupBy("w", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    vocabulary = each.select("w").distinct()
+    tokens = token_counts(docs, id_col, text_col) if tokens is None else tokens
+    vocabulary = tokens.select("w").distinct()
     terms_ = asked.select(query_term(F.col("w")).alias("term")).distinct()
     starts = terms_.where(F.col("term").endswith("*")).select("term", F.expr("left(term, length(term) - 1)").alias("start"))
     begun = vocabulary.withColumn("five", F.substring("w", 1, 5)).join(starts.withColumn("five", F.substring("start", 1, 5)), "five").where(F.col("w").startswith(F.col("start")))
@@ -67,6 +79,7 @@ def bm25_top(post: DataFrame, queries: DataFrame, n_docs: int, mean_len: float,
     no pair of rows.  Terms travel as numbers.
     """
     q = queries.select("query_id", "term").distinct()
+    row_block = max(256, min(row_block, -(-n_docs // (2 * shuffle_parallelism(post.sparkSession)))))  # blocks for every core
     codes = cut(q.select("term").distinct().coalesce(1).select("term", F.monotonically_increasing_id().alias("t")))
     n_queries = q.select("query_id").distinct().count()
     rb, qb = max(1, -(-n_docs // row_block)), max(1, -(-n_queries // query_block))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.ids import clean_id
 from docketspark.functions.jsoncols import json_text
-from docketspark.functions.text import normalize_quote, terms
+from docketspark.functions.text import normalize_quote
 from docketspark.operators import entities, graph, grounding, rerank, retrieval, spans
 from docketspark.plans import entity_sql
 from docketspark.plans.registry import Registry, long, small_list, table
@@ -78,9 +78,10 @@ b AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITIO
 def _bm25_top(spark, d, k):
     """Queries are the whole texts of every fiftieth document, against all documents."""
     docs = table(spark, d, "documents")
-    n, mean = docs.where("text IS NOT NULL").select(F.size(terms(F.col("text"))).alias("len")).where("len > 0").agg(F.count("*"), F.avg("len")).first()
-    asked = docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("w"))
-    post = retrieval.query_postings(docs, "doc_id", "text", asked)
+    tokens = retrieval.token_counts(docs, "doc_id", "text")
+    n, mean = retrieval.corpus_size(tokens)
+    asked = tokens.where("id % 50 = 0").select(F.col("id").alias("query_id"), "w")
+    post = retrieval.query_postings(docs, "doc_id", "text", asked, tokens)
     return retrieval.bm25_top(post, asked.select("query_id", retrieval.query_term(F.col("w")).alias("term")), n, mean, k)
 
 
