@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -93,14 +94,19 @@ def shuffle_parallelism(spark: SparkSession) -> int:
     )
 
 
+_SHUFFLES = re.compile(r"\b(?:Aggregate|Join|Sort|Window|Distinct|Deduplicate|Intersect|Except|Repartition\w*|Rebalance\w*|GlobalLimit|FlatMap\w*Groups\w*|CoGroup\w*)\b")
+
+
 def spread(df: DataFrame, least: int = 32 << 10) -> DataFrame:
     """``df`` in as many partitions as there are cores, where its files give fewer; for scans before costly row-wise work.
 
     A small file of one row group is one task whatever its work.  Frames of enough partitions, as all large
-    tables are, stay as they are; no partition is made for less than ``least`` bytes of input.  Not for frames that shuffle:
-    counting their partitions would run them.
+    tables are, stay as they are; no partition is made for less than ``least`` bytes of input.  Frames that shuffle
+    are left alone, as counting their partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     run = df._jdf.queryExecution()
+    if _SHUFFLES.search(run.optimizedPlan().toString()):
+        return df
     want = min(cores, int(str(run.optimizedPlan().stats().sizeInBytes())) // least)
     return df.repartition(want) if want > 1 and run.toRdd().getNumPartitions() < want else df
