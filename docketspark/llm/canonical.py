@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketspark.session import cut
+from docketspark.session import cut, spread
 
 #: Letters of other scripts and the letters they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜӀѴаеорсухѕіјһԁԛԝӏүѵ"
@@ -134,12 +134,12 @@ def canonical_column(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
 
     if out_col in df.columns:
         raise ValueError(f"{out_col} is there already")
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    return spread(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def look_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, look, raw): digests of the canonical and of the given text; texts with nothing to see are left out."""
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

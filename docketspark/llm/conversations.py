@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docketspark.functions.ids import clean_id
 from docketspark.llm.messages import spoken_text
 from docketspark.operators.ordered import line_up, with_lag, with_lags
-from docketspark.session import cut
+from docketspark.session import cut, spread
 
 #: The spellings of roles, in clean form.
 USER_NAMES = ["user", "human", "uzytkownik", "użytkownik", "klient", "client", "customer"]
@@ -68,7 +68,7 @@ def fold_events(df: DataFrame, version: str | None = None, op: str | None = None
         (F.col(version) if version else F.lit(0)).alias("_v"), (F.col(op) if op else F.lit("create")).cast("string").alias("_op"), F.col("content"),
     ).where("chat_id IS NOT NULL AND message_id IS NOT NULL AND speaker IS DISTINCT FROM 'other'")
     fields = f"message_id string, chat_id string, speaker string, created_at timestamp, _v {kind}, _op string, _same binary, whole boolean"
-    last = rows.mapInArrow(_digests, fields).groupBy("message_id").agg(
+    last = spread(rows).mapInArrow(_digests, fields).groupBy("message_id").agg(
         F.max(F.struct("_v", "_same", "whole", "speaker", "chat_id", "_op")).alias("m"), F.min("created_at").alias("created_at")
     )
     return last.where("m._op IS DISTINCT FROM 'delete'").select("message_id", "m.chat_id", "m.speaker", "created_at", "m._same", "m.whole")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from docketspark.functions.ids import clean_id
 from docketspark.llm.messages import decode
 from docketspark.llm.pii_weights import WEIGHTS
+from docketspark.session import spread
 
 # ---------------------------------------------------------------- fixed values
 
@@ -707,7 +708,7 @@ def find_pii(df: DataFrame, src: str, id_col: str, text_col: str, is_message: bo
     Null and blank texts have none.  Rows that repeat an id and text give the same findings; the
     result is distinct.
     """
-    rows = df.select(clean_id(id_col).alias("row_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    rows = spread(df.select(clean_id(id_col).alias("row_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL"))
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -725,7 +726,7 @@ def find_pii(df: DataFrame, src: str, id_col: str, text_col: str, is_message: bo
 
 def mask_pii(df: DataFrame, id_col: str, text_col: str, out_col: str, is_message: bool = False) -> DataFrame:
     """(id, out_col): the text of each row with its findings replaced; null stays null."""
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

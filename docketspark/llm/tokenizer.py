@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketspark.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 8 << 20
@@ -147,7 +149,7 @@ def _per_text(df: DataFrame, raw: bytes, keep: list[str], text_col: str, kind: s
             texts = b.column(b.num_columns - 1).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], make(enc, texts)], [*keep, "out"])
 
-    picked = df.select(*keep, F.col(text_col).alias("_text"))
+    picked = spread(df.select(*keep, F.col(text_col).alias("_text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(run, f"{fields}, out {kind}")
 
