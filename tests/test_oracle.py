@@ -21,7 +21,10 @@ def test_twin(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, DIR).count() >= 0
+    """Queries SQL cannot express give rows, the same ones each time, and each once unless they answer row by row."""
+    rows = [sorted(map(repr, entry.queries()[name](spark, DIR).collect())) for _ in range(2)]
+    assert rows[0] == rows[1] and (rows[0] or name == "frame_similarity")  # no two of so few documents share a basis
+    assert len(set(rows[0])) == len(rows[0]) or name == "p2_masked"
 
 
 def test_entry(spark):
