@@ -141,19 +141,24 @@ def boundary_kind(s: Summary, limit: int) -> str:
 # ---------------------------------------------------------------- cutting
 
 #: Line ends, what ends a sentence, and what may close after it.
-_ENDS = np.array([0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029], dtype=np.uint32)
-_STOPS = np.array([ord(c) for c in ".!?…;:"], dtype=np.uint32)
-_CLOSERS = np.array([ord(c) for c in "'\"”»)]"], dtype=np.uint32)
+_ENDS = "\n\x0b\x0c\r\x85\u2028\u2029"
+_STOPS = ".!?…;:"
+_CLOSERS = "'\"”»)]"
 _LOOK = 8  # characters looked at before a run of white space, and after the room's end
+_IS_SPACE, _IS_MARK, _IS_END, _IS_CLOSER, _IS_STOP = 1, 2, 4, 8, 16
 
 
 @lru_cache(1)
 def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """(is white space, is a combining mark or joiner) by code point."""
-    space, mark = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
-    space[[ord(c) for c in SPACE]] = True
-    mark[[c for c in range(0x300, 0x110000) if unicodedata.category(chr(c))[0] == "M"] + [0x200D]] = True
-    return space, mark
+    """Bits of every code point, and of every byte of UTF-8, where continuation bytes are marks."""
+    points = np.zeros(0x110000, dtype=np.uint8)
+    for bit, chars in ((_IS_SPACE, SPACE), (_IS_END, _ENDS), (_IS_CLOSER, _CLOSERS), (_IS_STOP, _STOPS)):
+        points[[ord(c) for c in chars]] |= bit
+    points[[c for c in range(0x300, 0x110000) if unicodedata.category(chr(c))[0] == "M"] + [0x200D]] |= _IS_MARK
+    octets = points[:256].copy()
+    octets[0x80:] = 0
+    octets[0x80:0xC0] = _IS_MARK
+    return points, octets
 
 
 def text_codes(text: str) -> np.ndarray:
@@ -175,20 +180,16 @@ class Boundaries:
             raise ValueError("the overlap must be below the limit")
         self.base, self.total, self.limit, self.overlap = base, total, limit, overlap
         n = self.n = len(codes)
-        if codes.dtype == np.uint8:
-            space, mark = _classes()[0][:256][codes] & (codes < 0x80), (codes & 0xC0) == 0x80
-            ends = np.isin(codes, _ENDS[:4])
-        else:
-            space, mark = (table[codes] for table in _classes())
-            ends = np.isin(codes, _ENDS)
+        bits = _classes()[codes.dtype == np.uint8][codes]
+        space, mark, ends = ((bits & k) != 0 for k in (_IS_SPACE, _IS_MARK, _IS_END))
         ends[1:] &= ~((codes[1:] == 0x0A) & (codes[:-1] == 0x0D))
         line_ends = np.concatenate([[0], np.cumsum(ends)])
         at = np.arange(n + 1)
         edge = np.diff(np.concatenate([[False], space, [False]]).astype(np.int8))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         # where a sentence ends: punctuation, then closers only
-        solid = np.maximum.accumulate(np.where(np.isin(codes, _CLOSERS), -1, at[:-1])) if n else at[:0]
-        stop = np.isin(codes, _STOPS)
+        solid = np.maximum.accumulate(np.where(bits & _IS_CLOSER, -1, at[:-1])) if n else at[:0]
+        stop = (bits & _IS_STOP) != 0
 
         def sentence(q: np.ndarray) -> np.ndarray:
             j = solid[np.maximum(q - 1, 0)]
@@ -221,38 +222,64 @@ class Boundaries:
         return np.where(start + self.limit >= self.total, self.total, cut_at + self.base)
 
 
-#: A boundary table's chains: of the starts from entry[i] on (up to entry[i + 1]), where the chain of
-#: pieces leaves the range and how many pieces it has on the way.
-Chains = tuple[list[int], list[int], list[int]]
+    def end(self, start: int) -> int:
+        """ends() of one start."""
+        if start + self.limit >= self.total:
+            return self.total
+        s = start - self.base
+        z, low, half = s + self.limit, s + self.overlap, s + max(self.overlap, self.limit // 2)
+        before = self.before[z]
+        for k, least in ((2, half), (1, half), (0, low)):
+            p = z if before >= k else self.latest[k][z]
+            if p > least:
+                return int(p) + self.base
+        return max(int(self.solid[z]), low + 1) + self.base
 
+    def next(self, start: int) -> int:
+        e = self.end(start)
+        return e if e >= self.total else e - self.overlap
 
-def range_ends(window: np.ndarray, base: int, offset: int, stop: int, total: int, limit: int, overlap: int) -> np.ndarray:
-    """Piece ends for every start in [offset, stop)."""
-    return Boundaries(window, base, total, limit, overlap).ends(np.arange(offset, stop))
 
+#: A boundary table's chains: of the starts from entry[i] on (up to entry[i + 1]), where the chain of
+#: pieces leaves the range and how many pieces it has on the way.
+Chains = tuple[list[int], list[int], list[int]]
 
-def range_chains(ends: np.ndarray, offset: int, stop: int, total: int, limit: int, overlap: int) -> Chains:
-    """Chains for every start that may come first in the range: within ``limit`` of its left edge."""
-    if not total:
-        return [0], [0], [1]
-    leave, n = np.where(ends >= total, total, ends - overlap), np.ones(len(ends), dtype=np.int64)
-    while (inside := leave < stop).any():  # each round doubles the pieces that are skipped at once
-        to = leave[inside] - offset
-        n[inside], leave[inside] = n[inside] + n[to], leave[to]
-    k = 1 if offset == 0 else min(limit, stop - offset)
-    leave, n = leave[:k], n[:k]
-    change = np.flatnonzero(np.concatenate([[True], (leave[1:] != leave[:-1]) | (n[1:] != n[:-1])]))
-    return (change + offset).tolist(), leave[change].tolist(), n[change].tolist()
 
+def range_chains(b: Boundaries | None, offset: int, stop: int, total: int, limit: int, overlap: int) -> Chains:
+    """Chains for every start that may come first in the range: within ``limit`` of its left edge.
 
-def range_pieces(ends: np.ndarray, offset: int, stop: int, total: int, overlap: int, entry: int, first: int) -> Iterator[tuple[int, int, int]]:
+    The first step is made for all of these at once; after it few starts are left, and what two chains share is
+    followed once.  Without boundaries the whole is one piece.
+    """
+    if b is None or not total:
+        return [0], [total], [1]
+    first = np.arange(offset, offset + (1 if offset == 0 else min(limit, stop - offset)))
+    ends = b.ends(first)
+    leave = np.where(ends >= total, total, ends - overlap)
+    memo: dict[int, tuple[int, int]] = {}
+    for p in np.unique(leave).tolist():
+        chain_, q = [], p
+        while q < stop and q not in memo:
+            chain_.append(q)
+            q = b.next(q)
+        out, n = memo.get(q, (q, 0))
+        for q in reversed(chain_):
+            n += 1
+            memo[q] = (out, n)
+        memo.setdefault(p, (p, 0))
+    exits = [memo[p] for p in leave.tolist()]
+    change = [0, *(i for i in range(1, len(exits)) if exits[i] != exits[i - 1])]
+    return [i + offset for i in change], [exits[i][0] for i in change], [exits[i][1] + 1 for i in change]
+
+
+def range_pieces(b: Boundaries | None, stop: int, total: int, overlap: int, entry: int, first: int) -> Iterator[tuple[int, int, int]]:
     """(piece, start, end) of the pieces that start in the range."""
-    if not total:
-        yield 0, 0, 0
+    if b is None or not total:
+        yield 0, 0, total
         return
     p = entry
     while p < stop:
-        e = int(ends[p - offset])
+        e = b.end(p)
         yield first, p, e
         p, first = (e if e >= total else e - overlap), first + 1
 
@@ -264,7 +291,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         return [(0, n)]
     b, out, s = Boundaries(text_codes(text), 0, n, limit, overlap), [], 0
     while True:
-        e = int(b.ends(np.array([s]))[0])
+        e = b.end(s)
         out.append((s, e))
         if e >= n:
             return out
@@ -434,8 +461,8 @@ class SplitPlan:
             for x in at:
                 offset = x["no"] * size
                 stop = min(offset + size, total)
-                ends = cell_ends(text, offset, stop, limit, overlap)
-                for n, s, e in range_pieces(ends, offset, stop, total, overlap, x["entry"], x["first"]):
+                b = cell_boundaries(text, offset, stop, limit, overlap)
+                for n, s, e in range_pieces(b, stop, total, overlap, x["entry"], x["first"]):
                     yield *kept, n, s, e, text[s:e]
 
         def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,13 +474,12 @@ class SplitPlan:
         return rows.mapInArrow(run, schema)
 
 
-def cell_ends(text: str, offset: int, stop: int, limit: int, overlap: int) -> np.ndarray:
-    """Piece ends for the starts of one range of a cell, read from its window."""
-    total = len(text)
-    if total <= limit:
-        return np.full(max(stop - offset, 1), total)
+def cell_boundaries(text: str, offset: int, stop: int, limit: int, overlap: int) -> Boundaries | None:
+    """The boundary table of one range of a cell, read from its window; null where the text is one piece."""
+    if len(text) <= limit:
+        return None
     base = max(0, offset - limit - _LOOK)
-    return range_ends(text_codes(text[base : stop + limit + _LOOK]), base, offset, stop, total, limit, overlap)
+    return Boundaries(text_codes(text[base : stop + limit + _LOOK]), base, len(text), limit, overlap)
 
 
 def plan_split(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, size: int = CELL_RANGE) -> SplitPlan:
@@ -462,8 +488,8 @@ def plan_split(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: i
     rows = _cells(df, id_col, text_col)
 
     def of_range(text: str, no: int, offset: int, stop: int) -> tuple:
-        ends = cell_ends(text, offset, stop, limit, overlap)
-        return no, max(stop, 1), *range_chains(ends, offset, stop, len(text), limit, overlap)
+        b = cell_boundaries(text, offset, stop, limit, overlap)
+        return no, max(stop, 1), *range_chains(b, offset, stop, len(text), limit, overlap)
 
     tables = cut(_range_rows(rows, size, of_range, CHAINS))
     return SplitPlan(rows, stitch_chains(tables, _most(tables)), limit, overlap, size)
@@ -516,20 +542,20 @@ def split_files(spark, paths: list[str], limit: int, overlap: int, size: int = F
     wide = 16 * shuffle_parallelism(spark)
     each = files.withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
 
-    def window(path: str, no: int, total: int) -> tuple[np.ndarray, int, int, int, np.ndarray]:
-        """(bytes, base, offset, stop, piece ends) of one range."""
+    def window(path: str, no: int, total: int) -> tuple[np.ndarray, int, int, int, Boundaries | None]:
+        """(bytes, base, offset, stop, boundary table) of one range."""
         offset = no * size
         stop = min(offset + size, total)
         base = max(0, offset - limit - _LOOK)
         with _open(path) as f:
             raw = np.frombuffer(f.read_at(min(stop + limit + _LOOK, total) - base, base), dtype=np.uint8)
-        return raw, base, offset, stop, range_ends(raw, base, offset, stop, total, limit, overlap) if total else np.zeros(1, dtype=np.int64)
+        return raw, base, offset, stop, Boundaries(raw, base, total, limit, overlap) if total > limit else None
 
     def tables(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, total, no in pdf.itertuples(index=False):
-                _, _, offset, stop, ends = window(path, no, total)
-                e, leave, n = range_chains(ends, offset, stop, total, limit, overlap)
+                _, _, offset, stop, b = window(path, no, total)
+                e, leave, n = range_chains(b, offset, stop, total, limit, overlap)
                 yield pd.DataFrame({"_key": [path], "no": [no], "stop": [max(stop, 1)], "entry": [e], "leave": [leave], "n": [n]})
 
     found = cut(each.repartition(wide, "_key", "no").mapInPandas(tables, f"_key string, {CHAINS}"))
@@ -538,12 +564,12 @@ def split_files(spark, paths: list[str], limit: int, overlap: int, size: int = F
     def emit(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, total, no, entry, first in pdf.itertuples(index=False):
-                raw, base, offset, stop, ends = window(path, no, total)
-                out = []
-                for n, s, e in range_pieces(ends, offset, stop, total, overlap, entry, first):
-                    piece = raw[s - base : e - base]
-                    skip = next((i for i, b in enumerate(piece[:4]) if b & 0xC0 != 0x80), 0)
-                    out.append((path, n, s + skip, e, piece[skip:].tobytes().decode("utf-8", "replace")))
+                raw, base, _, stop, b = window(path, no, total)
+                out, held = [], raw.tobytes()
+                for n, s, e in range_pieces(b, stop, total, overlap, entry, first):
+                    piece = held[s - base : e - base]
+                    skip = next((i for i, x in enumerate(piece[:4]) if x & 0xC0 != 0x80), 0)
+                    out.append((path, n, s + skip, e, piece[skip:].decode("utf-8", "replace")))
                 yield pd.DataFrame(out, columns=["path", "piece", "byte_start", "byte_end", "piece_text"])
 
     rows = each.join(entries.drop("n"), ["_key", "no"]).select("_key", "total", "no", "entry", "first").repartition(wide, "_key", "no")
