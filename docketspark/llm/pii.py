@@ -673,11 +673,15 @@ def _mask_run(run: list[Literal]) -> list[str]:
 
 def mask_content(content: str, is_message: bool) -> str:
     """Masked text of a message: plain text as a whole, JSON by the strings of message_strings() with its layout kept."""
-    if not is_message or decode(content)[0] != "json":
+    kind, v = decode(content) if is_message else ("plain", None)
+    if kind != "json":
         return mask(content)
-    while (masked := _mask_json(content)) != content:
-        content = masked
-    return masked
+    while any(map(find, message_strings(v))):  # most messages have none, and need no second look at their layout
+        masked = _mask_json(content)
+        if masked == content:
+            break
+        content, v = masked, decode(masked)[1]
+    return content
 
 
 def _mask_json(raw: str) -> str:
