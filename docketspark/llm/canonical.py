@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketspark.session import cut, spread
+from docketspark.session import cut, shuffle_parallelism, spread
 
 #: Letters of other scripts and the letters they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜӀѴаеорсухѕіјһԁԛԝӏүѵ"
@@ -161,12 +161,17 @@ def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document with something to see: id, class_id (smallest id that looks the same), variants, links.
 
     ``variants`` is the number of different texts in the class, ``links`` how many of them differ
-    from this document's.  Only digests are shuffled, folded before the shuffle.
+    from this document's.  Only digests are shuffled, folded before the shuffle.  Documents of a class that
+    holds more than its share of all are not shuffled by class: there are at most 4 x parallelism such classes,
+    and they are broadcast.
     """
     d = cut(look_digests(df, id_col, text_col))
-    per = d.groupBy("look", "raw").agg(F.min(id_col).alias("_m"))
-    cls = per.groupBy("look").agg(F.min("_m").alias("class_id"), F.count("*").alias("variants"))
-    return d.join(cls, "look").select(id_col, "class_id", "variants", (F.col("variants") - 1).alias("links"))
+    share = max(1, d.count() // (4 * shuffle_parallelism(df.sparkSession)))
+    per = d.groupBy("look", "raw").agg(F.min(id_col).alias("_m"), F.count("*").alias("_n"))
+    cls = cut(per.groupBy("look").agg(F.min("_m").alias("class_id"), F.count("*").alias("variants"), F.sum("_n").alias("_n")))
+    hot = F.broadcast(cls.where(F.col("_n") > share))
+    rest = d.join(hot.select("look"), "look", "left_anti").join(cls.where(F.col("_n") <= share), "look")
+    return d.join(hot, "look").unionByName(rest).select(id_col, "class_id", "variants", (F.col("variants") - 1).alias("links"))
 
 
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
