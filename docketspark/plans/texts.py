@@ -175,12 +175,15 @@ def name_slugs(spark, d):
 
 
 @R.add(
-    r"""SELECT n_nationkey, '**' || n_name || '**' || chr(10) || chr(10) || '# N' || n_nationkey || chr(10) || '- a' || chr(10) || '- b & c' AS md FROM nation"""
+    r"""WITH d AS (SELECT doc_id, doc_type, source, regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]+', ' ', 'g'), '^ +| +$', '', 'g') AS body FROM documents WHERE text IS NOT NULL AND doc_type IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id, '## ' || doc_type || chr(10) || body || CASE WHEN body = '' THEN '' ELSE chr(10) END || chr(10) || '- ' || source || chr(10) || '- **' || doc_id || '** & <x>' AS md FROM d"""
 )
 def html_to_markdown(spark, d):
-    page = F.concat(F.lit("<p><strong>"), "n_name", F.lit("</strong></p><h1 id='x'>N"), F.col("n_nationkey"), F.lit("</h1><ul><li>a</li><li>b &amp; c</li></ul>"))
-    md = F.regexp_replace(tx.html_to_markdown(page), r"\n{2,}# ", "\n\n# ")
-    return table(spark, d, "nation").select("n_nationkey", md.alias("md"))
+    """Pages made of every document's words and labels, read back as markdown."""
+    body = F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 ]+", " "), "^ +| +$", "")
+    rows = table(spark, d, "documents").where("text IS NOT NULL AND doc_type IS NOT NULL AND source IS NOT NULL").select("doc_id", "doc_type", "source", body.alias("body"))
+    page = F.concat(F.lit('<html><h2 class="x">'), "doc_type", F.lit("</h2><p>"), "body", F.lit("</p><ul><li>"), "source", F.lit("</li><li><b>"), F.col("doc_id").cast("string"), F.lit("</b> &amp; &lt;x&gt;&nbsp;</li></ul></html>"))
+    return rows.select("doc_id", tx.html_to_markdown(page).alias("md"))
 
 
 @R.add("SELECT s_suppkey, CAST(CASE WHEN abs(length(s_name) - length(n_name)) > 40 THEN greatest(length(s_name), length(n_name)) ELSE levenshtein(s_name, n_name) END AS BIGINT) AS dist FROM supplier JOIN nation ON n_nationkey = s_nationkey")
